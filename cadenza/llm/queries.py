@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import suffixes, superkmers
 from .audio import audio_digests
 from .packing import pack
 from .quality import fit_quality, quality_scores
+from .secrets import report_sql, secret_report
 from .shared import scratch
 from .token_counts import token_counts
 
@@ -29,6 +31,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removal_digest(suffixes.remove_substrings(table(spark, sf_dir, "documents"), 100))
+
+
 def op4_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_digests(table(spark, sf_dir, "documents"))
 
@@ -39,9 +45,17 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, ranker).select("doc_id", (crc_of("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superkmers.removal_digest(superkmers.remove_substrings(table(spark, sf_dir, "documents"), 50))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), TOKENIZER, 2048, 1, with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_audio, op6_quality, op10_packing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op4_audio, op6_quality, op7_substring_dedup, op9_secrets, op10_packing)}
+ORACLE_SQL: dict[str, str] = {"op9_secrets": report_sql()}
