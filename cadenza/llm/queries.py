@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 from . import suffixes, superkmers
 from .audio import audio_digests
+from .hmm import hmm_scores
+from .minmax import near_groups
 from .packing import pack
 from .quality import fit_quality, quality_scores
 from .secrets import report_sql, secret_report
 from .shared import scratch
+from .tiling import contaminated
 from .token_counts import token_counts
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,10 +38,18 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.removal_digest(suffixes.remove_substrings(table(spark, sf_dir, "documents"), 100))
 
 
+def op3_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_scores(table(spark, sf_dir, "documents"), crc_of("doc_id", 7) == 2)
+
+
 def op4_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     ranker = fit_quality(docs, table(spark, sf_dir, "labels"), crc_of("doc_id", 5) != 0)
@@ -49,6 +60,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmers.removal_digest(superkmers.remove_substrings(table(spark, sf_dir, "documents"), 50))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark passage, each with the item's id; clean documents have no row."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
@@ -57,5 +73,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), TOKENIZER, 2048, 1, with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op4_audio, op6_quality, op7_substring_dedup, op9_secrets, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_hmm_scores, op4_audio, op5_near_duplicates, op6_quality, op7_substring_dedup, op8_decontamination, op9_secrets, op10_packing)}
 ORACLE_SQL: dict[str, str] = {"op9_secrets": report_sql()}
