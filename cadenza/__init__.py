@@ -1,0 +1 @@
+"""Segmentation of ordered signals and analysis of the texts made from them, on Spark."""
