@@ -39,4 +39,5 @@ def relaxed_json(raw: Column, schema: str) -> Column:
     clean = F.regexp_replace(raw, "(?m)//.*$", "")
     clean = F.regexp_replace(clean, r'"(?=\s*\r?\n\s*")', '",')
     clean = F.regexp_replace(clean, r",(\s*[}\]])", "$1")
-    return F.coalesce(F.from_json(raw, schema), F.from_json(clean, schema))
+    valid = lambda x: F.when(F.get_json_object(x, "$").isNotNull(), F.from_json(x, schema))
+    return F.coalesce(valid(raw), valid(clean))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,23 +79,38 @@ def between_context(phrase: Column, previous: Column, following: Column) -> Colu
     return phrase.isin(*CONTEXTUAL) & (before != "") & (after != "") & before.rlike(HANDOVER) & after.rlike(INTRODUCTION)
 
 
+def bound(value: Column, expression: Callable[[Column], Column]) -> Column:
+    """expression of value, which is written once in the plan however often the expression uses it."""
+    return F.get(F.transform(F.array(value), expression), F.lit(0))
+
+
+def _of(step: Callable[[Column, str], Column], phrase: str) -> Callable[[Column], Column]:
+    return lambda s: step(s, phrase)
+
+
 def without_artifacts(text: Column, rms: Column, active_ratio: Column, weak_rms: float = 0.0015, weak_active: float = 0.03) -> Column:
     """struct(text, removed): a text without the phrases that neither audio nor context supports."""
     weak = (rms < weak_rms) | (active_ratio < weak_active)
     state = F.struct(stripped(text).alias("t"), F.array().cast("array<string>").alias("removed"))
 
-    def step(state: Column, phrase: str, go: Column, rest: Column) -> Column:
+    def taken(state: Column, phrase: str, go: Column, rest: Column) -> Column:
         return F.when(go, F.struct(rest.alias("t"), F.concat(state["removed"], F.array(F.lit(phrase))).alias("removed"))).otherwise(state)
 
-    for phrase in OBVIOUS + CONTEXTUAL:
-        rest = F.replace(state["t"], F.lit(phrase), F.lit(""))
-        state = step(state, phrase, F.contains(state["t"], F.lit(phrase)) & ((bare(rest) != "") | weak), rest)
-    for phrase in MIDSTREAM:
-        at = F.instr(state["t"], phrase)
-        after = state["t"].substr(at + len(phrase), F.length(state["t"]))
-        state = step(state, phrase, (at > 0) & (F.length(bare(after)) >= 12), F.concat(state["t"].substr(F.lit(1), at - 1), after))
-    for phrase in POSSIBLE_ENDINGS:
-        state = step(state, phrase, (bare(state["t"]) == phrase) & weak, F.lit(""))
+    def obvious(s: Column, phrase: str) -> Column:
+        rest = F.replace(s["t"], F.lit(phrase), F.lit(""))
+        return taken(s, phrase, F.contains(s["t"], F.lit(phrase)) & ((bare(rest) != "") | weak), rest)
+
+    def midstream(s: Column, phrase: str) -> Column:
+        at = F.instr(s["t"], phrase)
+        after = s["t"].substr(at + len(phrase), F.length(s["t"]))
+        return taken(s, phrase, (at > 0) & (F.length(bare(after)) >= 12), F.concat(s["t"].substr(F.lit(1), at - 1), after))
+
+    def ending(s: Column, phrase: str) -> Column:
+        return taken(s, phrase, (bare(s["t"]) == phrase) & weak, F.lit(""))
+
+    for step, phrases in ((obvious, OBVIOUS + CONTEXTUAL), (midstream, MIDSTREAM), (ending, POSSIBLE_ENDINGS)):
+        for phrase in phrases:
+            state = bound(state, _of(step, phrase))
     tidy = F.regexp_replace(F.regexp_replace(state["t"], r"([。！？!?])\1+", "$1"), "^[ 、　]+|[ 、　]+$", "")
     return F.struct(tidy.alias("text"), state["removed"].alias("removed"))
 

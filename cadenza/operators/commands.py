@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.guards import bound
 from ..functions.text import katakana_to_hiragana, number, reading_key, stripped
 from ..functions.udf import arrow
 
@@ -99,14 +100,19 @@ def by_reading(text: Column, reading: Column) -> Column:
 
     The phrases are a fixed list and become one literal array.
     """
-    key = F.coalesce(F.nullif(reading_key(reading), F.lit("")), reading_key(text))
-    near = []
+    fixed = []
     for i, (kind, phrase, own) in enumerate(PHRASES):
         key_of = re.sub("[^ぁ-ゖ]", "", own)
-        d = F.levenshtein(key, F.lit(key_of))
-        near.append(F.when(d <= near_tolerance(len(key_of)), F.struct(d.alias("distance"), F.lit(i).alias("ord"), F.lit(kind).alias("kind"), F.lit(phrase).alias("phrase"), (d <= tolerance(len(key_of))).alias("confident"))))
-    found = F.array_min(F.filter(F.array(*near), lambda x: x.isNotNull()))
-    return F.when((F.length(reading) > 0) & F.length(key).between(1, 24), found)
+        fixed.append(F.struct(F.lit(i).alias("ord"), F.lit(kind).alias("kind"), F.lit(phrase).alias("phrase"), F.lit(key_of).alias("key"), F.lit(tolerance(len(key_of))).alias("sure"), F.lit(near_tolerance(len(key_of))).alias("near")))
+
+    def found(key: Column) -> Column:
+        scored = F.transform(F.array(*fixed), lambda e: F.struct(F.levenshtein(key, e["key"]).alias("distance"), e["ord"].alias("ord"), e["kind"].alias("kind"), e["phrase"].alias("phrase"), e["sure"].alias("sure"), e["near"].alias("near")))
+        best = F.array_min(F.filter(scored, lambda e: e["distance"] <= e["near"]))
+        return F.when(F.length(key).between(1, 24), best)
+
+    key = F.coalesce(F.nullif(reading_key(reading), F.lit("")), reading_key(text))
+    best = bound(key, found)
+    return F.when((F.length(reading) > 0) & best.isNotNull(), bound(best, lambda e: F.struct(e["distance"].alias("distance"), e["kind"].alias("kind"), e["phrase"].alias("phrase"), (e["distance"] <= e["sure"]).alias("confident"))))
 
 
 def probed(text: Column, reading: Column) -> Column:

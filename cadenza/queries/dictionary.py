@@ -1,2 +1,156 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Dictionaries, over literal profiles."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.dictionary import relaxed_json
+from ..operators import dictionary as d
+from .base import fixture
+
+_PROFILES = "(VALUES ('common', 1, 'Common', 'all'), ('genre', 1, 'Genre', ''), ('Bad Id', 2, '', 'x')) AS t(profile, schema_version, name, description)"
+_ENTRIES = """(VALUES ('common', 0, 'A', 'common', TRUE, FALSE, 0, ''), ('common', 1, 'B', 'C', TRUE, TRUE, 50, ''), ('common', 2, 'AB', 'longest', TRUE, FALSE, 0, ''), ('common', 3, 'off', 'x', FALSE, TRUE, 9, ''),
+  ('genre', 0, 'A', 'genre', TRUE, TRUE, 1, ''), ('genre', 1, 'cyc1', 'cyc2', TRUE, FALSE, 0, ''), ('genre', 2, 'cyc2', 'cyc1', TRUE, FALSE, 0, ''), ('genre', 3, 'same', 'same', TRUE, FALSE, 0, ''), ('genre', 4, ' A ', 'other', TRUE, FALSE, 0, ''), ('genre', 5, '', 'x', TRUE, FALSE, 0, ''), ('genre', 6, 'same', 'same', TRUE, FALSE, 0, '')) AS t(profile, ord, observed, output, enabled, hotword, priority, note)"""
+_SYMBOLS = "(VALUES ('common', 0, 'maru', '。'), ('common', 1, 'kai', '改行'), ('genre', 0, 'maru', '.'), ('genre', 1, '', 'x')) AS t(profile, ord, symbol, output)"
+_WORDS = "(VALUES ('common', 'hotword', 0, 'EXPLICIT'), ('genre', 'hotword', 0, 'C'), ('common', 'hallucination', 0, 'bye'), ('genre', 'hallucination', 0, 'bye'), ('genre', 'hallucination', 1, 'thanks'), ('genre', 'hallucination', 2, ' ')) AS t(profile, kind, ord, word)"
+_SETS = "(VALUES ('default', 0, 'common'), ('payments', 0, 'common'), ('payments', 1, 'genre')) AS t(set_id, ord, profile)"
+
+
+def _t(spark: SparkSession) -> dict[str, DataFrame]:
+    return {k: fixture(spark, v) for k, v in (("profiles", _PROFILES), ("entries", _ENTRIES), ("symbols", _SYMBOLS), ("words", _WORDS), ("sets", _SETS))}
+
+
+def compile_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _t(spark)
+    return d.longest_first(d.replacements(t["entries"], t["sets"], "payments")).select("place", "observed", "output", "profile")
+
+
+def reverse_dict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _t(spark)
+    return d.reverse(t["entries"], t["sets"], "payments")
+
+
+def override_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _t(spark)
+    return d.overrides(t["entries"], t["sets"], "payments").select("code", "observed", "was_profile", "was", "profile", "output")
+
+
+def hotword_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _t(spark)
+    return d.hotwords(t["entries"], t["words"], t["sets"], "payments")
+
+
+def prompt_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _t(spark)
+    items = d.longest_first(d.replacements(t["entries"], t["sets"], "payments"))
+    return d.prompt(d.hotwords(t["entries"], t["words"], t["sets"], "payments"), items, 50, 40)
+
+
+def hallucination_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _t(spark)
+    return d.hallucinations(t["words"], t["sets"], "payments")
+
+
+def symbol_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _t(spark)
+    return d.symbol_map(t["symbols"], t["sets"], "payments", ("改行",))
+
+
+def replacement_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return d.cycle_members(fixture(spark, "(VALUES ('a', 'b'), ('b', 'c'), ('c', 'a'), ('x', 'a'), ('s', 's'), ('p', 'q')) AS t(observed, output)"))
+
+
+def profile_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _t(spark)
+    return d.diagnostics(t["profiles"], t["entries"], t["symbols"], t["words"])
+
+
+def diagnostic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return d.warning_count(profile_diagnostics(spark, sf_dir)).select("n", F.size("shown").alias("shown"))
+
+
+def profile_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _t(spark)
+    return d.catalog(t["profiles"], t["entries"], t["symbols"], t["words"], profile_diagnostics(spark, sf_dir)).drop("name")
+
+
+def content_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", d.revision(F.col("text")).alias("revision"))
+
+
+def append_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = fixture(spark, "(VALUES ('common', 'new', 'x', 'r1'), ('common', 'A', 'common', 'r0'), ('common', 'A', 'else', 'r1'), ('common', 'late', 'x', 'r0'), ('none', 'k', 'x', 'r1')) AS t(profile, observed, output, revision)")
+    return d.appended(_t(spark)["entries"].where("profile = 'common'"), requests, fixture(spark, "(VALUES ('common', 'r1')) AS t(profile, revision)"))
+
+
+def merge_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = fixture(spark, "(VALUES ('common', 'A', 'changed'), ('common', 'fresh', 'f')) AS t(profile, observed, output)")
+    return d.merged(_t(spark)["entries"].where("profile = 'common'"), new).select("profile", "ord", "observed", "output", "enabled")
+
+
+def map_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return d.valid_map(fixture(spark, "(VALUES (' 協裁 ', '共催'), ('  ', 'x'), ('k', 'v')) AS t(key, value)"))
+
+
+def grouped_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return d.grouped_by_value(fixture(spark, "(VALUES (1, 'a', 'X'), (2, 'b', 'Y'), (3, 'c', 'X')) AS t(ord, key, value)"))
+
+
+def flattened_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = fixture(spark, "(VALUES (1, 'X', 'a、b'), (2, 'Y', 'b、c')) AS t(ord, value, keys)")
+    return d.flattened(own, F.split("keys", "、"))
+
+
+def write_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    revisions = fixture(spark, "(VALUES ('common', 'r1'), ('genre', 'r2')) AS t(profile, revision)")
+    return d.target(_t(spark)["sets"], revisions, "payments")
+
+
+def legacy_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = fixture(spark, "(VALUES ('old', 'a', 'X')) AS t(profile, k, v)").select("profile", F.create_map("k", "v").alias("replacements"))
+    return d.from_legacy(own).select("profile", "ord", "observed", "output")
+
+
+def json_with_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = "concat('{', chr(10), '  \"a\": 1, // one', chr(10), '  \"b\": \"x\"', chr(10), '  \"c\": \"y\",', chr(10), '}')"
+    own = spark.sql(f"SELECT 1 AS id, {raw} AS raw UNION ALL SELECT 2, '{{\"a\": 5, \"b\": \"http://x\"}}' UNION ALL SELECT 3, 'not json'")
+    return own.select("id", relaxed_json(F.col("raw"), "a int, b string, c string").alias("j")).select("id", "j.a", "j.b", "j.c")
+
+
+QUERIES = {f.__name__: f for f in (compile_set, reverse_dict, override_warnings, hotword_ranks, prompt_prefix, hallucination_set, symbol_map, replacement_cycles, profile_diagnostics, diagnostic_counts, profile_catalog, content_revisions, append_entries, merge_entries, map_validation, grouped_values, flattened_groups, write_target, legacy_entries, json_with_comments)}
+
+_OWN = f"""own as (select e.*, trim(observed) as key, s.ord as p from {_ENTRIES.replace(' AS t(', ' AS e(')} join {_SETS.replace(' AS t(', ' AS s(')} on s.profile = e.profile and s.set_id = 'payments' where enabled),
+rep as (select key as observed, arg_max(output, (p, ord)) as output, arg_max(profile, (p, ord)) as profile, min((p, ord)) as first from own group by key),
+ranked as (select *, row_number() over (order by length(observed) desc, first) as place from rep),
+hot as (select priority, p, ord * 2 + k as o, case k when 0 then output else key end as word from own, (values (0), (1)) x(k) where hotword
+  union all select 10000, s.ord, w.ord, word from {_WORDS.replace(' AS t(', ' AS w(')} join {_SETS.replace(' AS t(', ' AS s(')} on s.profile = w.profile and s.set_id = 'payments' where kind = 'hotword'),
+once as (select word, min((-priority, -p, o)) as rank from hot where word <> '' group by word),
+hotwords as (select word, row_number() over (order by rank) as place from once)"""
+_lit = lambda cols, rows: f"select * from (values {', '.join(str(r).replace('None', 'null') for r in rows)}) t({cols})"
+ORACLE_SQL = {
+    "compile_set": f"with {_OWN} select place, observed, output, profile from ranked",
+    "reverse_dict": f"with {_OWN} select output, observed, row_number() over (order by length(output) desc, place) as place from ranked where output <> '' and observed <> ''",
+    "override_warnings": f"with {_OWN}, l as (select *, lag(output) over w as was, lag(profile) over w as was_profile from own window w as (partition by key order by p, ord)) select 'set.replacement-override' as code, key as observed, was_profile, was, profile, output from l where was <> output",
+    "hotword_ranks": f"with {_OWN} select word, place from hotwords",
+    "prompt_prefix": f"""with {_OWN}, all_words as (select 0 as part, place as p, 0 as k, word from hotwords union all select 1, place, k, case k when 0 then output else observed end from ranked, (values (0), (1)) x(k)),
+      good as (select word, min((part, p, k)) as rank from all_words where part = 0 or length(word) >= 2 group by word),
+      n as (select word, rank, row_number() over (order by rank) as n, sum(length(word) + 1) over (order by rank) - 1 as total from good),
+      k as (select * from n where n <= 50 and n < coalesce((select min(n) from n where total > 40), 1000000))
+      select string_agg(word, ' ' order by n) as prompt from k""",
+    "hallucination_set": "select * from (values ('bye'), ('thanks'), (' ')) t(word)",
+    "symbol_map": "select symbol, case when output = '改行' then chr(10) else output end as output from (values ('maru', '.'), ('kai', '改行'), ('', 'x')) t(symbol, output)",
+    "replacement_cycles": "select * from (values ('a'), ('b'), ('c'), ('s')) t(observed)",
+    "profile_diagnostics": _lit("profile, severity, code, entry, detail", [("Bad Id", "error", "profile.schema-version", None, None), ("Bad Id", "error", "profile.id", None, None), ("Bad Id", "error", "profile.name", None, None), ("genre", "error", "entry.observed", 5, None), ("genre", "error", "entry.conflict", 4, "A"), ("genre", "warning", "entry.duplicate", 6, "same"), ("genre", "warning", "entry.identity", 3, "same"), ("genre", "warning", "entry.identity", 6, "same"), ("common", "warning", "entry.too-short", 0, "A"), ("common", "warning", "entry.too-short", 1, "B"), ("genre", "warning", "entry.too-short", 0, "A"), ("genre", "warning", "entry.too-short", 4, "A"), ("genre", "warning", "entry.cycle", 1, "cyc1"), ("genre", "warning", "entry.cycle", 2, "cyc2"), ("genre", "warning", "entry.cycle", 3, "same"), ("genre", "error", "symbols.key", None, None), ("genre", "error", "hallucinations.value", 2, None)]),
+    "diagnostic_counts": "select 10 as n, 10 as shown",
+    "profile_catalog": _lit("profile, entries, symbols, hotwords, hallucinations, errors", [("common", 4, 2, 1, 1, 0), ("genre", 7, 2, 1, 3, 4), ("Bad Id", 0, 0, 0, 0, 3)]),
+    "content_revisions": "select doc_id, left(sha256(text), 16) as revision from documents",
+    "append_entries": _lit("profile, observed, status", [("common", "new", "created"), ("common", "A", "exists"), ("common", "A", "conflict"), ("common", "late", "conflict"), ("none", "k", "conflict")]),
+    "merge_entries": _lit("profile, ord, observed, output, enabled", [("common", 0, "A", "changed", True), ("common", 3, "off", "x", False), ("common", 4, "fresh", "f", True)]),
+    "map_validation": _lit("key, value, ok", [("協裁", "共催", True), ("k", "v", True)]),
+    "grouped_values": _lit("ord, value, keys", [(1, "X", "a、c"), (2, "Y", "b")]),
+    "flattened_groups": _lit("key, value, n", [("a", "X", 1), ("b", "Y", 2), ("c", "Y", 1)]),
+    "write_target": _lit("profile, revision", [("genre", "r2")]),
+    "legacy_entries": _lit("profile, ord, observed, output", [("old", 0, "a", "X")]),
+    "json_with_comments": _lit("id, a, b, c", [(1, 1, "x", "y"), (2, 5, "http://x", None), (3, None, None, None)]),
+}
