@@ -21,6 +21,10 @@ from .shared import ranges
 _PLACE = np.uint64(28)
 
 
+def _small(column: np.ndarray) -> np.ndarray:
+    return column.astype(np.min_scalar_type(int(column.max())) if len(column) else np.uint8)
+
+
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     """Minimum of x[i : i + n] for every i, in log2(n) passes."""
     size, cur = 1, x
@@ -56,7 +60,7 @@ def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray)
     """Whether data[a : a + size] and data[b : b + size] are equal, for each of the slices."""
     if not len(a):
         return np.zeros(0, bool)
-    step = max(1, int(4e6 // max(1, size.mean())))
+    step = max(1, int(1e6 // max(1, size.mean())))
     out = []
     for i in range(0, len(a), step):
         s = size[i : i + step]
@@ -86,26 +90,36 @@ class Runs:
         return Runs(*(c[index] for c in (self.doc, self.start, self.count, self.anchor, self.at, self.size)), self.data)
 
     def pack(self) -> bytes:
-        columns = (self.doc.astype("<i8"), self.start.astype("<i4"), self.count.astype("<i4"), self.anchor.astype("<i4"), self.size.astype("<i4"))
-        raw = struct.pack("<q", len(self)) + b"".join(c.tobytes() for c in columns) + self.data[ranges(self.at, self.size)].tobytes()
-        return zstandard.ZstdCompressor(level=1).compress(raw)
+        """Columns in the smallest types that hold them, then the strings; compressed."""
+        ids, which = np.unique(self.doc, return_inverse=True)
+        columns = [ids.astype("<i8"), *(_small(c) for c in (which, self.start, self.count, self.anchor, self.size))]
+        head = struct.pack("<qq", len(ids), len(self)) + b"".join(c.dtype.char.encode() for c in columns[1:])
+        raw = head + b"".join(c.tobytes() for c in columns) + self.data[ranges(self.at, self.size)].tobytes()
+        return zstandard.ZstdCompressor(level=3).compress(raw)
 
     @staticmethod
     def unpack(blobs: Iterator[bytes]) -> Runs:
         parts, base = [], 0
         for blob in blobs:
             raw = zstandard.ZstdDecompressor().decompress(blob)
-            (n,) = struct.unpack_from("<q", raw)
-            doc = np.frombuffer(raw, "<i8", n, 8)
-            rest = [np.frombuffer(raw, "<i4", n, 8 + n * (8 + 4 * k)).astype(np.int64) for k in range(4)]
-            data = np.frombuffer(raw, np.uint8, offset=8 + n * 24)
-            parts.append((doc, *rest[:3], base + np.cumsum(rest[3]) - rest[3], rest[3], data))
+            many, n = struct.unpack_from("<qq", raw)
+            kinds, at = raw[16:21].decode(), 21
+            ids = np.frombuffer(raw, "<i8", many, at)
+            at += ids.nbytes
+            columns = []
+            for kind in kinds:
+                own = np.frombuffer(raw, kind, n, at)
+                at += own.nbytes
+                columns.append(own.astype(np.int64))
+            which, start, count, anchor, size = columns
+            data = np.frombuffer(raw, np.uint8, offset=at)
+            parts.append((ids[which], start, count, anchor, base + np.cumsum(size) - size, size, data))
             base += len(data)
         return Runs(*(np.concatenate(c) for c in zip(*parts, strict=True)))
 
-    def split(self, to: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, Runs]]:
-        """The runs of each destination, in the given order within it."""
-        order = order[np.argsort(to[order], kind="stable")]
+    def split(self, to: np.ndarray) -> Iterator[tuple[int, Runs]]:
+        """The runs of each destination, in their order."""
+        order = np.argsort(to, kind="stable")
         cuts = np.flatnonzero(np.diff(to[order])) + 1
         for own in np.split(order, cuts):
             if len(own):

@@ -76,6 +76,7 @@ _random = np.random.default_rng(0x5EED)
 _BYTE = _random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE, _INVERSE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)))
 _SPAN, _SPAN_INVERSE = (np.uint64(x) for x in (0xD1B54A32D192ED03, pow(0xD1B54A32D192ED03, -1, 2**64)))
+_BLOCK = 1 << 19
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -83,7 +84,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept for the worker's life."""
     have = _powers.get(int(base))
     if have is None or len(have) < n:
-        have = np.full(max(n, STEP_BYTES + (1 << 16)), base, np.uint64)
+        have = np.full(max(n, _BLOCK + (1 << 16)), base, np.uint64)
         have[0] = 1
         np.cumprod(have, out=have)
         _powers[int(base)] = have
@@ -110,10 +111,19 @@ def words(data: np.ndarray, offs: np.ndarray, base: int = 0) -> tuple[np.ndarray
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers(_BASE, len(data)), out=total[1:])
-    return mix((total[ends] - total[starts]) * powers(_INVERSE, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each slice's bytes; slices are in the order of their starts. Works on _BLOCK bytes at a time."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + _BLOCK)))
+        s, e = starts[i:j] - starts[i], ends[i:j] - starts[i]
+        size = int(e.max())
+        total = np.zeros(size + 1, np.uint64)
+        np.multiply(_BYTE[data[starts[i] : starts[i] + size]], powers(_BASE, size), out=total[1:])
+        np.cumsum(total, out=total)
+        out[i:j] = mix((total[e] - total[s]) * powers(_INVERSE, size + 1)[s] + (e - s).astype(np.uint64))
+        i = j
+    return out
 
 
 def span_hashes(h: np.ndarray, n: int) -> np.ndarray:

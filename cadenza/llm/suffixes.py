@@ -184,7 +184,7 @@ def substring_marks(docs: DataFrame, width: int = 100, buckets: int | None = Non
         for b in batches:
             for i, j in steps(b.column("text")):
                 runs, key = suffix_runs(np.asarray(b.column("doc_id")[i:j]), b.column("text")[i:j], width)
-                sent = [(k, own.pack()) for k, own in runs.split(to.of(key, runs.doc), np.argsort(key, kind="stable"))]
+                sent = [(k, own.pack()) for k, own in runs.split(to.of(key, runs.doc))]
                 if sent:
                     yield batch(_SENT, *map(list, zip(*sent, strict=True)))
 

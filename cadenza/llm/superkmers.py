@@ -101,7 +101,7 @@ def substring_marks(docs: DataFrame, width: int = 50, core: int = 8, buckets: in
         for b in batches:
             for i, j in steps(b.column("text")):
                 runs, key = super_kmers(np.asarray(b.column("doc_id")[i:j]), b.column("text")[i:j], width, core)
-                sent = [(k, own.pack()) for k, own in runs.split((key % np.uint64(many)).astype(np.int64), np.argsort(key, kind="stable"))]
+                sent = [(k, own.pack()) for k, own in runs.split((key % np.uint64(many)).astype(np.int64))]
                 if sent:
                     yield batch(_SENT, *map(list, zip(*sent, strict=True)))
 
