@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +22,8 @@ ROWS = 4
 SKETCH = 80
 #: ... which must agree in so many bytes: at a similarity of 0.75 fewer have a probability under 1e-8.
 AGREE = 36
-#: Members of a bucket that are compared in one task.
-BLOCK = 4096
+#: Members of a bucket, and shingles of theirs, that are compared in one task.
+BLOCK, WEIGHT = 2048, 1 << 21
 
 _rng = np.random.default_rng(0xB0A7)
 _XOR, _TIMES = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64), _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -116,35 +117,61 @@ def leaders(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([batch(_PAIRS, a, b)])
 
 
-def between(most: int):
-    """Of one bucket's members with two or more labels: for each pair of labels the `most` pairs that agree most; a pair (-1, -1) if there were more."""
-
-    def pairs(table: pa.Table) -> pa.Table:
-        by = np.argsort(np.asarray(table.column("doc")))
-        doc, label, core = (np.asarray(table.column(c))[by] for c in ("doc", "label", "core"))
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)[by]
-        found = []
-        minor = np.flatnonzero(~core)
-        for i in range(0, len(minor), 64):
-            own = minor[i : i + 64]
-            near = alike(sketch, sketch[own])
-            x, y = np.nonzero((near >= AGREE) & (label[:, None] != label[own]))
-            if len(x):
-                found.append(np.stack([near[x, y], np.minimum(doc[x], doc[own[y]]), np.maximum(doc[x], doc[own[y]]), np.minimum(label[x], label[own[y]]), np.maximum(label[x], label[own[y]])]))
-        if not found:
-            return pa.Table.from_batches([batch(_PAIRS, [], [])])
-        found = np.unique(np.concatenate(found, axis=1), axis=1)
-        found = found[:, np.lexsort((found[2], found[1], -found[0], found[4], found[3]))]
-        new = np.ones(found.shape[1], bool)
-        new[1:] = (found[3:, 1:] != found[3:, :-1]).any(axis=0)
-        head = np.flatnonzero(new)
-        rank = np.arange(len(new)) - np.repeat(head, np.diff(np.append(head, len(new))))
-        a, b = found[1][rank < most], found[2][rank < most]
-        if (rank >= most).any():
-            a, b = np.append(a, -1), np.append(b, -1)
-        return pa.Table.from_batches([batch(_PAIRS, a, b)])
-
-    return pairs
+def joining_links(percent: int):
+    """Of one bucket's members (or of two blocks of them): links between different labels, no more than it takes to join these.
+
+    Each member outside the bucket's main label (y) is held against those of other labels (x),
+    the most alike by sketch first; two labels that a link has joined are one from then on. So
+    every pair that could join two labels is compared on the full sets, but no pair is listed.
+    A pair that several buckets hold belongs to the one with the smallest key.
+    """
+
+    def find(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        doc, root, core, x, y = (np.asarray(table.column(c)) for c in ("doc", "label", "core", "x", "y"))
+        root, bucket = root.copy(), table.column("bucket")[0].as_py()
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        bands = np.asarray(pc.list_flatten(table.column("bands"))).reshape(len(doc), -1)
+        raw = table.column("shingles").to_pylist()
+        size = np.array([len(s) // 8 for s in raw], np.int64)
+        start = np.cumsum(size) - size
+        _, code = np.unique(np.frombuffer(b"".join(raw), np.uint64), return_inverse=True)
+        mine, top = np.zeros(int(code.max(initial=-1)) + 1, bool), np.iinfo(np.int64).max
+        out = []
+        for m in np.flatnonzero(y):
+            left = np.flatnonzero(x & (root != root[m]) & (core | (doc < doc[m])))
+            near = (sketch[left] == sketch[m]).sum(axis=1)
+            left = left[np.argsort(-near, kind="stable")][: np.count_nonzero(near >= AGREE)]
+            left = left[np.where(bands[left] == bands[m], bands[left], top).min(axis=1, initial=top) == bucket]
+            own = code[start[m] : start[m] + size[m]]
+            mine[own] = True
+            many = 1
+            while len(left):
+                now, left = left[:many], left[many:]
+                both = np.add.reduceat(mine[code[ranges(start[now], size[now])]].astype(np.int64), np.cumsum(size[now]) - size[now])
+                for k in now[100 * both >= percent * (size[now] + size[m] - both)]:
+                    if root[k] != root[m]:
+                        out.append((doc[k], doc[m]))
+                        root[root == root[k]] = root[m]
+                left = left[root[left] != root[m]]
+                many *= 4
+            mine[own] = False
+        return pa.Table.from_batches([batch(_PAIRS, *(list(map(list, zip(*out, strict=True))) or [[], []]))])
+
+    return find
+
+
+def shingled(bodies: DataFrame) -> DataFrame:
+    """(doc, shingles): each text's set, as sorted 64-bit hashes."""
+    schema = pa.schema([("doc", pa.int64()), ("shingles", pa.binary())])
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j in steps(b.column("text")):
+                sets, first = shingle_sets(b.column("text")[i:j])
+                yield batch(schema, b.column("doc")[i:j], [sets[a:z].tobytes() for a, z in zip(first, first[1:], strict=False)])
+
+    return bodies.select("doc", "text").mapInArrow(shingle, "doc long, shingles binary")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -179,12 +206,11 @@ def near_groups(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
        (most bands of a group) are one.
     3. In a bucket each member is paired with its first look-alike by sketch: as many pairs as
        members. Pairs are confirmed on the full sets.
-    4. While a bucket's members are in several components, their look-alikes in different
-       components are confirmed too, the most alike first, and four times as many each round
-       until there are no more. So no candidate pair that could join two components is left
-       out, but pairs within a component are never listed.
-    Very large buckets are dealt to several tasks: first by a hash, later as the members outside
-    the bucket's largest component against blocks of the others.
+    4. Where a bucket's members are in several components, its full sets meet in its task, which
+       compares every pair that could join two components and gives only the links that do: at
+       most one less than there are components.
+    Very large buckets are dealt to several tasks, by members and by shingles: first by a hash,
+    then each block of members against each block of those outside the largest component.
 
     A null or empty text has no shingles and is linked with nothing. Rows that share an id are
     one node, of which each row has its own n_shingles; a row without an id is its own
@@ -193,43 +219,36 @@ def near_groups(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
     texts = documents(docs, id_col, text_col)
     all_signed = stored(signed(texts), "signed")
     some = all_signed.where("doc_id is not null and n_shingles > 0")
-    classes = some.groupBy("digest").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("m")).select("digest", F.col("m.doc_id").alias("doc"), "m.bands", "m.sketch")
+    classes = some.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sketch")).alias("m")).select("digest", F.col("m.doc_id").alias("doc"), "m.n_shingles", "m.bands", "m.sketch")
     reps = stored(classes, "classes")
-    member = reps.select("doc", F.explode("bands").alias("bucket"))
-    shape = member.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("doc")).alias("x")).where("n > 1")
-    chosen = shape.groupBy("n", "s", "x").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
-    members = stored(member.join(chosen, "bucket").select("bucket", "n", "doc"), "buckets")
+    member = reps.select("doc", "n_shingles", F.explode("bands").alias("bucket"))
+    shape = member.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("doc")).alias("x")).where("n > 1")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("w") / WEIGHT))
+    chosen = shape.groupBy("n", "w", "s", "x").agg(F.min("bucket").alias("bucket")).select("bucket", blocks.alias("blocks"))
+    members = stored(member.join(chosen, "bucket").select("bucket", "blocks", "doc", F.pmod(F.xxhash64("doc"), "blocks").alias("home")), "buckets")
     own = members.select("doc").distinct()
-    sketches = stored(reps.join(own, "doc").select("doc", "sketch"), "sketches")
-    bodies = texts.select(F.col("doc_id").alias("doc"), "text").join(own, "doc").groupBy("doc").agg(F.max("text").alias("text")) if _repeated(some) else texts.select(F.col("doc_id").alias("doc"), "text").join(own, "doc")
-    bodies = stored(bodies, "bodies")
-
-    salted = members.join(sketches, "doc").withColumn("salt", F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / BLOCK)))
-    pairs = salted.groupBy("bucket", "salt").applyInArrow(leaders, "a long, b long").distinct()
-    tried = stored(pairs, "pairs")
-    links = stored(confirmed(tried, bodies, percent), "links")
-    most = 1
-    while True:
-        label = components(links)
-        labelled = members.join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-        mixed = stored(labelled.groupBy("bucket", "label").count().groupBy("bucket").agg(F.max(F.struct("count", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1"), "mixed")
-        if mixed.isEmpty():
-            break
-        rows = labelled.join(mixed, "bucket").join(sketches, "doc").withColumn("core", F.col("label") == F.col("top.label"))
-        blocks = F.ceil(F.col("n") / BLOCK)
-        parts = F.when(F.col("core"), F.array(F.pmod(F.xxhash64("doc"), blocks))).otherwise(F.sequence(F.lit(0).cast("long"), blocks - 1))
-        found = rows.withColumn("salt", F.explode(parts)).select("bucket", "salt", "doc", "label", "core", "sketch").groupBy("bucket", "salt").applyInArrow(between(most), "a long, b long").distinct()
-        found = stored(found, "pairs")
-        new = stored(found.where("a >= 0").join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = not found.where("a < 0").isEmpty()
-        if not new.isEmpty():
-            links = stored(links.union(confirmed(new, bodies, percent)), "links")
-            tried = tried.union(new)
-        elif not more:
-            break
-        most *= 4
+    sketches = stored(reps.join(own, "doc").select("doc", "sketch", "bands"), "sketches")
+    bodies = texts.select(F.col("doc_id").alias("doc"), "text").join(own, "doc")
+    bodies = stored(bodies.groupBy("doc").agg(F.max("text").alias("text")) if _repeated(some) else bodies, "bodies")
+
+    pairs = members.join(sketches, "doc").select("bucket", "home", "doc", "sketch").groupBy("bucket", "home").applyInArrow(leaders, "a long, b long").distinct()
+    links = stored(confirmed(pairs, bodies, percent), "links")
+    label = components(links)
+    labelled = stored(members.join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc")), "labelled")
+    mixed = labelled.groupBy("bucket", "label").count().groupBy("bucket").agg(F.max(F.struct("count", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("bucket", F.col("top.label").alias("main"))
+    rows = labelled.join(mixed, "bucket").withColumn("core", F.col("label") == F.col("main")).drop("main")
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    as_x = F.transform(every, lambda k: F.struct(F.col("home").alias("i"), k.alias("j")))
+    as_y = F.transform(every, lambda k: F.struct(k.alias("i"), F.col("home").alias("j")))
+    rows = rows.withColumn("at", F.explode(F.when(F.col("core"), as_x).otherwise(F.array_union(as_x, as_y))))
+    rows = rows.select("bucket", "at.i", "at.j", "doc", "label", "core", (F.col("at.i") == F.col("home")).alias("x"), (~F.col("core") & (F.col("at.j") == F.col("home"))).alias("y"))
+    rows = rows.join(sketches, "doc").join(shingled(bodies), "doc").select("bucket", "i", "j", "doc", "label", "core", "x", "y", "sketch", "bands", "shingles")
+    more = stored(rows.groupBy("bucket", "i", "j").applyInArrow(joining_links(percent), "a long, b long"), "links")
+    if not more.isEmpty():
+        joined_labels = label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)
+        label = components(joined_labels)
     rep = classes_of(reps, label)
-    out = all_signed.join(rep, "digest", "left")
+    out = all_signed.select("doc_id", "n_shingles", "digest").join(rep, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
