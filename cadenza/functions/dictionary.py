@@ -37,7 +37,7 @@ def replaced_in_turn(text: Column, rules: list[tuple[str, str]]) -> Column:
 def relaxed_json(raw: Column, schema: str) -> Column:
     """Strict JSON; where that fails, JSON after // comments are removed, missing commas between lines put in and trailing ones dropped."""
     clean = F.regexp_replace(raw, "(?m)//.*$", "")
-    clean = F.regexp_replace(clean, r'"(?=\s*\r?\n\s*")', '",')
+    clean = F.regexp_replace(clean, r'(["}\]0-9el])(?=\s*\r?\n\s*["{\[])', "$1,")
     clean = F.regexp_replace(clean, r",(\s*[}\]])", "$1")
     valid = lambda x: F.when(F.get_json_object(x, "$").isNotNull(), F.from_json(x, schema))
     return F.coalesce(valid(raw), valid(clean))
