@@ -141,7 +141,7 @@ def adjacent_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring("text", 1, 600).alias("ref"))
+    docs = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("ref"))
     return docs.withColumn("live", F.regexp_replace(F.regexp_replace("ref", "the ", ""), "ing", "ign"))
 
 

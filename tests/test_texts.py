@@ -1,5 +1,6 @@
 """Golden cases of the text, alignment and source functions."""
 
+import difflib
 import wave
 from io import BytesIO
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from cadenza.functions import align, guards, signal, text
 from cadenza.operators import commands, reconvert
 from cadenza.plans.flows import clean_text
+from cadenza.queries import texts
 from cadenza.sources import files, pcm, recordings
 
 
@@ -141,3 +143,35 @@ def test_files(spark, tmp_path):
 def test_unicode_stripping(spark):
     assert one(spark, text.stripped(F.col("t")), t="　 あ　") == "あ"
     assert one(spark, guards.is_boilerplate(F.col("t")), t="ご視聴ありがとうございました\nx") is False
+
+
+def test_blocks_and_edits_are_those_of_plain_search():
+    rng = np.random.default_rng(3)
+
+    def plain(a, b):
+        d = np.add.outer(np.arange(len(a) + 1), np.arange(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (x != y))
+        return d[-1, -1]
+
+    for _ in range(300):
+        a, b = ("".join(rng.choice(list("abc𠮷"), rng.integers(30))) for _ in range(2))
+        assert align._edits(list(a), list(b)) == plain(a, b)
+        m = difflib.SequenceMatcher(None, a, b, autojunk=False)
+        for cells in (0, 1 << 20):
+            own = align.Matcher(a, b, cells)
+            assert own.get_opcodes() == m.get_opcodes() and own.ratio() == m.ratio()
+
+
+def test_comparisons_see_what_lies_behind_character_600(spark, tmp_path):
+    long = " ".join(f"word{i}" for i in range(300)) + " the king"
+    spark.createDataFrame([(1, 0, long)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {n: texts.QUERIES[n](spark, str(tmp_path)).collect() for n in ("text_differences", "text_match_ratio", "word_errors", "safe_refinements")}
+    assert len(got["text_differences"]) == 1 and got["text_differences"][0].ref_pos > 600
+    assert 0.99 < got["text_match_ratio"][0].ratio < 1
+    assert got["word_errors"][0].wer == 2 / 302
+    assert got["safe_refinements"][0].safe
+    lost = "".join(chr(0x4E00 + i) for i in range(1500))
+    r = spark.createDataFrame([(lost, lost[:1300] + "x" * 200)], "a string, b string").select(align.refinement_safety("a", "b").alias("s")).first().s
+    assert r.reason == "trailing-content-lost"
