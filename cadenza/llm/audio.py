@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import batch, documents, steps, stored
+from .shared import batch, documents, partitions, steps, stored
 
 
 @dataclass(frozen=True)
@@ -111,7 +111,9 @@ class Features:
 
 
 _STORED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
-_TENSORS = pa.schema([("doc_id", pa.int64()), ("span", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("frames", pa.int32()), ("sound", pa.float32()), ("tensor", pa.list_(pa.float32()))])
+_TENSORS = pa.schema([("doc_id", pa.int64()), ("span", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("frames", pa.int32()), ("sound", pa.float32()), ("marks", pa.binary()), ("tensor", pa.list_(pa.float32()))])
+_SPANS = pa.schema([("row", pa.int64()), ("span", pa.int32()), ("start_s", pa.float64()), ("marks", pa.binary()), ("sums", pa.binary()), ("units", pa.binary()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string())])
+_SPANS_SQL = "row long, span int, start_s double, marks binary, sums binary, units binary, doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
 _DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
 
@@ -132,11 +134,11 @@ def audio_column(docs: DataFrame, params: AudioParams = AudioParams(), id_col: s
 
 
 def audio_tensors(media: DataFrame, params: AudioParams = AudioParams()) -> DataFrame:
-    """A row for each `span` frames of each signal: (doc_id, span, start_s, end_s, frames, sound, tensor).
+    """A row for each `span` frames of each signal: (doc_id, span, start_s, end_s, frames, sound, marks, tensor).
 
     tensor has the fixed shape (params.span, params.mels), row by row, the last one filled with
     zeros; frames says how many of its rows are real; sound is the share of them that lie in a
-    segment. as_tensors() gives the column as Arrow's fixed-shape tensor type.
+    segment, marks a byte 1 or 0 for each. as_tensors() gives the column as Arrow's fixed-shape tensor type.
     """
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +148,7 @@ def audio_tensors(media: DataFrame, params: AudioParams = AudioParams()) -> Data
             for doc, m in zip(b.column("doc_id").to_pylist(), b.column("media"), strict=True):
                 x = np.frombuffer(from_wav(m.as_py()), np.uint8)
                 energy = np.concatenate([e for _, _, e in feats.blocks(x)])
-                on = np.zeros(len(energy), np.float32)
+                on = np.zeros(len(energy), np.uint8)
                 for a, z in feats.segments(energy):
                     on[a:z] = 1
                 for f, mel, _ in feats.blocks(x):
@@ -155,11 +157,12 @@ def audio_tensors(media: DataFrame, params: AudioParams = AudioParams()) -> Data
                     full[: len(mel)] = mel
                     real = np.minimum(params.span, len(mel) - np.arange(n) * params.span)
                     first = f + np.arange(n) * params.span
+                    marks = [on[a : a + k].tobytes() for a, k in zip(first, real, strict=True)]
                     sound = [on[a : a + k].mean() for a, k in zip(first, real, strict=True)]
                     tensor = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * (params.span * params.mels), pa.array(full.ravel()))
-                    yield batch(_TENSORS, [doc] * n, (first // params.span).astype(np.int32), first * seconds, (first + real) * seconds, real.astype(np.int32), np.array(sound, np.float32), tensor)
+                    yield batch(_TENSORS, [doc] * n, (first // params.span).astype(np.int32), first * seconds, (first + real) * seconds, real.astype(np.int32), np.array(sound, np.float32), marks, tensor)
 
-    return media.select("doc_id", "media").mapInArrow(compute, "doc_id long, span int, start_s double, end_s double, frames int, sound float, tensor array<float>")
+    return media.select("doc_id", "media").mapInArrow(compute, "doc_id long, span int, start_s double, end_s double, frames int, sound float, marks binary, tensor array<float>")
 
 
 def as_tensors(column: pa.ChunkedArray | pa.Array, params: AudioParams = AudioParams()) -> pa.ExtensionArray:
@@ -170,33 +173,64 @@ def as_tensors(column: pa.ChunkedArray | pa.Array, params: AudioParams = AudioPa
 
 
 def audio_digests(docs: DataFrame, params: AudioParams = AudioParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store every document as audio in the shared folder, read it back, and give a row of checks and features for each.
+    """Store every document as audio and its features as tensors in the shared folder, read both back, and give a row of checks and features for each.
 
-    feature: frames, segments, frames of sound, the first and last sound in seconds, the mean
-    log-mel row in tenths, and a CRC-32 of all log-mel values in whole units.
+    feature, from the tensors: frames, segments, frames of sound, the first and last sound in
+    seconds, the mean log-mel row in tenths, and a CRC-32 of all log-mel values in whole units.
     """
 
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        feats = Features(params)
-        seconds = params.hop * params.down / (params.rate * params.up)
+    def checks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for doc, n, m in zip(b.column("doc_id").to_pylist(), b.column("n_bytes").to_pylist(), b.column("media"), strict=True):
+            for row, doc, n, m in zip(*(b.column(c).to_pylist() for c in ("row", "doc_id", "n_bytes")), b.column("media"), strict=True):
                 media = m.as_py()
                 payload = from_wav(media)
-                crc, total, energies = 0, np.zeros(params.mels), []
-                for _, mel, energy in feats.blocks(np.frombuffer(payload, np.uint8)):
-                    crc = zlib.crc32(np.rint(mel).astype(np.int8).tobytes(), crc)
-                    total += mel.sum(axis=0)
-                    energies.append(energy)
-                energy = np.concatenate(energies)
-                seg = feats.segments(energy)
-                mean = ",".join(map(str, np.rint(total / len(energy) * 10).astype(int)))
-                ends = f"{seg[0, 0] * seconds:.3f}-{seg[-1, 1] * seconds:.3f}" if len(seg) else "-"
-                feature = f"{len(energy)};{len(seg)};{int((seg[:, 1] - seg[:, 0]).sum())};{ends};{mean};{crc:08x}"
-                out.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
+                out.append((row, -1, None, None, None, None, doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest()))
             if out:
-                yield batch(_DIGESTS, *map(list, zip(*out, strict=True)))
+                yield batch(_SPANS, *map(list, zip(*out, strict=True)))
 
-    media = stored(audio_column(docs, params, id_col, text_col), "audio")
-    return media.mapInArrow(compute, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(b):
+                continue
+            tensors = as_tensors(b.column("tensor"), params).to_numpy_ndarray()
+            units = [np.rint(t[:k]).astype(np.int8).tobytes() for t, k in zip(tensors, b.column("frames").to_pylist(), strict=True)]
+            sums = [x.tobytes() for x in tensors.sum(axis=1, dtype=np.float64)]
+            yield batch(_SPANS, *(b.column(c) for c in ("row", "span", "start_s", "marks")), sums, units, *(pa.nulls(len(b), f.type) for f in list(_SPANS)[6:]))
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in the order of documents and spans, the checks first."""
+        seconds, row, done = params.hop * params.down / (params.rate * params.up), None, []
+
+        def close() -> None:
+            if row is not None:
+                mean = ",".join(map(str, np.rint(total / frames * 10).astype(int)))
+                done.append((*own, f"{frames};{segments};{sound};{f'{first:.3f}-{last:.3f}' if segments else '-'};{mean};{crc:08x}"))
+
+        for b in batches:
+            for r, span, start, marks, sums, units, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if r != row:
+                    close()
+                    row, own, total, frames, segments, sound, first, last, crc, before = r, rest, np.zeros(params.mels), 0, 0, 0, 0.0, 0.0, 0, 0
+                if span < 0:
+                    continue
+                on = np.frombuffer(marks, np.uint8)
+                at = np.flatnonzero(on)
+                opened = int(np.count_nonzero(on > np.concatenate([[before], on[:-1]])))
+                if len(at):
+                    first = first if segments else start + at[0] * seconds
+                    last = start + (at[-1] + 1) * seconds
+                total, frames, segments, sound, crc, before = total + np.frombuffer(sums), frames + len(on), segments + opened, sound + len(at), zlib.crc32(units, crc), on[-1]
+            if done:
+                yield batch(_DIGESTS, *map(list, zip(*done, strict=True)))
+                done.clear()
+        close()
+        if done:
+            yield batch(_DIGESTS, *map(list, zip(*done, strict=True)))
+
+    # ids may repeat, so each row has a number of its own, which is stored with it
+    media = stored(audio_column(docs, params, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "audio", "zstd")
+    tensors = stored(audio_tensors(media.select(F.col("row").alias("doc_id"), "media"), params).withColumnRenamed("doc_id", "row"), "tensors", "zstd")
+    parts = media.mapInArrow(checks, _SPANS_SQL).unionAll(tensors.select("row", "span", "start_s", "frames", "marks", "tensor").mapInArrow(spans, _SPANS_SQL))
+    ordered = parts.repartition(partitions(docs.sparkSession), "row").sortWithinPartitions("row", "span")
+    return ordered.mapInArrow(features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

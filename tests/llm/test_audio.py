@@ -82,3 +82,22 @@ def test_tensors_have_one_shape_and_time_spans(spark, tmp_path):
         assert (own["frames"].iloc[:-1] == p.span).all() and own["frames"].iloc[-1] > 0
         assert np.allclose(own["end_s"].iloc[:-1], own["start_s"].iloc[1:]) and own["start_s"].iloc[0] == 0
         assert own["sound"].between(0, 1).all()
+
+
+def test_features_come_from_stored_tensors(spark, monkeypatch):
+    """Documents of many spans, repeated ids: what is derived from the tensors is what the signal gives."""
+    kept, p, put = [], audio.AudioParams(), audio.stored
+    monkeypatch.setattr(audio, "stored", lambda *a: kept.append(put(*a)) or kept[-1])
+    rows = [(1, "ab " * 9000 + "z" * 30_000), (1, "other " * 50), (2, None), (3, "é" * 40_000)]
+    got = {r.payload_sha256: r.feature for r in audio.audio_digests(frame(spark, rows), p).collect()}
+    assert len(kept) == 2 and kept[1].where("size(tensor) = 1280").count() == kept[1].count() > len(rows)
+    f, seconds = audio.Features(p), p.hop * p.down / p.rate
+    for _, t in rows:
+        x = audio.padded((t or "").encode())
+        mel, energy = (np.concatenate(c) for c in list(zip(*f.blocks(np.frombuffer(x, np.uint8)), strict=True))[1:])
+        seg = f.segments(energy)
+        ends = f"{seg[0, 0] * seconds:.3f}-{seg[-1, 1] * seconds:.3f}" if len(seg) else "-"
+        own = got[hashlib.sha256(x).hexdigest()].split(";")
+        assert own[:4] == [str(len(energy)), str(len(seg)), str((seg[:, 1] - seg[:, 0]).sum()), ends]
+        assert own[5] == f"{zlib.crc32(np.rint(mel).astype(np.int8).tobytes()):08x}"
+        np.testing.assert_allclose(np.array(own[4].split(","), int), mel.mean(axis=0) * 10, atol=0.51)
