@@ -162,7 +162,7 @@ def safe_refinements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edit_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "part").select("p_partkey", F.substring("p_name", 1, 20).alias("a"), F.substring("p_type", 1, 20).alias("b"))
+    own = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("a"), F.col("p_type").alias("b"))
     return own.select("p_partkey", align.edit_distance(F.col("a"), F.col("b")).alias("distance"))
 
 

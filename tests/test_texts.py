@@ -175,3 +175,8 @@ def test_comparisons_see_what_lies_behind_character_600(spark, tmp_path):
     lost = "".join(chr(0x4E00 + i) for i in range(1500))
     r = spark.createDataFrame([(lost, lost[:1300] + "x" * 200)], "a string, b string").select(align.refinement_safety("a", "b").alias("s")).first().s
     assert r.reason == "trailing-content-lost"
+
+
+def test_edit_distances_see_whole_names(spark, tmp_path):
+    spark.createDataFrame([(1, "a" * 30, "a" * 20 + "b" * 10)], "p_partkey long, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    assert texts.QUERIES["edit_distances"](spark, str(tmp_path)).first().distance == 10
