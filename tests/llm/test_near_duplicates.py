@@ -67,12 +67,32 @@ def test_a_link_at_exactly_three_quarters_counts(spark):
 
 def test_buckets_beyond_a_block_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(minmax, "BLOCK", 8)
+    monkeypatch.setattr(minmax, "FOLLOWERS", 8)
     rng = random.Random(9)
     own = prose(rng, 80).split(" ")
     rows = [(i, " ".join([*own[: i % 80], f"x{i}", *own[i % 80 + 1 :]])) for i in range(90)] + chain(4)
     assert by_id(minmax.near_groups(frame(spark, rows)), "n_shingles", "component_id", "kept") == brute(rows)
 
 
+def test_rows_that_share_an_id_are_one_node(spark):
+    """An id's texts are both its own: what either is linked with is one component."""
+    rng = random.Random(6)
+    a, z = prose(rng, 60), prose(rng, 60)
+    rows = [(1, a + " q"), (2, a), (2, z), (3, z + " q"), (4, prose(rng, 30)), (3, None), (2, a)]
+    got = minmax.near_groups(frame(spark, rows))
+    assert by_id(got, "component_id", "kept") == [(1, 1, True), (2, 1, False), (2, 1, False), (2, 1, False), (3, 1, False), (3, 1, False), (4, 4, True)]
+    assert by_id(minmax.keep_one(frame(spark, rows))) == [(1,), (4,)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_repeated_ids_are_those_of_all_pairs(spark, seed):
+    rows = corpus(seed)
+    sets = [(d, shingles(t)) for d, t in rows]
+    links = [(d, e) for (d, x), (e, y) in itertools.combinations(sets, 2) if x and y and 100 * len(x & y) >= 75 * len(x | y)]
+    label = groups(links, {d for d, _ in rows})
+    assert by_id(minmax.near_groups(frame(spark, rows)), "component_id") == sorted((d, label[d]) for d, _ in rows)
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(3)
     both, one, two = (rng.integers(0, 2**63, n, np.uint64) for n in (700, 100, 100))
