@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,115 +11,183 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, batch, documents, joined, ranges, span_hashes, steps, word_hashes, words
+from .shared import LOWER, batch, documents, joined, ranges, span_hashes, steps, stored, word_hashes, words
 
 #: Bits of the table that most seeds of clean documents fail at once.
 _SIEVE = 22
+#: (Seed, item) pairs that are looked at together.
+_AT_ONCE = 1 << 21
 
 _HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_words", pa.int32()), ("covered", pa.int32()), ("tiles", pa.int32()), ("coverage", pa.float64())])
 HITS = "doc_id long, item_id long, item_words int, covered int, tiles int, coverage double"
 
 
-def text_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (A-Z in lower case) of all texts, and where each text's words begin (n + 1)."""
-    data, offs = joined(texts)
-    data = LOWER[data]
-    starts, ends, first = words(data, offs)
-    return word_hashes(data, starts, ends), first
+@dataclass
+class Words:
+    """The words (A-Z in lower case) of some texts: bytes, places, hashes, and where each text's words begin (n + 1)."""
+
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    hashes: np.ndarray
+    first: np.ndarray
+
+    @staticmethod
+    def of(texts: pa.Array) -> Words:
+        data, offs = joined(texts)
+        data = LOWER[data]
+        starts, ends, first = words(data, offs)
+        return Words(data, starts, ends, word_hashes(data, starts, ends), first)
+
+    def spelled(self, i: int, n: int) -> list[bytes]:
+        """n words from the i-th on."""
+        base = self.starts[i]
+        raw = self.data[base : self.ends[i + n - 1]].tobytes()
+        return [raw[a:z] for a, z in zip((self.starts[i : i + n] - base).tolist(), (self.ends[i : i + n] - base).tolist(), strict=True)]
+
+
+def _free_from(free: np.ndarray) -> np.ndarray:
+    """How many unmarked words follow each other from each place on."""
+    here = np.arange(len(free))
+    stop = np.minimum.accumulate(np.where(free, len(free), here)[::-1])[::-1]
+    return stop - here
+
 
+def tile(a: np.ndarray, b: np.ndarray, hits: np.ndarray, least: int, same: Callable[[int, int, int], bool] = lambda i, j, n: True) -> tuple[np.ndarray, int]:
+    """Greedy string tiling of b by a (hashes of words): which of b's words tiles cover, and the number of tiles.
 
-def tile(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, int]], least: int) -> tuple[np.ndarray, int]:
-    """Greedy string tiling of b by a: which of b's words tiles cover, and the number of tiles.
+    The longest match of unmarked words is marked first (of equal ones the earliest in b, then
+    in a), until none of at least `least` words is left; each word of a and of b lies in one
+    tile at most. Running Karp-Rabin: the length of the longest match is found by halving,
+    each trial by the hashes of all unmarked stretches of that length; then all matches of that
+    length are marked in one pass. So memory follows the lengths of a and b, whatever repeats.
 
-    seeds: places (in a, in b) where `least` equal words begin, as running Karp-Rabin hashes
-    find them. Seeds that follow each other on a diagonal form the maximal matches. The longest
-    match is marked first (of equal ones the earliest in b, then in a); of one that overlaps
-    marked words the unmarked stretches of at least `least` words come up again. Each word of a
-    and of b lies in one tile at most.
+    hits: the places in a where `least` words begin that b has too; only what they cover is
+    looked at. same(i, j, n): whether n words from i in a and j in b are spelled alike; matches
+    of unlike words with like hashes are passed over.
     """
-    heap: list[tuple[int, int, int]] = []
-    run: tuple[int, int, int] | None = None
-    for i, j in sorted(seeds, key=lambda s: (s[0] - s[1], s[1])):
-        if run and i - j == run[0] - run[1] and j == run[1] + run[2]:
-            run = (run[0], run[1], run[2] + 1)
-            continue
-        if run:
-            heap.append((-(run[2] + least - 1), run[1], run[0]))
-        run = (i, j, 1)
-    if run:
-        heap.append((-(run[2] + least - 1), run[1], run[0]))
-    heapq.heapify(heap)
-    used_a: set[int] = set()
     used_b, tiles = np.zeros(len(b), bool), 0
-    while heap:
-        size, j, i = heapq.heappop(heap)
-        free = [not used_b[j + k] and i + k not in used_a for k in range(-size)]
-        if all(free):
-            used_b[j : j - size] = True
-            used_a.update(range(i, i - size))
-            tiles += 1
-            continue
-        start = None
-        for k, ok in enumerate([*free, False]):
-            if ok and start is None:
-                start = k
-            elif not ok and start is not None:
-                if k - start >= least:
-                    heapq.heappush(heap, (start - k, j + start, i + start))
-                start = None
-    return used_b, tiles
+    if not len(hits):
+        return used_b, tiles
+    inside = np.zeros(hits[-1] - hits[0] + least + 1, np.int32)
+    np.add.at(inside, hits - hits[0], 1)
+    np.add.at(inside, hits - hits[0] + least, -1)
+    place = np.flatnonzero(np.cumsum(inside) > 0) + hits[0]
+    gap = np.flatnonzero(np.diff(place) > 1) + 1
+    place = np.insert(place, gap, -1)  # a marked word keeps the stretches apart
+    free, own = place >= 0, a[place]
+
+    def windows(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        at, to = np.flatnonzero(_free_from(free) >= n), np.flatnonzero(_free_from(~used_b) >= n)
+        return at, span_hashes(own, n)[at], to, span_hashes(b, n)[to]
+
+    def shared(n: int) -> bool:
+        _, x, _, y = windows(n)
+        return bool(np.isin(y, x).any())
+
+    most = len(b)
+    while True:
+        high = min(most, int(_free_from(free).max(initial=0)), int(_free_from(~used_b).max(initial=0)))
+        low = least - 1  # no longer match than high, and one of low words (or none wanted)
+        if high > low and shared(high):
+            low = high
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (mid, high) if shared(mid) else (low, mid)
+        n = low
+        if n < least:
+            return used_b, tiles
+        at, x, to, y = windows(n)
+        order = np.argsort(x, kind="stable")
+        at, x = at[order], x[order]
+        begin, end = np.searchsorted(x, y, "left"), np.searchsorted(x, y, "right")
+        done = 0
+        for j, k, stop in zip(to.tolist(), begin.tolist(), end.tolist(), strict=True):
+            while j >= done and k < stop:
+                i = int(at[k])
+                marked = np.flatnonzero(~free[i : i + n])
+                if len(marked):
+                    k += int(np.searchsorted(at[k:stop], i + marked[-1] + 1))
+                elif same(int(place[i]), j, n):
+                    free[i : i + n] = False
+                    used_b[j : j + n] = True
+                    tiles, done = tiles + 1, j + n
+                else:
+                    k += 1
+        most = n - 1
 
 
 @dataclass
 class Items:
-    """A block of benchmark items: their words, and their seeds by hash."""
+    """A block of benchmark items: their words, and for each seed the items that hold it and how often."""
 
     ids: list[int]
-    words: list[np.ndarray]
+    text: Words
+    seeds: list[np.ndarray]
     seed: np.ndarray
     item: np.ndarray
-    place: np.ndarray
+    times: np.ndarray
     sieve: np.ndarray
 
     @staticmethod
     def of(ids: list[int], texts: list[str | None], least: int) -> Items:
-        h, first = text_words(pa.array(texts, pa.string()))
-        own = [h[a:z] for a, z in zip(first, first[1:], strict=False)]
-        seeds = [span_hashes(w, least) for w in own]
-        item = np.repeat(np.arange(len(own)), [len(s) for s in seeds])
-        place = ranges(np.zeros(len(own), np.int64), np.array([len(s) for s in seeds], np.int64))
+        w = Words.of(pa.array(texts, pa.string()))
+        seeds = [span_hashes(w.hashes[a:z], least) for a, z in zip(w.first, w.first[1:], strict=False)]
+        item = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds])
         seed = np.concatenate([*seeds, np.zeros(0, np.uint64)]).astype(np.uint64)
-        order = np.argsort(seed, kind="stable")
+        order = np.lexsort((item, seed))
+        seed, item = seed[order], item[order]
+        new = np.ones(len(seed), bool)
+        new[1:] = (seed[1:] != seed[:-1]) | (item[1:] != item[:-1])
+        head = np.flatnonzero(new)
         sieve = np.zeros(1 << _SIEVE, bool)
         sieve[(seed & np.uint64((1 << _SIEVE) - 1)).astype(np.int64)] = True
-        return Items(ids, own, seed[order], item[order], place[order], sieve)
+        return Items(ids, w, seeds, seed[head], item[head], np.diff(np.append(head, len(seed))), sieve)
 
-    def matches(self, h: np.ndarray, first: np.ndarray, least: int, threshold: float) -> Iterator[tuple[int, int, int, int, int, float]]:
+    def matches(self, w: Words, least: int, threshold: float) -> Iterator[tuple[int, int, int, int, int, float]]:
         """(text, item id, item words, covered words, tiles, coverage) of the pairs at or above the threshold."""
-        s = span_hashes(h, least)
+        s = span_hashes(w.hashes, least)
         at = np.flatnonzero(self.sieve[(s & np.uint64((1 << _SIEVE) - 1)).astype(np.int64)])
-        low, high = np.searchsorted(self.seed, s[at], "left"), np.searchsorted(self.seed, s[at], "right")
-        text = np.searchsorted(first, at, side="right") - 1
-        keep = (high > low) & (at + least <= first[text + 1])
-        at, low, high, text = at[keep], low[keep], high[keep], text[keep]
-        n = high - low
-        post = ranges(low, n)
-        at, text = np.repeat(at, n), np.repeat(text, n)
-        item, place = self.item[post], self.place[post]
-        order = np.lexsort((place, item, text))
-        at, text, item, place = at[order], text[order], item[order], place[order]
-        cuts = np.flatnonzero((text[1:] != text[:-1]) | (item[1:] != item[:-1])) + 1
-        for own in np.split(np.arange(len(at)), cuts):
-            if not len(own):
-                continue
-            t, b = text[own[0]], self.words[item[own[0]]]
-            j = np.unique(place[own])
-            most = np.minimum(np.diff(j, append=j[-1] + least), least).sum()
-            if most < threshold * len(b):
+        text = np.searchsorted(w.first, at, side="right") - 1
+        keep = (at + least <= w.first[text + 1]) & np.isin(s[at], self.seed)
+        at, text = at[keep], text[keep]
+        begin = np.searchsorted(text, np.arange(len(w.first)))
+        order = np.lexsort((s[at], text))  # each seed of a text once
+        new = np.ones(len(at), bool)
+        new[1:] = (text[order][1:] != text[order][:-1]) | (s[at[order]][1:] != s[at[order]][:-1])
+        own, value = text[order][new], s[at[order]][new]
+        low, high = np.searchsorted(self.seed, value, "left"), np.searchsorted(self.seed, value, "right")
+        size = np.diff(self.text.first)
+        cuts = np.flatnonzero(np.diff(own)) + 1  # whole texts at once
+        total = np.concatenate([[0], np.cumsum(high - low)])
+        a = 0
+        for z in [*cuts.tolist(), len(own)]:
+            if z < len(own) and total[z] - total[a] < _AT_ONCE:
                 continue
-            used, tiles = tile(h[first[t] : first[t + 1]], b, list(zip((at[own] - first[t]).tolist(), place[own].tolist(), strict=True)), least)
-            if used.sum() >= threshold * len(b):
-                yield int(t), self.ids[item[own[0]]], len(b), int(used.sum()), tiles, float(used.mean())
+            post = ranges(low[a:z], (high - low)[a:z])
+            pair = np.repeat(own[a:z], (high - low)[a:z]) * len(size) + self.item[post]
+            pair, which = np.unique(pair, return_inverse=True)
+            most = least * np.bincount(which, self.times[post], len(pair))
+            for p in pair[most >= threshold * size[pair % len(size)]].tolist():
+                yield from self._tiled(w, *divmod(p, len(size)), at, s, begin, least, threshold)
+            a = z
+
+    def _tiled(self, w: Words, t: int, k: int, at: np.ndarray, s: np.ndarray, begin: np.ndarray, least: int, threshold: float) -> Iterator[tuple[int, int, int, int, int, float]]:
+        mine = at[begin[t] : begin[t + 1]]
+        hits = mine[np.isin(s[mine], self.seeds[k])]
+        reach = np.zeros(len(self.seeds[k]) + least, np.int32)
+        known = np.flatnonzero(np.isin(self.seeds[k], s[hits]))
+        np.add.at(reach, known, 1)
+        np.add.at(reach, known + least, -1)
+        a, b = w.first[t], self.text.first[k]
+        n = int(self.text.first[k + 1] - b)
+        if np.count_nonzero(np.cumsum(reach) > 0) < threshold * n:
+            return
+        same = lambda i, j, m: w.spelled(a + i, m) == self.text.spelled(b + j, m)
+        used, tiles = tile(w.hashes[a : w.first[t + 1]], self.text.hashes[b : b + n], hits - a, least, same)
+        covered = int(used.sum())
+        if covered and covered >= threshold * n:
+            yield t, self.ids[k], n, covered, tiles, covered / n
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshold: float = 0.5, block_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -128,8 +195,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshol
 
     Passages count in any order and with gaps between them, as each tile is marked on its own.
     The benchmark is the query set: it is held against all documents in blocks of at most
-    `block_bytes` of its text, each of which is broadcast; its size is taken before. Documents
-    stay where they are. Words are compared with A-Z in lower case.
+    `block_bytes` of its text, each of which is broadcast; its size is taken before. Where there
+    are several, each block's result is stored before the next one comes to the driver. Documents
+    stay where they are: shared seeds are joined with the broadcast ones. Words are compared with
+    A-Z in lower case, and tiles by their spelling.
 
     A null or empty text has no match, nor has an item of fewer than `least` words; items
     without an id are left out. Repeated rows, ids and items each give rows of their own; empty
@@ -137,46 +206,53 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshol
     """
     texts = documents(docs, id_col, text_col)
     out = None
-    for block in _blocks(benchmark, block_bytes, item_col, item_text):
+    for block, last in _blocks(benchmark, block_bytes, item_col, item_text):
 
         def search(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             items = Items.of(*block.value, least)
             for b in batches:
                 for i, j in steps(b.column("text")):
-                    h, first = text_words(b.column("text")[i:j])
-                    found = list(items.matches(h, first, least, threshold))
+                    found = list(items.matches(Words.of(b.column("text")[i:j]), least, threshold))
                     if found:
                         own = b.column("doc_id")[i:j].take(pa.array([x[0] for x in found]))
                         yield batch(_HITS, own, *(list(c) for c in list(zip(*found, strict=True))[1:]))
 
         hits = texts.mapInArrow(search, HITS)
+        if not last:
+            hits = stored(hits, "tiles")
+            block.destroy()
         out = hits if out is None else out.union(hits)
     return docs.sparkSession.createDataFrame([], HITS) if out is None else out
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int, item_col: str, item_text: str) -> Iterator[Broadcast]:
-    """The items in blocks of bounded size, each broadcast."""
+def _blocks(benchmark: DataFrame, block_bytes: int, item_col: str, item_text: str) -> Iterator[tuple[Broadcast, bool]]:
+    """The items in blocks of bounded size, each broadcast, and whether it is the last one."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("text")).where("item_id is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     blocks = -(-total // block_bytes)
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(([r.item_id for r in rows], [r.text for r in rows]))
+        yield benchmark.sparkSession.sparkContext.broadcast(([r.item_id for r in rows], [r.text for r in rows])), k == blocks - 1
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshold: float = 0.5, block_bytes: int = 32 << 20, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose text isn't contaminated; each row is judged where it lies."""
+    """The rows of docs, with all their columns, whose text isn't contaminated; each row is judged where it lies.
+
+    Null and empty texts, repeated rows and empty tables: as in contaminated().
+    """
     index = docs.columns.index(text_col)
-    for block in _blocks(benchmark, block_bytes, item_col, item_text):
+    for block, last in _blocks(benchmark, block_bytes, item_col, item_text):
 
         def clean(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             items = Items.of(*block.value, least)
             for b in batches:
                 for i, j in steps(b.column(index)):
-                    h, first = text_words(b.column(index)[i:j])
                     keep = np.ones(j - i, bool)
-                    keep[[x[0] for x in items.matches(h, first, least, threshold)]] = False
+                    keep[[x[0] for x in items.matches(Words.of(b.column(index)[i:j]), least, threshold)]] = False
                     yield b.slice(i, j - i).filter(pa.array(keep))
 
         docs = docs.mapInArrow(clean, docs.schema)
+        if not last:
+            docs = stored(docs, "unseen")
+            block.destroy()
     return docs

@@ -1,8 +1,11 @@
 """String tiling against a search without hashes."""
 
 import random
+import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cadenza.llm import tiling
 from samples import corpus, frame, lower, prose, split
@@ -64,13 +67,37 @@ def test_matches_are_those_of_a_plain_search(spark, seed, threshold, block):
     assert sorted(((r.doc_id, r.item_id, r.item_words, r.covered, r.tiles) for r in got.collect()), key=repr) == brute(rows, items, 5, threshold)
 
 
-@pytest.mark.parametrize("seed", range(30))
+@pytest.mark.parametrize("seed", range(60))
 def test_tiles_are_greedy_and_do_not_overlap(seed):
     rng = random.Random(seed)
-    a, b = ([rng.choice("xyz") for _ in range(rng.randint(3, 40))] for _ in range(2))
-    seeds = [(i, j) for i in range(len(a) - 2) for j in range(len(b) - 2) if a[i : i + 3] == b[j : j + 3]]
-    used, tiles = tiling.tile(np.array(a), np.array(b), seeds, 3)
-    assert (used.tolist(), tiles) == tiled(a, b, 3)
+    a, b = (np.array([rng.choice((11, 12, 13)[: 2 + seed % 2]) for _ in range(rng.randint(3, 60))], np.uint64) for _ in range(2))
+    known = {tuple(b[j : j + 3]) for j in range(len(b) - 2)}
+    hits = np.array([i for i in range(len(a) - 2) if tuple(a[i : i + 3]) in known], np.int64)
+    used, tiles = tiling.tile(a, b, hits, 3)
+    assert (used.tolist(), tiles) == tiled(a.tolist(), b.tolist(), 3)
+
+
+def test_words_with_one_hash_are_told_apart_by_spelling(monkeypatch):
+    """With all hashes equal only the spelling is left."""
+    monkeypatch.setattr(tiling, "word_hashes", lambda data, starts, ends: np.ones(len(starts), np.uint64))
+    rows, items = planted(1)
+    own = tiling.Items.of([k for k, _ in items[:4]], [t for _, t in items[:4]], 5)
+    for row in rows[:6]:
+        found = [(row[0], *x[1:5]) for x in own.matches(tiling.Words.of(pa.array([row[1]])), 5, 0.5)]
+        assert sorted(found) == brute([row], items[:4], 5, 0.5)
+
+
+def test_long_runs_of_one_word_stay_small():
+    """100,000 equal words against 10,000: all pairs of places would be a thousand million."""
+    item = tiling.Items.of([1, 2], ["a " * 10_000, "a b " * 5_000], 5)
+    text = tiling.Words.of(pa.array(["a " * 100_000, "a b " * 6_000 + "a " * 3_000]))
+    began = time.perf_counter()
+    tracemalloc.start()
+    got = list(item.matches(text, 5, 0.5))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [x[:5] for x in got] == [(0, 1, 10_000, 10_000, 1), (1, 2, 10_000, 10_000, 1)]
+    assert most < 200 << 20 and time.perf_counter() - began < 20
 
 
 def test_only_contaminated_rows_go(spark):
