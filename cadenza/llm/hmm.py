@@ -1,39 +1,48 @@
-"""Language-model scores by a hidden Markov model over word classes."""
+"""Language-model scores by a hidden Markov model over words."""
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, batch, joined, mix, partitions, ranges, steps, stored, word_hashes, words
+from .shared import LOWER, batch, joined, partitions, ranges, steps, stored, word_hashes, words
 
 #: The end token's hash.
 END = np.uint64(0xE0D0F0D0C0DE5EED)
 
-_PACKED = pa.schema([("to", pa.int64()), ("packed", pa.binary())])
-_CHUNK = 8 << 20
+_SUMS = pa.schema([("to", pa.int64()), ("sums", pa.binary())])
+_COUNTS = pa.schema([("word", pa.int64()), ("times", pa.int64())])
+_ENCODED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("head_log", pa.float64()), ("head_known", pa.int64()), ("loss", pa.float64()), ("symbols", pa.binary()), ("tail", pa.list_(pa.int64()))])
+ENCODED = "doc_id long, held_out boolean, train boolean, n_tokens long, head_log double, head_known long, loss double, symbols binary, tail array<long>"
+#: Tokens whose forward vectors are kept at once.
+_PORTION = 1 << 19
+#: Fixed point of sums of logarithms, so that they don't depend on the order of addition.
+_POINT = 2.0**36
 
 
 @dataclass(frozen=True)
 class HmmParams:
-    """classes: emission classes (words are dealt to them by hash), the bound of the model's size; states: latent states; rounds: of Baum-Welch; piece: tokens of a training sequence (longer texts are cut for training only); floor: pseudo-count of an emission; slices: parts in which expected counts are summed."""
+    """head: the most frequent words, each an emission symbol of its own; tail: symbols that all other words are dealt to by hash (both bound the model's size, not what is counted); states: latent states; rounds: Baum-Welch rounds at most; gain: training ends when a round raises the log-likelihood by a smaller share; floor: pseudo-count of an emission; slices: parts in which expected counts are summed."""
 
-    classes: int = 16_384
-    states: int = 6
-    rounds: int = 5
-    piece: int = 1024
+    head: int = 16_000
+    tail: int = 256
+    states: int = 8
+    rounds: int = 8
+    gain: float = 2e-4
     floor: float = 0.01
     slices: int = 32
     seed: int = 11
 
+    @property
+    def symbols(self) -> int:
+        return self.head + self.tail
+
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of all texts (words with A-Z in lower case, then one end each), and where each text's begin (n + 1)."""
@@ -47,215 +56,221 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, begin
 
 
-def _zip(*arrays: np.ndarray) -> bytes:
-    raw = struct.pack("<i", len(arrays)) + b"".join(struct.pack("<cq", a.dtype.char.encode(), len(a)) for a in arrays) + b"".join(a.tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, times) of all tokens of (train, text) rows in training, by 64-bit hash; a task adds up each step's own before anything is sent."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j in steps(b.column("text"), 8 << 20):
+                word, times = np.unique(tokens(b.column("text")[i:j])[0], return_counts=True)
+                yield batch(_COUNTS, word.view(np.int64), times)
+
+    return docs.where("train").select("text").mapInArrow(count, "word long, times long").groupBy("word").agg(F.sum("times").alias("times"))
+
+
+@dataclass
+class Vocabulary:
+    """The frequent words, sorted, with their counts, and of each tail symbol the tokens and the distinct words in training."""
 
+    word: np.ndarray
+    times: np.ndarray
+    tail_tokens: np.ndarray
+    tail_words: np.ndarray
 
-def _unzip(blob: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    (n,) = struct.unpack_from("<i", raw)
-    at, out = 4 + 9 * n, []
-    for k in range(n):
-        kind, size = struct.unpack_from("<cq", raw, 4 + 9 * k)
-        out.append(np.frombuffer(raw, kind.decode(), size, at))
-        at += out[-1].nbytes
-    return out
+    @staticmethod
+    def of(counts: DataFrame, p: HmmParams) -> Vocabulary:
+        """From the whole table of counts; the driver gets p.head rows of words and p.tail of sums."""
+        head = counts.orderBy(F.desc("times"), "word").limit(p.head)
+        top = head.toPandas().sort_values("word")
+        rest = counts.join(F.broadcast(head.select("word")), "word", "left_anti")
+        tail_tokens, tail_words = np.zeros(p.tail, np.int64), np.zeros(p.tail, np.int64)
+        for r in rest.groupBy(F.pmod("word", F.lit(p.tail)).alias("k")).agg(F.sum("times").alias("n"), F.count("*").alias("v")).collect():
+            tail_tokens[r.k], tail_words[r.k] = r.n, r.v
+        return Vocabulary(top["word"].to_numpy(np.int64), top["times"].to_numpy(np.int64), tail_tokens, tail_words)
+
+    def totals(self, p: HmmParams) -> np.ndarray:
+        """Training tokens of each symbol."""
+        out = np.zeros(p.symbols)
+        out[: len(self.times)] = self.times
+        out[p.head :] = self.tail_tokens
+        return out
+
+    def encoded(self, h: np.ndarray, p: HmmParams) -> tuple[np.ndarray, np.ndarray]:
+        """Each token's symbol, and its place among the frequent words (-1: none)."""
+        h = h.view(np.int64)
+        at = np.minimum(np.searchsorted(self.word, h), max(len(self.word) - 1, 0))
+        hit = self.word[at] == h if len(self.word) else np.zeros(len(h), bool)
+        at = np.where(hit, at, -1)
+        return np.where(hit, at, p.head + h % p.tail).astype(np.uint16 if p.symbols <= 1 << 16 else np.uint32), at
+
+
+def _portions(order: np.ndarray, n: np.ndarray) -> Iterator[np.ndarray]:
+    """The blocks in portions of about _PORTION symbols."""
+    ends = np.cumsum(n[order])
+    i = 0
+    while i < len(order):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + _PORTION, side="right")))
+        yield order[i:j]
+        i = j
+
+
+Counts = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 class Hmm:
+    """Start, move and emission probabilities (symbols x states)."""
+
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.move, self.emit = start, move, np.ascontiguousarray(emit)
 
     @staticmethod
-    def first(counts: np.ndarray, p: HmmParams) -> Hmm:
-        """Slow states whose emissions are the classes' counts, shaken by a seeded generator."""
+    def first(totals: np.ndarray, p: HmmParams) -> Hmm:
+        """Emissions are the symbols' counts, shaken by a seeded generator. All states but the last two have a bent to stay, and those to alternate: topics and word order both have a start."""
         k, rng = p.states, np.random.default_rng(p.seed)
-        emit = (counts[:, None] + p.floor) * rng.gamma(2.0, size=(len(counts), k))
-        return Hmm(np.full(k, 1 / k), np.full((k, k), 0.2 / k) + 0.8 * np.eye(k), emit / emit.sum(axis=0))
+        emit = (totals[:, None] + p.floor) * (rng.gamma(0.3, size=(len(totals), k)) + 0.01)
+        move = rng.gamma(2.0, size=(k, k))
+        to = np.arange(k)
+        if k > 2:
+            to[-2:] = k - 1, k - 2
+        move = 0.2 * move / move.sum(axis=1, keepdims=True) + 0.8 * np.eye(k)[to]
+        return Hmm(np.full(k, 1 / k), move, emit / emit.sum(axis=0))
 
     @staticmethod
     def of_counts(start: np.ndarray, move: np.ndarray, emit: np.ndarray, p: HmmParams) -> Hmm:
         start, move, emit = start + 1e-3, move + 1e-3, emit + p.floor
         return Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
-    def run(self, seqs: list[np.ndarray], counts: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-        """Natural log-likelihoods by the scaled forward recursion; with counts, the expected starts, moves and emissions are added to them."""
+    def run(self, seqs: list[np.ndarray], counts: Counts | None = None, block: int = 512) -> np.ndarray:
+        """Natural log-likelihoods of whole sequences by the scaled forward recursion; with counts, the expected starts, moves and emissions are added to them.
+
+        A longer sequence than `block` is worked on in blocks, many at once, which changes no
+        result: a block's matrix takes the forward vector before it to the one after it, and the
+        backward vector after it to the one before it; once these are known, each block is run
+        from them. Memory follows what is run together, not a sequence's length.
+        """
         size = np.array([len(s) for s in seqs], np.int64)
-        order = np.argsort(-size, kind="stable")
-        n = size[order]
-        flat = np.concatenate([seqs[i] for i in order]).astype(np.int64)
-        base = np.cumsum(n) - n
-        active = len(n) - np.searchsorted(n[::-1], np.arange(n[0]), side="right")  # sequences longer than t
-        like, alphas, scales = np.zeros(len(n)), [], []
+        many = np.maximum(-(-size // block), 1)
+        seq = np.repeat(np.arange(len(seqs)), many)
+        place = np.arange(len(seq)) - np.repeat(np.cumsum(many) - many, many)
+        n = np.minimum(size[seq] - place * block, block)
+        pieces = [seqs[q][i * block : i * block + m] for q, i, m in zip(seq.tolist(), place.tolist(), n.tolist(), strict=True)]
+        before, after = np.repeat(self.start[None], len(seq), axis=0), np.ones((len(seq), len(self.start)))
+        long = np.flatnonzero(many[seq] > 1)
+        if len(long):
+            whole = np.empty((len(seq), *self.move.shape))
+            for own in _portions(long[np.argsort(-n[long], kind="stable")], n * len(self.start)):
+                whole[own] = self._matrices([pieces[i] for i in own], place[own] == 0)
+            for i in long[place[long] > 0].tolist():
+                before[i] = before[i - 1] @ whole[i - 1]
+                before[i] /= before[i].sum()
+            for i in long[place[long] < many[seq[long]] - 1][::-1].tolist():
+                after[i] = whole[i + 1] @ after[i + 1]
+                after[i] /= after[i].sum()
+        like = np.zeros(len(seqs))
+        for own in _portions(np.argsort(-n, kind="stable"), n):
+            np.add.at(like, seq[own], self._blocks([pieces[i] for i in own], place[own] == 0, before[own], after[own], counts))
+        return like
+
+    def _matrices(self, pieces: list[np.ndarray], first: np.ndarray) -> np.ndarray:
+        """Each block's matrix, up to a factor; blocks come by falling length. A sequence's first symbol has no move before it."""
+        n, k = np.array([len(x) for x in pieces]), len(self.start)
+        flat, base = np.concatenate(pieces), np.cumsum(n) - n
+        out = np.repeat(np.eye(k)[None], len(n), axis=0)
+        for t in range(int(n[0])):
+            b = len(n) - int(np.searchsorted(n[::-1], t, side="right"))
+            e = self.emit[flat[base[:b] + t]][:, None, :]
+            moved = (out[:b].reshape(-1, k) @ self.move).reshape(b, k, k)
+            if t == 0:
+                moved[first] = out[first]
+            out[:b] = moved * e
+            if t % 16 == 15:
+                out[:b] /= out[:b].max(axis=(1, 2), keepdims=True)
+        return out / out.max(axis=(1, 2), keepdims=True)
+
+    def _blocks(self, pieces: list[np.ndarray], first: np.ndarray, before: np.ndarray, after: np.ndarray, counts: Counts | None) -> np.ndarray:
+        """Log-likelihood of each block after what is before it; blocks come by falling length."""
+        n, k = np.array([len(x) for x in pieces]), len(self.start)
+        flat, base = np.concatenate(pieces), np.cumsum(n) - n
+        active = len(n) - np.searchsorted(n[::-1], np.arange(n[0]), side="right")  # blocks longer than t
+        like, alphas, scales = np.zeros(len(n)), [], []  # log-likelihoods are added up in 64 bits
         for t, b in enumerate(active):
             e = self.emit[flat[base[:b] + t]]
-            a = (self.start * e) if t == 0 else (alpha[:b] @ self.move) * e
+            a = alpha[:b] @ self.move if t else np.where(first[:, None], before, before @ self.move)
+            a = a * e
             c = a.sum(axis=1)
             alpha = a / c[:, None]
             like[:b] += np.log(c)
             if counts is not None:
                 alphas.append(alpha)
                 scales.append(c)
-        if counts is not None:
-            start, move, emit = counts
-            beta, weights = np.ones((len(n), len(self.start))), np.empty((len(flat), len(self.start)))
-            moves = np.zeros_like(move)
-            for t in range(len(active) - 1, -1, -1):
-                b = active[t]
-                at = base[:b] + t
-                weights[at] = alphas[t] * beta[:b]
-                if t:
-                    eb = self.emit[flat[at]] * beta[:b] / scales[t][:, None]
-                    moves += alphas[t - 1][:b].T @ eb
-                    beta[:b] = eb @ self.move.T
-            start += weights[base].sum(axis=0)
-            move += moves * self.move
-            for k in range(len(self.start)):
-                emit[:, k] += np.bincount(flat, weights[:, k], len(emit))
-        out = np.empty(len(n))
-        out[order] = like
-        return out
-
-
-def word_sums(docs: DataFrame, p: HmmParams) -> DataFrame:
-    """The one exchange of words: (to, packed) rows of two kinds, stored.
-
-    docs: (key, train, text). A task packs, for each bucket of classes, the distinct words of
-    some documents with their counts in training documents and their postings. A bucket sums a
-    word's counts over the whole corpus and gives, for the documents of each packed part, the
-    sums of log10(count + 1) and of known words (to: the part's id), and each class's tokens and
-    distinct words in training (to: -1). A word that every document holds is one entry a part.
-    """
-    many = max(48, partitions(docs.sparkSession))
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, parts = TaskContext.get().partitionId(), 0
-        for b in batches:
-            for i, j in steps(b.column("text"), _CHUNK):
-                parts += 1
-                key, train = np.asarray(b.column("key")[i:j]), np.asarray(b.column("train")[i:j])
-                h, begin = tokens(b.column("text")[i:j])
-                doc = np.repeat(np.arange(j - i, dtype=np.int32), np.diff(begin))
-                order = np.lexsort((doc, h))
-                h, doc = h[order], doc[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                at = np.flatnonzero(new)
-                times = np.diff(np.append(at, len(h))).astype(np.int32)
-                h, doc = h[at], doc[at]
-                new = np.ones(len(h), bool)
-                new[1:] = h[1:] != h[:-1]
-                head = np.flatnonzero(new)
-                n = np.diff(np.append(head, len(h))).astype(np.int32)
-                count = np.add.reduceat(times * train[doc], head).astype(np.int64)
-                part = task << 32 | parts  # a task that is run again reads the same rows
-                to = (h[head] % np.uint64(p.classes)).astype(np.int64) * many // p.classes
-                by = np.argsort(to, kind="stable")
-                rows = [(part, _zip(key, np.zeros(0)))]
-                for own in np.split(by, np.flatnonzero(np.diff(to[by])) + 1):
-                    post = ranges(head[own], n[own].astype(np.int64))
-                    rows.append((int(to[own[0]]), _zip(np.array([part]), h[head[own]], count[own], n[own], doc[post], times[post])))
-                yield batch(_PACKED, [-2 - t if k else t for k, (t, _) in enumerate(rows)], [x for _, x in rows])
-
-    def settle(table: pa.Table) -> pa.Table:
-        first = table.column("to")[0].as_py()
-        if first >= 0:  # a part's keys pass through
-            return table
-        parts = [_unzip(x.as_py()) for x in table.column("packed")]
-        all_words = np.concatenate([x[1] for x in parts])
-        word, which = np.unique(all_words, return_inverse=True)
-        count = np.bincount(which, np.concatenate([x[2] for x in parts]), len(word)).astype(np.int64)
-        known = count > 0
-        log = np.log10(count + 1.0)
-        out, at = [], 0
-        for (part,), h, _, n, doc, times in parts:
-            own = np.repeat(which[at : at + len(h)], n)
-            at += len(h)
-            most = int(doc.max()) + 1
-            sums, hits, seen = np.bincount(doc, log[own] * times, most), np.bincount(doc, known[own] * times, most), np.bincount(doc, minlength=most) > 0
-            some = np.flatnonzero(seen)
-            out.append((int(part), _zip(some.astype(np.int32), sums[some], hits[some].astype(np.int32))))
-        cls = (word % np.uint64(p.classes)).astype(np.int64)
-        own = np.unique(cls)
-        out.append((-1, _zip(own, np.bincount(cls, count, p.classes)[own].astype(np.int64), np.bincount(cls, known, p.classes)[own].astype(np.int64))))
-        return pa.Table.from_batches([batch(_PACKED, *map(list, zip(*out, strict=True)))])
-
-    return stored(docs.select("key", "train", "text").mapInArrow(send, "to long, packed binary").groupBy("to").applyInArrow(settle, "to long, packed binary"), "word-sums")
-
-
-def class_totals(sums: DataFrame, p: HmmParams) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and distinct words of each class in training: two numbers a class, whatever the corpus."""
-    tokens_in, distinct = np.zeros(p.classes, np.int64), np.zeros(p.classes, np.int64)
-    for row in sums.where("to = -1").select("packed").toLocalIterator():
-        cls, n, v = _unzip(bytes(row.packed))
-        tokens_in[cls] += n
-        distinct[cls] += v
-    return tokens_in, distinct
-
-
-def text_sums(sums: DataFrame) -> DataFrame:
-    """(key, log_sum, n_known) of each distinct key; a key that stands for several rows has each sum once."""
-    schema = pa.schema([("key", pa.int64()), ("log_sum", pa.float64()), ("n_known", pa.int64())])
-
-    def gather(table: pa.Table) -> pa.Table:
-        keys, rest = np.zeros(0, np.int64), []
-        for x in table.column("packed"):
-            own = _unzip(x.as_py())
-            if len(own) == 2:
-                keys = own[0]
-            else:
-                rest.append(own)
-        logs, hits = np.zeros(len(keys)), np.zeros(len(keys), np.int64)
-        # in an order of their own, so that sums don't depend on the order of arrival
-        for doc, s, n in sorted(rest, key=lambda x: (len(x[0]), x[1].tobytes())):
-            logs[doc] += s
-            hits[doc] += n
-        return pa.Table.from_batches([batch(schema, keys, logs, hits)])
-
-    own = sums.where("to >= 0").groupBy("to").applyInArrow(gather, "key long, log_sum double, n_known long")
-    return own.groupBy("key").agg(F.max("log_sum").alias("log_sum"), F.max("n_known").alias("n_known"))
-
-
-def train(encoded: DataFrame, totals: np.ndarray, p: HmmParams) -> Hmm:
-    """Baum-Welch over all training texts: each task adds up its expected counts, which are summed slice by slice; the driver gets one table of classes x states a round."""
-    model = Hmm.first(totals.astype(float), p)
+        if counts is None:
+            return like
+        start, move, emit = counts
+        beta, weights, moves = np.empty((len(n), k)), np.empty((len(flat), k)), np.zeros_like(move)
+        later = ~first
+        for t in range(len(active) - 1, -1, -1):
+            b, ended = active[t], active[t + 1] if t + 1 < len(active) else 0
+            if b > ended:
+                beta[ended:b] = after[ended:b] / (alphas[t][ended:] * after[ended:b]).sum(axis=1, keepdims=True)
+            at = base[:b] + t
+            weights[at] = alphas[t] * beta[:b]
+            eb = self.emit[flat[at]] * beta[:b] / scales[t][:, None]
+            if t:
+                moves += alphas[t - 1][:b].T @ eb
+                beta[:b] = eb @ self.move.T
+            elif later.any():
+                moves += before[later].T @ eb[later]
+        start += weights[base[first]].sum(axis=0)
+        move += moves * self.move
+        for s in range(k):
+            emit[:, s] += np.bincount(flat, weights[:, s], len(emit))
+        return like
+
+
+def _sequences(column: pa.Array, dtype: np.dtype) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), dtype) for x in column]
+
+
+def train(encoded: DataFrame, totals: np.ndarray, p: HmmParams, dtype: np.dtype) -> Hmm:
+    """Baum-Welch over all training texts, whole: each task adds up its expected counts, which are summed slice by slice; the driver gets one table of symbols x states a round."""
+    model, before = Hmm.first(totals, p), None
     spark = encoded.sparkSession
-    width = -(-p.classes // p.slices)
+    width = -(-p.symbols // p.slices)
     for _ in range(p.rounds):
-        sent = spark.sparkContext.broadcast((model.start, model.move, model.emit))  # classes x states numbers
+        sent = spark.sparkContext.broadcast((model.start, model.move, model.emit))  # symbols x states numbers
 
         def expect(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own = Hmm(*sent.value)
-            counts = np.zeros(p.states), np.zeros((p.states, p.states)), np.zeros((p.classes, p.states))
+            own, like, n = Hmm(*sent.value), 0.0, 0
+            counts = np.zeros(p.states), np.zeros((p.states, p.states)), np.zeros((p.symbols, p.states))
             for b in batches:
-                for i, j in steps(b.column("classes"), 1 << 20):
-                    seqs = [np.frombuffer(x.as_buffer(), np.uint16) for x in b.column("classes")[i:j]]
-                    own.run([s[k : k + p.piece] for s in seqs for k in range(0, len(s), p.piece)], counts)
-            rows = [(k, counts[2][k * width : (k + 1) * width].ravel()) for k in range(p.slices)]
-            rows.append((p.slices, np.concatenate([counts[0], counts[1].ravel()])))
-            lane = TaskContext.get().partitionId() % 16
-            yield batch(_PACKED, [16 * k + lane for k, _ in rows], [x.tobytes() for _, x in rows])
+                for i, j in steps(b.column("symbols"), 1 << 21):
+                    like += own.run(_sequences(b.column("symbols")[i:j], dtype), counts).sum()
+                    n += j - i
+            if n:
+                rows = [(k, counts[2][k * width : (k + 1) * width].ravel()) for k in range(p.slices)]
+                rows.append((p.slices, np.concatenate([[like], counts[0], counts[1].ravel()])))
+                lane = TaskContext.get().partitionId() % 16
+                yield batch(_SUMS, [16 * k + lane for k, _ in rows], [x.tobytes() for _, x in rows])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[int, np.ndarray] = {}
             for b in batches:
-                for to, x in zip(b.column("to").to_pylist(), b.column("packed"), strict=True):
+                for to, x in zip(b.column("to").to_pylist(), b.column("sums"), strict=True):
                     own = np.frombuffer(x.as_buffer(), float)
                     total[to // 16] = total[to // 16] + own if to // 16 in total else own.copy()
-            yield batch(_PACKED, [16 * k for k in total], [x.tobytes() for x in total.values()])
-
-        schema = "to long, packed binary"
-        lanes = encoded.where("train").select("classes").mapInArrow(expect, schema).repartition(min(64, partitions(spark)), "to").mapInArrow(add, schema)
-        parts = {k: np.zeros(0) for k in range(p.slices + 1)}
-        for row in lanes.repartition(min(p.slices, partitions(spark)), (F.col("to") / 16).cast("long")).mapInArrow(add, schema).toLocalIterator():
-            parts[row.to // 16] = np.frombuffer(bytes(row.packed))
-        emit = np.concatenate([parts[k] for k in range(p.slices)]).reshape(-1, p.states)
-        if not emit.any():
-            break
-        head = parts[p.slices]
-        model = Hmm.of_counts(head[: p.states], head[p.states :].reshape(p.states, p.states), emit, p)
+            yield batch(_SUMS, [16 * k for k in total], [x.tobytes() for x in total.values()])
+
+        schema = "to long, sums binary"
+        lanes = encoded.where("train").select("symbols").mapInArrow(expect, schema).repartition(min(64, partitions(spark)), "to").mapInArrow(add, schema)
+        parts = {row.to // 16: np.frombuffer(bytes(row.sums)) for row in lanes.repartition(min(p.slices, partitions(spark)), (F.col("to") / 16).cast("long")).mapInArrow(add, schema).toLocalIterator()}
         sent.unpersist()
+        if not parts:
+            break
+        head, k = parts[p.slices], p.states
+        model = Hmm.of_counts(head[1 : k + 1], head[k + 1 :].reshape(k, k), np.concatenate([parts[i] for i in range(p.slices)]).reshape(-1, k), p)
+        if before is not None and head[0] - before < p.gain * abs(before):
+            break
+        before = head[0]
     return model
 
 
@@ -265,44 +280,61 @@ def hmm_scores(docs: DataFrame, held_out: Column, params: HmmParams = HmmParams(
     Tokens: words `[^\\x20\\x09-\\x0D]+` with A-Z in lower case, then one end. base_score: the sum
     of log10((c + 1) / (N + V + 1)). score: log10 of the probability of the text under
 
-        P(text) = P(class sequence | hidden Markov model) * product of P(word | its class),
+        P(text) = P(symbol sequence | hidden Markov model) * product of P(word | its symbol).
 
-    where P(word | class) = (c + 1) / (N_class + V_class + 1) and an unknown word has c = 0. The
-    class sequence's probability is the exact sum over all state paths, by the scaled forward
-    recursion over the whole text. Counts are of all training rows (held_out false or null), and
-    so are the expected counts of every Baum-Welch round. Words are known by 64-bit hashes.
+    The params.head most frequent training words are symbols of their own. Every other word is
+    dealt to a tail symbol, where P(word | symbol) = (c + 1) / (N_symbol + V_symbol + 1); an
+    unknown word has c = 0. The symbol sequence's probability is the exact sum over all state
+    paths, by the scaled forward recursion over the whole text. Counts are of all training rows
+    (held_out false or null), and so are the expected counts of every Baum-Welch round, in which
+    texts are never cut. Words are known by 64-bit hashes; their counts stay distributed, and
+    only tail words, none of which is frequent, are sent to meet them.
 
     A null text counts as empty: the end alone. Repeated rows count as texts of their own, and
     equal rows have equal scores. An empty table gives no rows; other columns are ignored.
     """
     p = params
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    own = own.select("doc_id", "held_out", (~F.col("held_out")).alias("train"), F.xxhash64("doc_id", "held_out", "text").alias("key"), "text")
-    sums = word_sums(own, p)
-    n_class, v_class = class_totals(sums, p)
-    n, v = int(n_class.sum()), int(v_class.sum())
-    loss = np.log10(n_class + v_class + 1.0)
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("train", pa.bool_()), ("key", pa.int64()), ("n_tokens", pa.int64()), ("loss", pa.float64()), ("classes", pa.binary())])
+    own = own.select("doc_id", "held_out", (~F.col("held_out")).alias("train"), "text")
+    counts = stored(word_counts(own), "word-counts")
+    n, v = (int(x or 0) for x in counts.agg(F.sum("times"), F.count("*")).first())
+    vocab = Vocabulary.of(counts, p)
+    spark = docs.sparkSession
+    known = spark.sparkContext.broadcast(vocab)  # p.head words
+    dtype = np.dtype(np.uint16 if p.symbols <= 1 << 16 else np.uint32)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = known.value
+        log = np.append(np.log10(vocab.times + 1.0), 0.0)
+        loss = np.concatenate([np.zeros(p.head), np.log10(vocab.tail_tokens + vocab.tail_words + 1.0)])
         for b in batches:
             for i, j in steps(b.column("text")):
                 h, begin = tokens(b.column("text")[i:j])
-                cls = (h % np.uint64(p.classes)).astype(np.uint16)
-                yield batch(schema, *(b.column(c)[i:j] for c in ("doc_id", "held_out", "train", "key")), np.diff(begin), np.add.reduceat(loss[cls], begin[:-1]), [cls[a:z].tobytes() for a, z in zip(begin, begin[1:], strict=False)])
-
-    encoded = stored(own.mapInArrow(encode, "doc_id long, held_out boolean, train boolean, key long, n_tokens long, loss double, classes binary"), "classes")
-    model = train(encoded, n_class, p)
-    sent = docs.sparkSession.sparkContext.broadcast((model.start, model.move, model.emit))  # classes x states numbers
-    scored = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("key", pa.int64()), ("n_tokens", pa.int64()), ("model", pa.float64())])
+                symbol, at = vocab.encoded(h, p)
+                rare = at < 0
+                edge = np.concatenate([[0], np.cumsum(rare)])[begin]
+                tail = pa.ListArray.from_arrays(edge.astype(np.int32), pa.array(h[rare].view(np.int64)))
+                add = lambda x, begin=begin: np.add.reduceat(x, begin[:-1])
+                yield batch(_ENCODED, *(b.column(c)[i:j] for c in ("doc_id", "held_out", "train")), np.diff(begin), add(log[at]), np.diff(begin) - np.diff(edge), add(loss[symbol]), [symbol[a:z].tobytes() for a, z in zip(begin, begin[1:], strict=False)], tail)
+
+    # rows may be alike, so each has a number of its own, which is stored with it
+    encoded = stored(own.mapInArrow(encode, ENCODED).withColumn("row", F.monotonically_increasing_id()), "symbols")
+    tail = encoded.select("row", F.explode("tail").alias("word")).join(counts.hint("merge"), "word")
+    fixed = F.round(F.log10(F.col("times") + 1.0) * _POINT).cast("long")
+    tail = tail.groupBy("row").agg(F.sum(fixed).alias("tail_log"), F.count("*").alias("tail_known"))
+    model = train(encoded, vocab.totals(p), p, dtype)
+    sent = spark.sparkContext.broadcast((model.start, model.move, model.emit))  # symbols x states numbers
+    scored = pa.schema([f for f in _ENCODED if f.name not in ("train", "loss", "symbols", "tail")] + [pa.field("row", pa.int64()), pa.field("model", pa.float64())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hmm = Hmm(*sent.value)
         for b in batches:
-            for i, j in steps(b.column("classes"), 4 << 20):
-                like = hmm.run([np.frombuffer(x.as_buffer(), np.uint16) for x in b.column("classes")[i:j]])
-                yield batch(scored, *(b.column(c)[i:j] for c in ("doc_id", "held_out", "key", "n_tokens")), like / np.log(10) - np.asarray(b.column("loss")[i:j]))
-
-    rows = encoded.select("doc_id", "held_out", "key", "n_tokens", "loss", "classes").mapInArrow(score, "doc_id long, held_out boolean, key long, n_tokens long, model double")
-    base = F.col("log_sum") - F.col("n_tokens") * float(np.log10(n + v + 1))
-    return rows.join(text_sums(sums), "key").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("model") + F.col("log_sum")).alias("score"))
+            for i, j in steps(b.column("symbols"), 4 << 20):
+                like = hmm.run(_sequences(b.column("symbols")[i:j], dtype))
+                yield batch(scored, *(b.column(c)[i:j] for c in scored.names[:-1]), like / np.log(10) - np.asarray(b.column("loss")[i:j]))
+
+    rows = encoded.drop("train", "tail").mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, head_log double, head_known long, row long, model double")
+    rows = rows.join(tail.hint("merge"), "row", "left")
+    tail_log, tail_known = F.coalesce(F.col("tail_log") / _POINT, F.lit(0.0)), F.coalesce("tail_known", F.lit(0))
+    base = F.col("head_log") + tail_log - F.col("n_tokens") * float(np.log10(n + v + 1))
+    return rows.select("doc_id", "held_out", "n_tokens", (F.col("head_known") + tail_known).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("model") + tail_log).alias("score"))
