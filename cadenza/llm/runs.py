@@ -17,8 +17,8 @@ import zstandard
 
 from .shared import ranges
 
-#: Bits of an item's place in a step's texts; the others hold the hash by which anchors are chosen.
-_PLACE = np.uint64(28)
+#: Bits of an item's place in a step's texts (no string of Spark's has more items); the others hold the hash by which anchors are chosen.
+_PLACE = np.uint64(32)
 
 
 def _small(column: np.ndarray) -> np.ndarray:
@@ -35,25 +35,27 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(cur[:rest], cur[n - size : n - size + rest]) if size < n else cur[:rest]
 
 
-def anchored_runs(core_hashes: np.ndarray, first: np.ndarray, last: np.ndarray, width: int, core: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: (text, first window, windows, anchor), places counted over all texts.
+def anchored_runs(core_hashes: np.ndarray, first: np.ndarray, last: np.ndarray, width: int, core: int, by_value: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one anchor: (text, first window, windows, anchor, the anchor's value), places counted over all texts.
 
-    core_hashes: of the items i .. i + core - 1; first, last: where each text's items begin and end.
+    core_hashes: of the items i .. i + core - 1; first, last: where each text's items begin and
+    end. by_value: windows whose anchors have one value share a run even where the anchor moves,
+    so that a stretch that repeats itself is one run; anchor is then the first window's.
     """
-    none = (np.zeros(0, np.int64),) * 4
+    none = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
     count = np.maximum(last - first - width + 1, 0)
     if not count.any():
         return none
     low = np.uint64((1 << int(_PLACE)) - 1)
-    packed = (core_hashes & ~low) | np.arange(len(core_hashes), dtype=np.uint64)
-    anchor = (sliding_min(packed, width - core + 1) & low).astype(np.int64)
+    packed = sliding_min((core_hashes & ~low) | np.arange(len(core_hashes), dtype=np.uint64), width - core + 1)
     at = ranges(first, count)
-    own = anchor[at]
+    own = packed[at]
+    mark = own >> _PLACE if by_value else own
     new = np.ones(len(at), bool)
-    new[1:] = (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)
+    new[1:] = (mark[1:] != mark[:-1]) | (at[1:] != at[:-1] + 1)
     head = np.flatnonzero(new)
     text = np.repeat(np.arange(len(first)), count)[head]
-    return text, at[head], np.diff(np.append(head, len(at))), own[head]
+    return text, at[head], np.diff(np.append(head, len(at))), (own[head] & low).astype(np.int64), own[head] >> _PLACE
 
 
 def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -73,7 +75,7 @@ def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray)
 
 @dataclass
 class Runs:
-    """Runs as columns. doc: document; start: the first window's place in it; count: windows; anchor: the anchor's place in the string; at, size: the string in data. A run without a string (size 0) is a verdict already: all its windows go."""
+    """Runs as columns. doc: document; start: the first window's place in it; count: windows; anchor: the anchor's place in the string (not used where it moves within a run); at, size: the string in data. A run without a string (size 0) is a verdict already: all its windows go."""
 
     doc: np.ndarray
     start: np.ndarray

@@ -2,32 +2,25 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step looks at; a longer document is a step of its own.
 STEP_BYTES = 2 << 20
 
-_own: list[str] = []
-
-
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir (or, where that is unset, under /tmp/checkpoints)."""
+    """A new folder under spark.checkpoint.dir, which driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    path = f"{(base or 'file:///tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
     if not base:
-        if not _own:
-            atexit.register(lambda: [shutil.rmtree(p.removeprefix("file://"), ignore_errors=True) for p in _own])
-        _own.append(path)
-    return path
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
@@ -57,6 +50,24 @@ def steps(texts: pa.Array, most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def zipped(texts: DataFrame) -> DataFrame:
+    """(doc_id, text) with each text compressed: for an exchange that whole texts go through."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.binary())])
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_ = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=True)
+        for b in batches:
+            for i, j in steps(b.column("text"), 8 << 20):
+                yield batch(schema, b.column("doc_id")[i:j], [zip_.compress(t.as_buffer()) for t in b.column("text")[i:j]])
+
+    return texts.select("doc_id", "text").mapInArrow(squeeze, "doc_id long, text binary")
+
+
+def unzipped(texts: pa.Array) -> pa.Array:
+    unzip = zstandard.ZstdDecompressor()
+    return pa.array([unzip.decompress(t.as_buffer()) for t in texts], pa.large_binary()).view(pa.large_string())
+
+
 def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts as one byte array, a blank after each, and the n + 1 places where they start."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runs import Runs, anchored_runs, collapse, covered, marks
-from .shared import batch, documents, joined, mix, partitions, steps, stored, word_hashes
+from .shared import batch, documents, joined, mix, partitions, ranges, steps, stored, unzipped, word_hashes, zipped
 
 #: Leading bytes of a suffix: what its bucket depends on.
 CORE = 16
@@ -36,7 +36,7 @@ def suffix_runs(doc: np.ndarray, texts: pa.Array, width: int) -> tuple[Runs, np.
         return Runs(*(np.zeros(0, np.int64),) * 6, data), np.zeros(0, f"S{CORE}")
     eight = leading(data)
     cores = mix(eight[:-8] * np.uint64(0x9E3779B97F4A7C15) + mix(eight[8:]))
-    text, window, count, anchor = anchored_runs(cores, offs[:-1], offs[1:] - 1, width, CORE)
+    text, window, count, anchor, _ = anchored_runs(cores, offs[:-1], offs[1:] - 1, width, CORE)
     size = count - 1 + width
     runs = Runs(doc[text], window - offs[:-1][text], count, anchor - window, window, size, data)
     collapse(runs, word_hashes(data, window, window + size), within=True)
@@ -47,35 +47,45 @@ def suffix_runs(doc: np.ndarray, texts: pa.Array, width: int) -> tuple[Runs, np.
 def multikey_sort(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the rows by their columns (numbers of eight bytes), and the bytes each row shares with the one before it.
 
-    Multikey quicksort, a column at a time: rows that are alone in their group are done, and
-    only the others are split by the next column.
+    Multikey quicksort: each open group is split in three around a pivot of its column, the
+    median of three; rows equal to the pivot go on to the next column, the others stay at this
+    one. All open groups take a step at once.
     """
     n, k = columns.shape
-    order, shared = np.arange(n), np.zeros(n, np.int64)
-    group, open_ = np.zeros(n, np.int64), np.arange(n)
-    for c in range(k):
-        if not len(open_):
-            break
-        rows = order[open_]
-        by = np.lexsort((columns[rows, c], group[open_]))
-        order[open_] = rows = rows[by]
-        v = columns[rows, c]
-        same_group = np.zeros(len(open_), bool)
-        same_group[1:] = group[open_][1:] == group[open_][:-1]
-        differ = np.zeros(len(open_), np.uint64)
-        differ[1:] = v[1:] ^ v[:-1]
-        alike = np.full(len(open_), 8)
+    order = np.arange(n)
+    start, size, depth = (np.array([x], np.int64) for x in (0, n, 0))
+    while len(start):
+        at = ranges(start, size)
+        group = np.repeat(np.arange(len(start)), size)
+        rows = order[at]
+        v = columns[rows, depth[group]]
+        head = np.cumsum(size) - size
+        pivot = _middle(v[head], v[head + size // 2], v[head + size - 1])
+        side = 3 * group + (v >= pivot[group]) + (v > pivot[group])
+        order[at] = rows[np.argsort(side, kind="stable")]
+        parts = np.bincount(side, minlength=3 * len(start)).reshape(-1, 3)
+        begin = (start[:, None] + np.cumsum(parts, axis=1) - parts).ravel()
+        level = (depth[:, None] + np.array([0, 1, 0])).ravel()
+        parts = parts.ravel()
+        open_ = (parts > 1) & (level < k)
+        start, size, depth = begin[open_], parts[open_], level[open_]
+    shared = np.zeros(n, np.int64)
+    if n > 1:
+        differ = columns[order[1:]] ^ columns[order[:-1]]
+        at = (differ != 0).argmax(axis=1)
+        first = differ[np.arange(n - 1), at]
+        alike = np.full(n - 1, 8)
         for b in range(8):
-            alike -= differ >= np.uint64(1 << (8 * b))
-        shared[open_[same_group]] = 8 * c + alike[same_group]
-        tied = same_group & (alike == 8)
-        group[open_] = np.cumsum(~tied)
-        member = tied.copy()
-        member[:-1] |= tied[1:]
-        open_ = open_[member]
+            alike -= first >= np.uint64(1 << (8 * b))
+        shared[1:] = np.where(first == 0, 8 * k, 8 * at + alike)
     return order, shared
 
 
+def _middle(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """The median of three."""
+    return np.maximum(np.minimum(x, y), np.minimum(np.maximum(x, y), z))
+
+
 def repeated_windows(runs: Runs, width: int) -> tuple[Runs, np.ndarray, np.ndarray]:
     """Run and place of each window whose bytes start earlier too, among the runs of one bucket; the runs come back by document and place.
 
@@ -163,17 +173,46 @@ class Ranges:
             to = np.where(hit, self.offset[at] + salt.astype(np.int64), to)
         return to
 
-    def beyond(self, bucket: int) -> int:
-        """Where what is left of a hot key's bucket meets that of its other buckets; -1 for a range's bucket."""
-        return -1 if bucket < self.first_hot else int(np.searchsorted(self.offset, bucket, side="right")) - 1
+    def hot_bucket(self, bucket: int) -> bool:
+        """Whether it holds a part of a hot key's suffixes, so that what is left of it must meet that of its other buckets."""
+        return bucket >= self.first_hot
+
+
+#: Parts in which a hot key's windows meet across its buckets, by how many bytes lie before the key.
+PARTS = 4
+
+
+def deeper(runs: Runs, width: int, many: int) -> Iterator[tuple[int, Runs]]:
+    """The runs of hot keys dealt out again: (bucket, runs).
+
+    Windows of one part have the key at nearly the same place, so they share many more bytes
+    than the key: by these they are dealt, and equal windows still meet.
+    """
+    data, step = runs.data, -(-(width - CORE + 1) // PARTS)
+    for low in range(0, width - CORE + 1, step):
+        high = min(low + step, width - CORE + 1)  # bytes before the key: low .. high - 1
+        a = np.maximum(runs.anchor - high + 1, 0)
+        z = np.minimum(runs.anchor - low + 1, runs.count)
+        own = np.flatnonzero(z > a)
+        if not len(own):
+            continue
+        a, n, anchor = a[own], (z - a)[own], runs.anchor[own]
+        part = Runs(runs.doc[own], runs.start[own] + a, n, anchor - a, runs.at[own] + a, n - 1 + width, data)
+        begin = runs.at[own] + anchor - low
+        order = np.argsort(begin, kind="stable")
+        key = np.empty(len(own), np.uint64)
+        key[order] = word_hashes(data, begin[order], begin[order] + width - high + 1 + low)
+        yield from part.split((mix(key + np.uint64(low)) % np.uint64(many)).astype(np.int64))
 
 
 def substring_marks(docs: DataFrame, width: int = 100, buckets: int | None = None) -> DataFrame:
     """(doc_id, a, z): the byte ranges of each document (doc_id, text) that strings with an earlier start cover.
 
     Sampled splitters deal the suffixes out by their leading bytes; each bucket sorts its
-    suffixes. A hot key has several buckets: each settles its own part, and the suffixes that
-    are still the first of something there are compared across those buckets in a second round.
+    suffixes. A range never parts equal leading bytes, so that only a hot key, which has several
+    buckets, goes over a boundary: each of its buckets settles its own part, and the suffixes
+    that are still the first of something there are compared across those buckets in a second
+    round, dealt out by more of their bytes.
     Copies within a step of a task are settled before anything is sent.
     """
     docs = docs.where("doc_id is not null")
@@ -196,10 +235,9 @@ def substring_marks(docs: DataFrame, width: int = 100, buckets: int | None = Non
         doc, a, z = (np.append(x, y) for x, y in zip(marks(open_.doc, open_.start, run, place, width), (told.doc, told.start, told.start + told.count - 1 + width), strict=True))
         n = len(doc)
         out = [batch(_SETTLED, doc, a.astype(np.int32), z.astype(np.int32), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()))]
-        beyond = -1 if again else to.beyond(bucket)
-        left = np.flatnonzero(np.bincount(run, minlength=len(open_)) < open_.count) if beyond >= 0 else []
-        if len(left):
-            out.append(batch(_SETTLED, [None], [None], [None], [beyond], [open_.take(left).pack()]))
+        if not again and to.hot_bucket(bucket):
+            left = np.flatnonzero(np.bincount(run, minlength=len(open_)) < open_.count)
+            out += [batch(_SETTLED, [None], [None], [None], [k], [own.pack()]) for k, own in deeper(open_.take(left), width, many)]
         return pa.Table.from_batches(out)
 
     def settle(table: pa.Table) -> pa.Table:
@@ -227,12 +265,13 @@ def remove_substrings(docs: DataFrame, width: int = 100, buckets: int | None = N
     id stays whole. An empty table gives no rows; other columns are ignored.
     """
     texts = documents(docs, id_col, text_col)
+    # the texts themselves meet their marks compressed
     own = substring_marks(texts, width, buckets).groupBy("doc_id").agg(F.collect_list(F.struct("a", "z")).alias("marks"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j in steps(b.column("text")):
-                data, offs = joined(b.column("text")[i:j])
+                data, offs = joined(unzipped(b.column("text")[i:j]))
                 out = []
                 for k, spans in enumerate(b.column("marks")[i:j]):
                     raw, spans = data[offs[k] : offs[k + 1] - 1], spans.values
@@ -241,7 +280,7 @@ def remove_substrings(docs: DataFrame, width: int = 100, buckets: int | None = N
                     out.append((len(raw), int(gone.sum()), n, raw[~gone].tobytes()))
                 yield batch(_RESULT, b.column("doc_id")[i:j], *map(list, zip(*out, strict=True)))
 
-    return texts.join(own, "doc_id", "left").select("doc_id", "text", "marks").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return zipped(texts).join(own, "doc_id", "left").select("doc_id", "text", "marks").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def removal_digest(removed: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runs import Runs, anchored_runs, collapse, covered, marks, same_bytes
-from .shared import SEPARATOR, batch, documents, joined, mix, partitions, powers, span_hashes, steps, word_hashes, words
+from .shared import SEPARATOR, batch, documents, joined, mix, partitions, powers, span_hashes, steps, unzipped, word_hashes, words, zipped
 from .shared import _SPAN, _SPAN_INVERSE
 
 _SENT = pa.schema([("bucket", pa.int32()), ("packed", pa.binary())])
@@ -19,12 +19,12 @@ _RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_remove
 
 
 def super_kmers(doc: np.ndarray, texts: pa.Array, width: int, core: int) -> tuple[Runs, np.ndarray]:
-    """The super-k-mers of some texts, words joined by one space, and a hash of each one's minimiser."""
+    """The super-k-mers of some texts, words joined by one space, and each one's minimiser as a hash. A stretch that repeats itself is one super-k-mer, as its windows have one minimiser."""
     data, offs = joined(texts)
     starts, ends, first = words(data, offs)
     h = word_hashes(data, starts, ends)
     cores = span_hashes(h, core)
-    text, window, count, anchor = anchored_runs(cores, first[:-1], first[1:], width, core)
+    text, window, count, anchor, value = anchored_runs(cores, first[:-1], first[1:], width, core, by_value=True)
     keep = ~SEPARATOR[data]
     keep[ends] = True  # one blank after each word; joined() has one after each text
     dense = np.where(SEPARATOR[data], np.uint8(0x20), data)[keep]
@@ -35,7 +35,7 @@ def super_kmers(doc: np.ndarray, texts: pa.Array, width: int, core: int) -> tupl
     total = np.zeros(len(h) + 1, np.uint64)
     np.cumsum(h * powers(_SPAN, len(h)), out=total[1:])
     collapse(runs, mix((total[last] - total[window]) * powers(_SPAN_INVERSE, len(h) + 1)[window] + count.astype(np.uint64)), within=False)
-    return runs, mix(cores[anchor]) if len(anchor) else np.zeros(0, np.uint64)
+    return runs, mix(value)
 
 
 def repeated_windows(runs: Runs, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +139,7 @@ def remove_substrings(docs: DataFrame, width: int = 50, core: int = 8, buckets:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j in steps(b.column("text")):
-                data, offs = joined(b.column("text")[i:j])
+                data, offs = joined(unzipped(b.column("text")[i:j]))
                 starts, ends, first = words(data, offs)
                 out = []
                 for k, spans in enumerate(b.column("marks")[i:j]):
@@ -153,7 +153,7 @@ def remove_substrings(docs: DataFrame, width: int = 50, core: int = 8, buckets:
                     out.append((len(s), int(gone.sum()), n, kept.decode("utf-8")))
                 yield batch(_RESULT, b.column("doc_id")[i:j], *map(list, zip(*out, strict=True)))
 
-    joined_docs = documents(docs, id_col, text_col).join(own, "doc_id", "left").select("doc_id", "text", "marks")
+    joined_docs = zipped(documents(docs, id_col, text_col)).join(own, "doc_id", "left").select("doc_id", "text", "marks")
     return joined_docs.mapInArrow(cut, "doc_id long, n_words long, n_removed long, n_spans long, kept string")
 
 

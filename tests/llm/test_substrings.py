@@ -1,11 +1,14 @@
 """Both exact-substring operators against brute force."""
 
 import hashlib
+import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cadenza.llm import runs, suffixes, superkmers
-from samples import by_id, corpus, frame, split, unique_ids
+from samples import by_id, corpus, frame, prose, split, unique_ids
 
 
 def removed_bytes(rows, width):
@@ -60,6 +63,47 @@ def test_a_hot_key_is_compared_across_its_buckets(spark):
     assert by_id(got, "n_bytes", "n_removed", "n_spans", "kept_sha256") == removed_bytes(rows, 100)
 
 
+def test_a_hot_key_in_many_surroundings_is_dealt_out_again(spark):
+    """What stands around the key differs from text to text, and some windows over it are equal."""
+    rng, same = random.Random(4), "the key that all of these texts hold "
+    around = [prose(rng, 14) for _ in range(12)]
+    rows = [(i, f"{prose(rng, 6)} {rng.choice(around)} {same}{rng.choice(around)} {prose(rng, 6)}") for i in range(240)]
+    got = suffixes.removal_digest(suffixes.remove_substrings(frame(spark, rows, slices=8), 100, 60))
+    assert by_id(got, "n_bytes", "n_removed", "n_spans", "kept_sha256") == removed_bytes(rows, 100)
+
+
+def test_a_long_run_of_one_word_is_one_super_kmer():
+    texts = pa.array(["a " * 1_000_000, "b c " * 300_000 + "d"])
+    tracemalloc.start()
+    own, key = superkmers.super_kmers(np.array([1, 2]), texts, 50, 8)
+    assert len(own) == len(key) < 60 and own.size.sum() < 2 * 3_300_000
+    run, place = superkmers.repeated_windows(superkmers._spaced(runs.Runs.unpack([own.pack()])), 50)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not len(run) and most < 600 << 20
+
+
+def test_repetitive_texts_lose_what_brute_force_removes(spark):
+    rows = [(1, "a " * 3000), (2, "b " + "a " * 700), (3, "a b " * 400), (4, "c " + "a b " * 60 + "d"), (5, "x y z " * 200), (6, "z x y " * 30 + "a " * 49)]
+    for width, core in ((50, 8), (7, 7)):
+        got = superkmers.removal_digest(superkmers.remove_substrings(frame(spark, rows), width, core))
+        assert by_id(got, "n_words", "n_removed", "kept_sha256") == removed_words(rows, width)
+    got = suffixes.removal_digest(suffixes.remove_substrings(frame(spark, rows), 100))
+    assert by_id(got, "n_bytes", "n_removed", "n_spans", "kept_sha256") == removed_bytes(rows, 100)
+
+
+def test_texts_beyond_a_step(spark):
+    """Longer than STEP_BYTES: each is a step of its own."""
+    rng = random.Random(3)
+    long = prose(rng, 400_000)
+    rows = [(1, long), (2, f"{prose(rng, 30)} #{long[1_000_000:1_200_000]}"), (3, long[5:])]
+    assert len(long) > 2 << 20
+    got = by_id(superkmers.remove_substrings(frame(spark, rows), 50), "n_removed")
+    assert got[0] == (1, 0) and got[2][1] == len(split(rows[2][1])) - 1 and 0 < got[1][1] < len(split(rows[1][1])) - 29
+    got = by_id(suffixes.remove_substrings(frame(spark, rows), 100), "n_removed")
+    assert got == [(1, 0), (2, 200_000), (3, len(rows[2][1]))]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_multikey_sort_orders_rows_and_tells_what_neighbours_share(seed):
     rng = np.random.default_rng(seed)
