@@ -11,12 +11,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import UNCOMPARED_BY_CLIENT, comparable_text
+from .text import UNCOMPARED_BY_CLIENT, comparable_text, stripped
 from .udf import arrow
 
-HUNK = "kind string, live string, ref string, ref_pos int, live_left string, live_right string, ref_left string, ref_right string"
-
-
 class Matcher(difflib.SequenceMatcher):
     """difflib's matcher without junk and with the same blocks; of up to `cells` pairs of characters, one table of common runs stands in for its searches."""
 
@@ -51,48 +48,62 @@ class Matcher(difflib.SequenceMatcher):
         return difflib.Match(alo + i + 1 - size, blo + j + 1 - size, size) if size else difflib.Match(alo, blo, 0)
 
 
-def _raw(text: str, at: list[int], lo: int, hi: int) -> str:
-    return text[at[lo] : at[hi - 1] + 1] if lo < hi else ""
+#: Raw ranges of a difference: in live, in ref, and before and after it in both; pos: where it lies in ref.
+_CUTS = ("live", "ref", "live_left", "live_right", "ref_left", "ref_right")
 
 
-def _sides(text: str, at: list[int], lo: int, hi: int, width: int) -> tuple[str, str]:
-    lo, hi = min(lo, len(at)), min(hi, len(at))
-    return tuple(_raw(text, at, a, z).replace("\n", " ") for a, z in ((max(0, lo - width), lo), (hi, min(len(at), hi + width))))
+def _raw_ranges(at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Start and length in the raw text of the comparable characters lo .. hi - 1; at: their raw places."""
+    lo, hi = np.clip(lo, 0, len(at)), np.clip(hi, 0, len(at))
+    start, last = np.append(at, 0)[lo], np.append(at, 0)[hi - 1]
+    return np.stack([start, np.where(lo < hi, last + 1 - start, 0)], axis=1)
 
 
-def text_hunks(live: str, ref: str, merge: int = 8, context: int = 24, least: int = 2) -> list[dict]:
-    """Where two texts differ as comparable texts: 脱落 (only in ref), 余分 (only in live), 相違 (both).
+def difference_ranges(live: str, ref: str, merge: int, context: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where two comparable texts differ: raw (start, length) of each of _CUTS for every difference, and its place in ref.
 
-    Differences at most `merge` characters apart on both sides are one; `least` is for one-sided ones only.
+    Differences lie between the blocks that match; blocks of at most `merge` characters don't
+    part two of them.
     """
     (a, at_a), (b, at_b) = comparable_text(live), comparable_text(ref)
-    spans: list[list[int]] = []
-    for tag, *own in Matcher(a, b).get_opcodes():
-        if tag == "equal":
-            continue
-        if spans and own[0] - spans[-1][1] <= merge and own[2] - spans[-1][3] <= merge:
-            spans[-1][1], spans[-1][3] = own[1], own[3]
-        else:
-            spans.append(own)
-    out = []
-    for i, j, k, m in spans:
-        x, y = _raw(live, at_a, i, j).strip(), _raw(ref, at_b, k, m).strip()
-        kind = "相違" if x and y else "余分" if x else "脱落"
-        if (x or y) and (kind == "相違" or max(len(x), len(y)) >= least):
-            pos = at_b[k] if k < len(at_b) else at_b[-1] if at_b else 0
-            left, right = _sides(live, at_a, i, j, context), _sides(ref, at_b, k, m, context)
-            out.append(dict(zip(("kind", "live", "ref", "ref_pos", "live_left", "live_right", "ref_left", "ref_right"), (kind, x, y, pos, *left, *right), strict=True)))
-    return out
-
-
-def diff_hunks(merge: int = 8, context: int = 24, least: int = 2):
-    """array<HUNK> of (live, ref)."""
-
-    @arrow(f"array<struct<{HUNK.replace(' string', ':string').replace(' int', ':int')}>>")
-    def hunks(live: pd.Series, ref: pd.Series) -> pd.Series:
-        return pd.Series([text_hunks(x or "", y or "", merge, context, least) for x, y in zip(live, ref, strict=True)])
-
-    return hunks
+    at_a, at_b = np.array(at_a, np.int64), np.array(at_b, np.int64)
+    x, y, n = np.array([(0, 0, 0), *Matcher(a, b).get_matching_blocks()], np.int64).T
+    gaps = np.stack([x[:-1] + n[:-1], x[1:], y[:-1] + n[:-1], y[1:]])
+    some = (gaps[1] > gaps[0]) | (gaps[3] > gaps[2])
+    gaps = gaps[:, some]
+    first = np.ones(gaps.shape[1], bool)
+    first[1:] = gaps[0, 1:] - gaps[1, :-1] > merge
+    last = np.append(first[1:], True)[: len(first)]
+    i, k, j, m = gaps[0, first], gaps[2, first], gaps[1, last], gaps[3, last]
+    cuts = [_raw_ranges(at, lo, hi) for at, lo, hi in ((at_a, i, j), (at_b, k, m), (at_a, i - context, i), (at_a, j, j + context), (at_b, k - context, k), (at_b, m, m + context))]
+    end = at_b[-1] if len(at_b) else 0
+    return np.stack(cuts, axis=1).reshape(-1, 2 * len(_CUTS)), np.append(at_b, end)[k]
+
+
+def differences(live: Column, ref: Column, merge: int = 8, context: int = 24, least: int = 2) -> Column:
+    """array<struct<kind, live, ref, ref_pos, live_left, live_right, ref_left, ref_right>>: where two texts differ as comparable texts: 脱落 (only in ref), 余分 (only in live), 相違 (both).
+
+    Differences at most `merge` characters apart are one; one-sided ones of fewer than `least`
+    characters don't count. A null text counts as empty. The search for blocks takes time in
+    proportion to the product of the two lengths at worst; only the ranges come from it, texts
+    are cut by Spark.
+    """
+
+    @arrow("array<struct<at:array<int>,pos:int>>")
+    def ranges(live: pd.Series, ref: pd.Series) -> pd.Series:
+        found = [difference_ranges(x or "", y or "", merge, context) for x, y in zip(live, ref, strict=True)]
+        return pd.Series([[{"at": at, "pos": pos} for at, pos in zip(*(v.tolist() for v in own), strict=True)] for own in found])
+
+    texts = {"live": F.coalesce(live, F.lit("")), "ref": F.coalesce(ref, F.lit(""))}
+
+    def cut(d: Column) -> Column:
+        own = {c: texts[c.split("_")[0]].substr(d["at"][2 * k] + 1, d["at"][2 * k + 1]) for k, c in enumerate(_CUTS)}
+        own = {c: F.replace(t, F.lit("\n"), F.lit(" ")) if "_" in c else stripped(t) for c, t in own.items()}
+        kind = F.when((own["live"] != "") & (own["ref"] != ""), "相違").when(own["live"] != "", "余分").otherwise("脱落")
+        return F.struct(kind.alias("kind"), own["live"].alias("live"), own["ref"].alias("ref"), d["pos"].alias("ref_pos"), *(own[c].alias(c) for c in _CUTS[2:]))
+
+    counts = lambda h: (h["kind"] == "相違") | (F.greatest(F.length(h["live"]), F.length(h["ref"])) >= max(least, 1))
+    return F.filter(F.transform(ranges(live, ref), cut), counts)
 
 
 @arrow("double")

@@ -15,17 +15,23 @@ from .udf import arrow
 #: The ranges that count as Japanese text.
 JAPANESE = "　-〿぀-ゟ゠-ヿ㐀-䶿一-鿿＀-￯"
 
-#: Words that alone stand for a symbol; of the first two also a text's end.
-ENDING_WORDS = {"まる": "。", "マル": "。", "丸": "。", "てん": "、", "テン": "、"}
-ALONE_WORDS = {
-    "かいぎょう": "\n", "あたらしいぎょう": "\n", "改行": "\n", "開業": "\n", "会場": "\n", "回教": "\n",
-    "終わる": "。", "点": "、", "天": "、",
-    "かぎかっことじ": "」", "カギカッコトジ": "」", "かぎ括弧閉じ": "」", "カギカッコ閉じ": "」", "鍵かっことじ": "」", "鍵かっこ閉じ": "」", "鍵括弧閉じ": "」", "鉤括弧閉じ": "」",
-    "かぎかっこ": "「", "カギカッコ": "「", "かぎ括弧": "「", "カギ括弧": "「", "鍵かっこ": "「", "鍵括弧": "「", "鉤括弧": "「",
-    "かっことじ": "）", "かっこ": "（",
-    "びっくりまーく": "！", "エクスクラメーション": "！", "はてなまーく": "？", "クエスチョン": "？",
-    "なかぐろ": "・", "さんてん": "…", "てんてん": "…", "三点リーダー": "…", "ころん": "：", "すらっしゅ": "／",
-}
+#: Words that alone stand for a symbol, and those of them that also do so at a text's end.
+SYMBOL_WORDS = [
+    (("かいぎょう", "あたらしいぎょう", "改行", "開業", "会場", "回教"), "\n"),
+    (("まる", "マル", "丸", "終わる"), "。"),
+    (("てん", "テン", "点", "天"), "、"),
+    (("かぎかっことじ", "カギカッコトジ", "かぎ括弧閉じ", "カギカッコ閉じ", "鍵かっことじ", "鍵かっこ閉じ", "鍵括弧閉じ", "鉤括弧閉じ"), "」"),
+    (("かぎかっこ", "カギカッコ", "かぎ括弧", "カギ括弧", "鍵かっこ", "鍵括弧", "鉤括弧"), "「"),
+    (("かっことじ",), "）"),
+    (("かっこ",), "（"),
+    (("びっくりまーく", "エクスクラメーション"), "！"),
+    (("はてなまーく", "クエスチョン"), "？"),
+    (("なかぐろ",), "・"),
+    (("さんてん", "てんてん", "三点リーダー"), "…"),
+    (("ころん",), "："),
+    (("すらっしゅ",), "／"),
+]
+ENDERS = ("まる", "マル", "丸", "てん", "テン")
 _TAIL = "。、 　\t"
 
 
@@ -63,11 +69,11 @@ def dictated_symbols(text: Column, own: dict[str, str] | None = None) -> Column:
     """A text that is a symbol's word alone becomes the symbol, the caller's words first; one that ends in an ending word ends in its mark."""
     t = stripped(text)
     bare = F.regexp_replace(t, f"[{_TAIL}]+$", "")
-    alone = F.coalesce(lookup(own or {}, bare), lookup(ENDING_WORDS | ALONE_WORDS, bare))
-    ended = F.lit(None).cast("string")
-    for word, mark in reversed(sorted(ENDING_WORDS.items(), key=lambda x: (list("。、").index(x[1]), -len(x[0])))):
-        rest = F.regexp_replace(t.substr(F.lit(1), F.length(t) - len(word)), f"[{_TAIL}]+$", "")
-        ended = F.when(t.endswith(word), F.concat(rest, F.lit(mark))).otherwise(ended)
+    symbol = {w: mark for words, mark in SYMBOL_WORDS for w in words}
+    alone = F.coalesce(lookup(own or {}, bare), lookup(symbol, bare))
+    word = F.regexp_extract(t, f"({'|'.join(ENDERS)})$", 1)  # no ender ends in another one
+    rest = F.regexp_replace(t.substr(F.lit(1), F.length(t) - F.length(word)), f"[{_TAIL}]+$", "")
+    ended = F.when(word != "", F.concat(rest, lookup({w: symbol[w] for w in ENDERS}, word)))
     return F.when(t == "", t).otherwise(F.coalesce(alone, ended, t))
 
 

@@ -5,23 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a table up to which it may be broadcast; they are counted before.
-SMALL = 100_000
+#: Rows of a list of words or phrases that may become one array of the plan; they are counted before.
+SMALL = 1_000
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, value: str) -> DataFrame:
-    """left with value: of the last right row at or before it, or of the key's first row if there is none before.
+    """left with value: of the last right row at or before it (its value, even if null), or of the key's first row if there is none before.
 
-    Both sides are put in one order by key and position, and values are filled forward: no pairs
-    are made, whatever the number of rows of a key.
+    Both sides are put in one order by key and position and the last right row is carried
+    forward in one pass; each key's first row comes from an aggregate. No pairs are made,
+    whatever the number of rows of a key. Of right rows at one place the largest value is the
+    last one and the smallest the first one. A key without right rows gives null; a null
+    position on the left lies before all others, right rows without a position are left out.
     """
-    a = left.withColumns({"_at": F.col(left_at).cast("double"), "_side": F.lit(1), "_v": F.lit(None).cast(right.schema[value].dataType)})
-    b = right.select(key, F.col(right_at).cast("double").alias("_at"), F.lit(0).alias("_side"), F.col(value).alias("_v"))
-    both = a.unionByName(b, allowMissingColumns=True)
-    by = Window.partitionBy(key).orderBy("_at", "_side")
-    past = F.last("_v", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    next_ = F.first("_v", ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing))
-    return both.withColumn(value, F.coalesce(past, next_)).where("_side = 1").drop("_at", "_side", "_v")
+    held = right.select(F.col(key), F.col(right_at).cast("double").alias("_at"), F.col(value).alias("_value")).where("_at is not null").withColumn("_row", F.struct(F.col("_value").alias("v")))
+    a = left.withColumns({"_at": F.col(left_at).cast("double"), "_side": F.lit(1)})
+    both = a.unionByName(held.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    by = Window.partitionBy(key).orderBy(F.asc_nulls_first("_at"), "_side", F.asc_nulls_first("_value")).rowsBetween(Window.unboundedPreceding, 0)
+    placed = both.withColumn("_past", F.last("_row", ignorenulls=True).over(by)).where("_side = 1")
+    first = held.groupBy(key).agg(F.min(F.struct("_at", "_value", "_row"))["_row"].alias("_first"))
+    return placed.join(first, key, "left").withColumn("_found", F.coalesce("_past", "_first")["v"]).select(*(F.col(c) for c in left.columns if c != value), F.col("_found").alias(value))
 
 
 def overlaps(left: DataFrame, right: DataFrame, key: str, start: str = "start", end: str = "end", r_start: str = "r_start", r_end: str = "r_end", cell: float = 30.0, slack: float = 0.0) -> DataFrame:

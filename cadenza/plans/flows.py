@@ -60,7 +60,7 @@ def compared(notes: DataFrame, segs: DataFrame, top: int = 40, merge: int = 8, c
     refs = placed.groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "").alias("ref"))
     both = notes.select("session", text.note_text(F.col("text")).alias("note")).join(refs, "session")
     cut = both.withColumn("a", align.aligned_prefix("note", "ref")).select("session", F.col("a.text").alias("live"), "ref", F.col("a.status").alias("status"))
-    found = cut.select("session", F.posexplode(align.diff_hunks(merge, context, least)("live", "ref")).alias("n", "h")).select("session", "n", "h.*")
+    found = cut.select("session", F.posexplode(align.differences(F.col("live"), F.col("ref"), merge, context, least)).alias("n", "h")).select("session", "n", "h.*")
     hunks = joins.as_of(found, placed.select("session", "raw_start", "start"), "session", "ref_pos", "raw_start", "start").withColumnRenamed("start", "at_sec")
     again = refs.select("session", F.explode(align.repeats_in()("ref")).alias("r")).select("session", "r.*")
     return {

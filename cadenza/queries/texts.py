@@ -146,7 +146,7 @@ def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _versions(spark, sf_dir).select("conv_id", "turn", F.explode(align.diff_hunks()(F.col("live"), F.col("ref"))).alias("h")).select("conv_id", "turn", "h.*")
+    return _versions(spark, sf_dir).select("conv_id", "turn", F.explode(align.differences(F.col("live"), F.col("ref"))).alias("h")).select("conv_id", "turn", "h.*")
 
 
 def text_match_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,12 +44,19 @@ def test_paragraph_transplant(spark):
     assert f("abc", "abc") == "abc"
 
 
-def test_hunks():
-    kinds = lambda a, b: [h["kind"] for h in align.text_hunks(a, b)]
+def test_differences(spark):
+    kinds = lambda a, b, **p: [h.kind for h in one(spark, align.differences(F.col("a"), F.col("b"), **p), a=a, b=b)]
     assert kinds("移動した", "異動した") == ["相違"]
     assert kinds("これは余分な話です。おわり", "これは話です。おわり") == ["余分"]
     assert kinds("これは話です", "これは大切な話です") == ["脱落"]
     assert kinds("", "") == [] and kinds("同じ。", "同じ") == []
+    # eight equal characters between two differences join them, nine part them
+    assert kinds("Xabcdefgh1", "Yabcdefgh2") == ["相違"] and kinds("Xabcdefghi1", "Yabcdefghi2") == ["相違", "相違"]
+    assert kinds("abcX", "abc") == [] and kinds("abcX", "abc", least=1) == ["余分"]
+    (h,) = one(spark, align.differences(F.col("a"), F.col("b"), context=3), a="前の文、 Ａ BCの 後ろ", b="前の文。後ろ")
+    assert (h.kind, h.live, h.ref, h.ref_pos, h.live_left, h.live_right) == ("余分", "Ａ BCの", "", 4, "前の文", "後ろ")
+    (h,) = one(spark, align.differences(F.col("a"), F.col("b"), context=4), a="ab\ncd", b="ab\ncdxyz")
+    assert (h.kind, h.ref, h.ref_pos, h.ref_left, h.ref_right) == ("脱落", "xyz", 5, "ab cd"[-5:], "")
 
 
 def test_prefix_and_repeats(spark):
