@@ -23,8 +23,8 @@ class AudioParams:
     """rate: of the stored samples; up / down: the resampling ratio; taps: a filter branch's length; frame, hop: of the resampled signal; mels: filters; on, off: standard deviations above the mean log energy at which a segment opens and closes; span: frames in a tensor; block: frames that are worked on at once."""
 
     rate: int = 16_000
-    up: int = 1
-    down: int = 2
+    up: int = 2
+    down: int = 3
     taps: int = 16
     frame: int = 256
     hop: int = 128

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import LOWER, batch, documents, joined, mix, ranges, span_hashes, steps, stored, word_hashes, words
+from .shared import LOWER, batch, documents, joined, mix, ranges, span_hashes, spread_join, steps, stored, unused, word_hashes, words
 
 #: Permutations; each gives its minimum and its maximum, so a signature has twice as many values.
 PERMUTATIONS = 80
@@ -259,8 +259,8 @@ def near_groups(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
     repeated = not all_signed.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
 
     member = reps.select("node", "n_shingles", F.explode("bands").alias("bucket"))
-    first = member.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = stored(member.join(first.hint("merge"), "bucket"), "buckets")
+    first = stored(member.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1"), "firsts")
+    members = stored(spread_join(member, first.drop("n"), "bucket", first, reps.count() * 2 * PERMUTATIONS // ROWS), "buckets")
     own = members.select("node").distinct()
     bodies = texts.withColumn("text_hash", F.xxhash64("text")).join(reps.join(own.hint("merge"), "node").select("node", "doc_id", "text_hash").hint("merge"), ["doc_id", "text_hash"]).select("node", "text")
     bodies = stored(bodies.dropDuplicates(["node"]) if repeated else bodies, "bodies", "zstd")
@@ -307,5 +307,6 @@ def near_groups(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
 
 def keep_one(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, of the smallest id of each near-duplicate group. Rows without an id stay."""
-    gone = near_groups(docs, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    name = unused(docs, "__gone")
+    gone = near_groups(docs, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")

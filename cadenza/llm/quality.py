@@ -96,12 +96,14 @@ def train_ranker(x: np.ndarray, label: np.ndarray, threshold: float = 0.3, pairs
 _FEATURES = pa.schema([("label", pa.int32()), ("features", pa.list_(pa.float64()))])
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, keep: Column | None = None, label_col: str = "quality", sample: int = 20_000, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> Ranker:
+def fit_quality(docs: DataFrame, labels: DataFrame, keep: Column | None = None, label_col: str = "quality", sample: int = 20_000, threshold: float = 0.3, pairs: int = 40_000, id_col: str = "doc_id", text_col: str = "text") -> Ranker:
     """Train on at most `sample` labelled documents (those with the smallest hashes of their ids: the same ones at every run).
 
-    keep: a condition on the labels' id. Ids labelled twice count once, with the larger label;
-    null labels and ids, and ids without a document, are left out. The sample's bound holds for
-    the broadcast of its ids and for what comes to the driver: one row of features each.
+    keep: a condition on the labels' id. Ids labelled twice count once, with the larger label,
+    and of documents that share an id the largest text; null labels and ids, and ids without a
+    document, are left out. The sample's bound holds for the broadcast of its ids and for what
+    comes to the driver: one row of features each. pairs: preference pairs that are drawn from
+    the sample, a good and a bad document each, with a fixed seed; a bound of the driver's work.
     """
     chosen = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna()
     chosen = chosen.where(keep) if keep is not None else chosen
@@ -113,11 +115,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, keep: Column | None = None,
                 x = text_features(b.column("text")[i:j])
                 yield batch(_FEATURES, b.column("label")[i:j], list(x))
 
-    rows = documents(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(compute, "label int, features array<double>").limit(2 * sample).toPandas()
+    rows = documents(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"), F.max("text").alias("text"))
+    rows = rows.select("label", "text").mapInArrow(compute, "label int, features array<double>").toPandas()  # at most `sample` rows
     x = np.array(rows["features"].tolist(), float).reshape(-1, len(NAMES))
     label = rows["label"].to_numpy(int)
     order = np.lexsort((*x.T, label))  # independent of the order in which tasks end
-    return train_ranker(x[order], label[order], threshold)
+    return train_ranker(x[order], label[order], threshold, pairs)
 
 
 _SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])

@@ -10,6 +10,11 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import unused
+
+#: Partitions that rows without an id are dealt over.
+_NULL_PARTS = 64
+
 #: Strings that a part of a rule may expand to before the part counts as unknown.
 MOST_STRINGS = 64
 
@@ -171,11 +176,16 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     verified one by one; null ids count as one id; an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = candidates(postings(docs, rules, id_col, text_col), rules).select(F.col("doc_id").alias("__id"), F.col("kinds").alias("__kinds"))
-    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col("__id")), "left")
+    found_id, kinds, part, found_part = (unused(docs, c) for c in ("__id", "__kinds", "__part", "__found_part"))
+    found = candidates(postings(docs, rules, id_col, text_col), rules).select(F.col("doc_id").alias(found_id), F.col("kinds").alias(kinds))
+    # rows without an id are dealt over several partitions, to each of which their kinds go
+    every = F.when(F.col(found_id).isNull(), F.sequence(F.lit(0), F.lit(_NULL_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    found = found.withColumn(found_part, F.explode(every))
+    own = docs.withColumn(part, F.when(F.col(id_col).isNull(), F.pmod(F.xxhash64(text), F.lit(_NULL_PARTS)).cast("int")).otherwise(0))
+    joined = own.join(found, F.col(id_col).eqNullSafe(F.col(found_id)) & (F.col(part) == F.col(found_part)), "left")
     empty = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
-    own = [F.when(F.array_contains("__kinds", r.kind), spans(text, r, k)).otherwise(empty) if trigram_query(r.pattern) else spans(text, r, k) for k, r in enumerate(rules)]
-    return joined.withColumn(into, F.array_sort(F.concat(*own))).drop("__id", "__kinds")
+    hits = [F.when(F.array_contains(kinds, r.kind), spans(text, r, k)).otherwise(empty) if trigram_query(r.pattern) else spans(text, r, k) for k, r in enumerate(rules)]
+    return joined.withColumn(into, F.array_sort(F.concat(*hits))).drop(found_id, kinds, part, found_part)
 
 
 def listed(found: Column) -> Column:
@@ -194,8 +204,9 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[secre
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
     rest = lambda acc: F.concat(F.array_join(acc["parts"], ""), text.substr(acc["at"] + 1, F.length(text)))
-    clean = F.when(F.size("__spans") > 0, F.aggregate("__spans", start, add, rest)).otherwise(text)
-    return scan(docs, rules, id_col, text_col, "__spans").withColumn(text_col, clean).select(*docs.columns)
+    hits = unused(docs, "__spans")
+    clean = F.when(F.size(hits) > 0, F.aggregate(hits, start, add, rest)).otherwise(text)
+    return scan(docs, rules, id_col, text_col, hits).withColumn(text_col, clean).select(*docs.columns)
 
 
 def _is_any(kinds: list[str]):

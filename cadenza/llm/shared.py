@@ -34,6 +34,33 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, rows: int) -> DataFrame:
+    """left joined with right (one row a key) on key, where no partition gets more of one key than its fair share.
+
+    counts: (key, n) of left's rows, rows their number. Keys of more than rows / partitions rows,
+    of which there are fewer than partitions, are dealt over several partitions, to each of which
+    right's row goes; the table of these keys is all that is broadcast.
+    """
+    spark = left.sparkSession
+    share = max(1, rows // partitions(spark))
+    hot = counts.where(F.col("n") > share).select(key, F.ceil(F.col("n") / share).alias("__parts")).collect()
+    if not hot:
+        return left.join(right.hint("merge"), key)
+    hot = F.broadcast(spark.createDataFrame([tuple(r) for r in hot], counts.select(key, F.lit(0).cast("long").alias("__parts")).schema))
+    parts = F.coalesce("__parts", F.lit(1).cast("long"))
+    left = left.join(hot, key, "left").withColumn("__part", F.pmod(F.xxhash64(*left.columns), parts)).drop("__parts")
+    right = right.join(hot, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("__parts")
+    return left.join(right.hint("merge"), [key, "__part"]).drop("__part")
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only (doc_id, text); a null text counts as empty."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -1,18 +1,18 @@
-"""Token ids of byte-level BPE files, the same as the tokenizers library gives."""
+"""Token ids, the same as the tokenizers library gives for .json files and sentencepiece for .model files."""
 
 from __future__ import annotations
 
-import contextlib
 import hashlib
 import json
 import re
 from pathlib import Path
 
 import numpy as np
+import sentencepiece
 import tiktoken
 from tokenizers import Tokenizer
 
-_kept: dict[str, Encoder] = {}
+_kept: dict[str, Encoder | Pieces] = {}
 _BLANKS = re.compile(r"\s{500}")
 
 
@@ -29,6 +29,21 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Pieces:
+    """ids(text) of a sentencepiece model, without begin and end."""
+
+    normalises, dtype = False, np.uint32
+
+    def __init__(self, data: bytes):
+        self.model = sentencepiece.SentencePieceProcessor(model_proto=data)
+
+    def normal(self, text: str) -> str:
+        return text
+
+    def ids(self, text: str) -> list[int]:
+        return self.model.encode(text)
+
+
 class Encoder:
     """ids(text) as `tokenizers` gives them, without added special tokens.
 
@@ -57,15 +72,28 @@ class Encoder:
                 self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.dtype = np.uint16 if self.slow.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
 
+        self.normalises = spec["normalizer"] is not None
+        self.strings = re.compile("|".join(re.escape(x["content"]) for x in spec["added_tokens"])) if spec["added_tokens"] else None
+
+    def normal(self, text: str) -> str:
+        """What the tokenizer makes of a text before it is cut; texts with one normal form have the same ids."""
+        if not self.normalises or (self.strings and self.strings.search(text)):
+            return text
+        return self.slow.normalizer.normalize_str(text)
+
     def ids(self, text: str) -> list[int]:
-        if self.fast is not None and not (self.special and self.special.search(text)) and (len(text) < 5000 or not _BLANKS.search(text)):
-            with contextlib.suppress(BaseException):  # a panic of the extension is not an Exception
+        # the search for blanks only spares short texts that can't hold a run: ids don't depend on it
+        if self.fast is not None and not (self.special and self.special.search(text)) and (len(text) < 500 or not _BLANKS.search(text)):
+            try:
                 return self.fast.encode_ordinary(text)
+            except BaseException as e:
+                if type(e).__name__ != "PanicException":  # of the extension, which is no Exception
+                    raise
         return self.slow.encode(text, add_special_tokens=False).ids
 
 
-def encoder(data: bytes, version: str) -> Encoder:
+def encoder(data: bytes, version: str) -> Encoder | Pieces:
     """One encoder a worker and version."""
     if version not in _kept:
-        _kept[version] = Encoder(data)
+        _kept[version] = Encoder(data) if data.lstrip()[:1] == b"{" else Pieces(data)
     return _kept[version]

@@ -54,7 +54,7 @@ def unique_ids(rows):
     return [r for r in rows if not (r[0] in seen or seen.add(r[0]))]
 
 
-CLASHING = ("digest", "marks", "bucket", "packed", "doc", "label", "key", "n", "part", "spans", "score", "a", "b", "text_", "kept", "item_id", "n_bytes", "__spans", "held_out", "ids")
+CLASHING = ("digest", "marks", "bucket", "packed", "doc", "label", "key", "n", "part", "spans", "score", "a", "b", "text_", "kept", "item_id", "n_bytes", "__spans", "__id", "__kinds", "__gone", "__part", "held_out", "ids", "normal", "symbols", "row")
 
 
 def frame(spark, rows, extra=False, slices=3):

@@ -91,7 +91,7 @@ def test_features_come_from_stored_tensors(spark, monkeypatch):
     rows = [(1, "ab " * 9000 + "z" * 30_000), (1, "other " * 50), (2, None), (3, "é" * 40_000)]
     got = {r.payload_sha256: r.feature for r in audio.audio_digests(frame(spark, rows), p).collect()}
     assert len(kept) == 2 and kept[1].where("size(tensor) = 1280").count() == kept[1].count() > len(rows)
-    f, seconds = audio.Features(p), p.hop * p.down / p.rate
+    f, seconds = audio.Features(p), p.hop * p.down / (p.rate * p.up)
     for _, t in rows:
         x = audio.padded((t or "").encode())
         mel, energy = (np.concatenate(c) for c in list(zip(*f.blocks(np.frombuffer(x, np.uint8)), strict=True))[1:])

@@ -193,6 +193,32 @@ def test_quality_of_held_out_documents(spark, tables):
     assert all(0 <= s.score <= 1 and s.predicted == (s.score >= 0.3) and s.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) for d, s in scores.items())
 
 
+def test_quality_scores_are_those_of_a_plain_fit(spark):
+    """The whole query again: labels chosen plainly, the logistic loss minimised by gradient steps, the cut looked up among sorted scores."""
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.quality is not None and r.doc_id in docs}
+    own = [(docs[d], q) for d, q in labels.items() if zlib.crc32(str(d).encode()) % 5]
+    x, y = np.stack([quality.text_features(pa.array([t]))[0] for t, _ in own]), np.array([q for _, q in own])
+    order = np.lexsort((*x.T, y))  # the order in which pairs are drawn
+    x, y = x[order], y[order]
+    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
+    z, rng = (x - mean) / scale, np.random.default_rng(7)
+    d = z[rng.choice(np.flatnonzero(y == 1), 40_000)] - z[rng.choice(np.flatnonzero(y == 0), 40_000)]
+    w, speed = np.zeros(z.shape[1]), np.zeros(z.shape[1])
+    for _ in range(6000):  # gradient steps with momentum
+        speed = 0.95 * speed + d.T @ (1 / (1 + np.exp(np.clip(d @ w, -30, 30)))) / len(d) - 1e-3 * w
+        w = w + 0.05 * speed
+    s = np.sort(z @ w)
+    bad, good = (z @ w)[y == 0], (z @ w)[y == 1]
+    at = (len(bad) / len(s)) * (len(s) - 1)
+    cut = (bad.max() + good.min()) / 2 if bad.max() < good.min() else s[int(at)] + (at - int(at)) * (s[int(at) + 1] - s[int(at)])
+    high = np.median(good)
+    for r in op6_quality(spark, sf).collect():
+        v = 4 / max(1e-6, high - cut) * (((quality.text_features(pa.array([docs[r.doc_id]]))[0] - mean) / scale) @ w - cut)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-min(30, max(-30, v))) * 7 / 3), abs=0.02)
+
+
 def test_features_depend_on_a_text_alone():
     texts = [t for _, t in corpus(3)]
     whole = quality.text_features(pa.array(texts, pa.string()))

@@ -94,3 +94,11 @@ def test_masks_and_odd_tables(spark):
 def test_no_python_runs_in_the_plan(spark):
     plan = secrets.secret_report(frame(spark, [(1, "x")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "InArrow" not in plan and "InPandas" not in plan
+
+
+def test_many_rows_without_an_id_are_scanned_one_by_one(spark):
+    rows = [(None, f"{prose(random.Random(i), 5)} password=abcdef{i}") for i in range(50)] + [(None, None), (None, "nothing"), (1, "token: abcdefgh")]
+    got = secrets.secret_report(frame(spark, rows)).collect()
+    assert sorted(r.n_assign for r in got) == [0, 0] + [1] * 51
+    masked = secrets.redact(frame(spark, rows, extra=True))
+    assert masked.count() == 53 and masked.where("text like '%abcdef%'").count() == 0

@@ -1,14 +1,17 @@
 """Token counts and packing against the tokenizers library."""
 
+import json
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pytest
+import sentencepiece
 from cadenza.llm import packing, token_counts
 from cadenza.llm.shared import scratch
-from cadenza.llm.tokenizer import Encoder, load
+from cadenza.llm.tokenizer import Encoder, encoder, load
 from samples import by_id, corpus, frame
 from tokenizers import Tokenizer
 
@@ -60,6 +63,34 @@ def test_a_second_run_encodes_only_what_the_cache_lacks(spark, library):
     assert token_counts.token_counts(frame(spark, []), PATH, scratch(spark, "cache")).count() == 0
 
 
+def test_texts_with_one_normal_form_share_an_entry(spark, tmp_path):
+    """A tokenizer with a normaliser: counts are the library's, and the cache has an entry for each normal form."""
+    own = json.loads(Path(PATH).read_text())
+    own["normalizer"] = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Lowercase"}]}
+    file = tmp_path / "lower.json"
+    file.write_text(json.dumps(own))
+    lower = Tokenizer.from_file(str(file))
+    special = next(iter(lower.get_added_tokens_decoder().values())).content
+    rows = [(1, "One TEXT"), (2, "one text"), (3, "caf\u00e9"), (4, "CAFE\u0301"), (5, f"One {special}"), (6, f"one {special}"), (7, None)]
+    cache = scratch(spark, "cache")
+    assert by_id(token_counts.token_counts(frame(spark, rows), str(file), cache), "n_tokens") == [(d, len(ids(lower, t))) for d, t in rows]
+    assert spark.read.parquet(cache).count() == 5
+
+
+def test_a_hot_text_is_dealt_over_partitions(spark, library):
+    rows = [(i, "the same text") for i in range(500)] + [(1000 + i, f"text {i}") for i in range(100)]
+    got = by_id(token_counts.token_counts(frame(spark, rows), PATH, scratch(spark, "cache")), "n_tokens")
+    assert got == sorted((d, len(ids(library, t))) for d, t in rows)
+
+
+def test_sentencepiece_models_give_their_own_ids():
+    for path in Path("/opt/tokenizers").rglob("*.model"):
+        data, version = load(str(path))
+        own = sentencepiece.SentencePieceProcessor(model_file=str(path))
+        for text in ("", "Hello there, world!", "naïve 東京都\n\ttabs", " a  b "):
+            assert encoder(data, version).ids(text) == own.encode(text)
+
+
 @pytest.mark.parametrize("length", [2048, 7])
 def test_pieces_hold_each_id_once_and_sequences_have_no_gaps(spark, library, length):
     rows = [r for r in corpus() if r[0] != 90 or length > 100] + [(200, "again"), (200, "again")]
