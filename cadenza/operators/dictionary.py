@@ -184,14 +184,44 @@ def merged(entries: DataFrame, new: DataFrame) -> DataFrame:
     return rest.unionByName(kept.unionByName(changed)).unionByName(fresh)
 
 
-def appended(entries: DataFrame, requests: DataFrame, revisions: DataFrame) -> DataFrame:
-    """(profile, observed, status) for each request to append: conflict if its revision is stale or another output is there, exists if the same is, else created. revisions: (profile, revision)."""
-    have = active(entries).groupBy("profile", "observed").agg(F.first("output").alias("have"))
-    own = requests.join(revisions.withColumnRenamed("revision", "current"), "profile", "left").join(have, ["profile", "observed"], "left")
-    status = F.when(F.col("have") == F.col("output"), "exists").when(F.coalesce(F.col("revision") != F.col("current"), F.lit(True)) | F.col("have").isNotNull(), "conflict").otherwise("created")
+def _status(requests: DataFrame, have: DataFrame, revisions: DataFrame, wrong: Column) -> DataFrame:
+    """(profile, observed, status). have: (profile, observed, have)."""
+    own = requests.withColumn("observed", stripped(F.col("observed"))).join(revisions.withColumnRenamed("revision", "current"), "profile", "left").join(have, ["profile", "observed"], "left")
+    stale = F.col("current").isNull() | F.coalesce(F.col("revision") != F.col("current"), F.lit(False))
+    status = F.when(stale, "conflict").when(F.col("have") == F.col("output"), "exists").when(F.col("have").isNotNull(), "conflict").when(wrong, "invalid").otherwise("created")
     return own.select("profile", "observed", status.alias("status"))
 
 
+def _wrong() -> Column:
+    return F.coalesce((F.col("observed") == "") | (F.length("observed") > MOST_OBSERVED) | (F.length("output") > MOST_OUTPUT), F.lit(True))
+
+
+def appended(entries: DataFrame, requests: DataFrame, revisions: DataFrame) -> DataFrame:
+    """(profile, observed, status) for each request (profile, observed, output, revision) to append an entry.
+
+    conflict if its revision is given and stale, its profile is missing or another output is
+    there; exists if the same one is; invalid if a length is out of bounds; else created. Only
+    enabled entries count. revisions: (profile, revision).
+    """
+    have = active(entries).groupBy("profile", "observed").agg(F.min_by("output", "ord").alias("have"))
+    return _status(requests, have, revisions, _wrong())
+
+
+def appended_symbols(symbols: DataFrame, requests: DataFrame, revisions: DataFrame) -> DataFrame:
+    """The same for symbols, which stand in a map of their own: a word of one letter is as good as any, as it counts only alone."""
+    have = symbols.groupBy("profile", F.col("symbol").alias("observed")).agg(F.max_by("output", "ord").alias("have"))
+    return _status(requests, have, revisions, _wrong())
+
+
+def with_symbols(symbols: DataFrame, requests: DataFrame, revisions: DataFrame) -> DataFrame:
+    """The table of symbols with those that were created behind each profile's others."""
+    made = appended_symbols(symbols, requests, revisions).where("status = 'created'").select("profile", "observed").distinct()
+    last = symbols.groupBy("profile").agg(F.max("ord").alias("last"))
+    new = requests.withColumn("observed", stripped(F.col("observed"))).join(made, ["profile", "observed"]).groupBy("profile", "observed").agg(F.min("output").alias("output")).join(last, "profile", "left")
+    place = F.coalesce("last", F.lit(-1)) + F.row_number().over(Window.partitionBy("profile").orderBy("observed"))
+    return symbols.unionByName(new.select("profile", place.cast(symbols.schema["ord"].dataType).alias("ord"), F.col("observed").alias("symbol"), "output"))
+
+
 def valid_map(pairs: DataFrame, most: int = 500, key_length: int = 64, value_length: int = 128) -> DataFrame:
     """(key, value, ok): trimmed pairs without blank keys; too long or too many ones aren't ok."""
     own = pairs.select(stripped(F.col("key")).alias("key"), "value").where("key <> ''")

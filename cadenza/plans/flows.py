@@ -2,38 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import align, guards, text
+from ..functions import align, guards, morphemes, text
 from ..functions.dictionary import replaced
 from ..operators import coverage, joins, reports, segments
 from ..params import JOINING, Paragraphs, Recovery, Segmenting
 
 
-def clean_text(column: Column, values: dict[str, str] | None = None, symbols: bool = False, own_symbols: dict[str, str] | None = None, strip_space: bool = True) -> Column:
-    """A recognised text made ready: ends, glued endings, half width, symbols, dictionary, spaces, repeated marks, in this order. Half width comes before symbols, whose full-width marks stay."""
+def clean_text(column: Column, values: dict[str, str] | None = None, symbols: bool = False, own_symbols: dict[str, str] | None = None, strip_space: bool = True, analyse: Callable[[Column], Column] | None = None, inline: bool = False, punctuate: bool = False) -> Column:
+    """A recognised text made ready: ends, glued endings, half width, symbols, symbols within, dictionary, spaces, punctuation, repeated marks, in this order. Half width comes before symbols, whose full-width marks stay.
+
+    analyse gives a text's morphemes (see functions.morphemes); without it symbols within a text
+    and punctuation are left alone.
+    """
     t = guards.without_glued_ending(text.stripped(column))
     t = text.half_width(t)
     if symbols:
         t = text.dictated_symbols(t, own_symbols)
+    if inline and analyse:
+        t = guards.bound(t, lambda x: morphemes.with_inline_symbols(x, analyse(x)))
     t = replaced(t, values or {})
     if strip_space:
         t = text.without_japanese_spaces(t)
+    if punctuate and analyse:
+        t = guards.bound(t, lambda x: morphemes.punctuated(x, analyse(x)))
     return F.when(column == "", column).otherwise(text.collapsed(t))
 
 
+def clean_by_language(column: Column, language: Column, values: dict[str, str] | None = None, **options) -> Column:
+    """clean_text() of a text; of an English one only what no language's text loses by: nothing that is made for Japanese."""
+    return F.when(F.coalesce(language == "en", F.lit(False)), clean_text(column, strip_space=False)).otherwise(clean_text(column, values, **options))
+
+
 def retranscribed(frames: DataFrame, outputs: DataFrame, low_latency: bool = False, values: dict[str, str] | None = None, p: Segmenting = Segmenting(), paragraphs: Paragraphs = Paragraphs()) -> tuple[DataFrame, DataFrame]:
     """(body lines, statistics) of a recording.
 
     frames: (session, frame_no, rms); outputs, the model's: (session, start, text, logprob, dropped,
-    recovered_text, recovered_logprob) by segment start. Every step is a join or a window by
-    session; only the paragraph rule is folded.
+    recovered_text, recovered_logprob[, language]) by segment start; rows in English are not
+    cleaned as Japanese. Every step is a join or a window by session; only the paragraph rule is
+    folded.
     """
     segs = segments.replayed(frames, p.for_microphone(), JOINING["microphone", low_latency])
     rows = segs.join(outputs, ["session", "start"], "left").na.fill("", ["text"])
+    language = F.col("language") if "language" in outputs.columns else F.lit("ja")
     seconds = {c: (F.col(c) / p.rate).alias(c) for c in ("start", "end")}
-    rows = rows.select("session", seconds["start"], seconds["end"], "pause", F.when(guards.is_boilerplate(F.col("text")), "").otherwise(clean_text(F.col("text"), values)).alias("text"), guards.is_boilerplate(F.col("text")).cast("int").alias("blocked"), F.coalesce("dropped", F.lit(0)).alias("dropped"), "recovered_text", "recovered_logprob")
+    rows = rows.select("session", seconds["start"], seconds["end"], "pause", F.when(guards.is_boilerplate(F.col("text")), "").otherwise(clean_by_language(F.col("text"), language, values)).alias("text"), guards.is_boilerplate(F.col("text")).cast("int").alias("blocked"), F.coalesce("dropped", F.lit(0)).alias("dropped"), "recovered_text", "recovered_logprob")
     rows = coverage.gaps(rows, "session", "start", "end", Recovery().shortest, Recovery().longest)
     good = F.col("retry") & coverage.accepted(F.col("recovered_text"), F.col("recovered_logprob"))
     rows = rows.withColumn("recovery", F.when(good, F.concat(F.lit("⟨復旧 "), "recovered_text", F.lit("⟩"))))

@@ -80,7 +80,7 @@ def content_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def append_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests = fixture(spark, "(VALUES ('common', 'new', 'x', 'r1'), ('common', 'A', 'common', 'r0'), ('common', 'A', 'else', 'r1'), ('common', 'late', 'x', 'r0'), ('none', 'k', 'x', 'r1')) AS t(profile, observed, output, revision)")
+    requests = fixture(spark, "(VALUES ('common', 'new', 'x', 'r1'), ('common', 'A ', 'common', CAST(NULL AS STRING)), ('common', 'B', 'common', 'r0'), ('common', 'A', 'else', 'r1'), ('common', 'late', 'x', 'r0'), ('none', 'k', 'x', 'r1')) AS t(profile, observed, output, revision)")
     return d.appended(_t(spark)["entries"].where("profile = 'common'"), requests, fixture(spark, "(VALUES ('common', 'r1')) AS t(profile, revision)"))
 
 
@@ -145,7 +145,7 @@ ORACLE_SQL = {
     "diagnostic_counts": "select 10 as n, 10 as shown",
     "profile_catalog": _lit("profile, entries, symbols, hotwords, hallucinations, errors", [("common", 4, 2, 1, 1, 0), ("genre", 7, 2, 1, 3, 4), ("Bad Id", 0, 0, 0, 0, 3)]),
     "content_revisions": "select doc_id, left(sha256(text), 16) as revision from documents",
-    "append_entries": _lit("profile, observed, status", [("common", "new", "created"), ("common", "A", "exists"), ("common", "A", "conflict"), ("common", "late", "conflict"), ("none", "k", "conflict")]),
+    "append_entries": _lit("profile, observed, status", [("common", "new", "created"), ("common", "A", "exists"), ("common", "B", "conflict"), ("common", "A", "conflict"), ("common", "late", "conflict"), ("none", "k", "conflict")]),
     "merge_entries": _lit("profile, ord, observed, output, enabled", [("common", 0, "A", "changed", True), ("common", 3, "off", "x", False), ("common", 4, "fresh", "f", True)]),
     "map_validation": _lit("key, value, ok", [("協裁", "共催", True), ("k", "v", True)]),
     "grouped_values": _lit("ord, value, keys", [(1, "X", "a、c"), (2, "Y", "b")]),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,33 @@ def profile_tables(files: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def signature(spark: SparkSession, *patterns: str) -> list[tuple[str, object, int]]:
+    """(path, time of the last change, size) of each file, by path; contents aren't read."""
+    found = spark.read.format("binaryFile").load(list(patterns)).select("path", "modificationTime", "length")
+    return sorted(tuple(r) for r in found.collect())
+
+
+class Reloading:
+    """What load() gives of some files: read again once their signature changes. If that fails, what was read before (at first: default) stays, and error says why."""
+
+    def __init__(self, spark: SparkSession, patterns: tuple[str, ...], load: Callable[[], object], default: object = None):
+        self.spark, self.patterns, self.load = spark, patterns, load
+        self.value, self.error, self.seen = default, None, None
+
+    def get(self) -> object:
+        try:
+            now = signature(self.spark, *self.patterns)
+        except Exception as e:  # whatever the file system says: the last good state stays
+            now, self.error = None, f"{type(e).__name__}: {e}"
+        if now is not None and now != self.seen:
+            try:
+                self.value, self.error = self.load(), None
+            except Exception as e:
+                self.error = f"{type(e).__name__}: {e}"
+            self.seen = now
+        return self.value
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """Replace a folder of JSON rows. Spark's committer shows either all new files or none."""
     df.write.mode("overwrite").json(path)
