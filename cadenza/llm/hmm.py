@@ -28,7 +28,7 @@ _POINT = 2.0**36
 
 @dataclass(frozen=True)
 class HmmParams:
-    """head: the most frequent words, each an emission symbol of its own; tail: symbols that all other words are dealt to by hash (both bound the model's size, not what is counted); states: latent states; rounds: Baum-Welch rounds at most; gain: training ends when a round raises the log-likelihood by a smaller share; floor: pseudo-count of an emission; slices: parts in which expected counts are summed."""
+    """head: the most frequent words, each an emission symbol of its own; tail: symbols that all other words are dealt to by hash (both bound the model's size, not what is counted); states: latent states; rounds: Baum-Welch rounds at most; gain: training ends when a round raises the log-likelihood by a smaller share; floor: pseudo-count of an emission; slices: parts in which expected counts are summed; narrow: vectors of 32 bits in training."""
 
     head: int = 16_000
     tail: int = 256
@@ -37,6 +37,7 @@ class HmmParams:
     gain: float = 2e-4
     floor: float = 0.01
     slices: int = 32
+    narrow: bool = True
     seed: int = 11
 
     @property
@@ -140,7 +141,7 @@ class Hmm:
         start, move, emit = start + 1e-3, move + 1e-3, emit + p.floor
         return Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
-    def run(self, seqs: list[np.ndarray], counts: Counts | None = None, block: int = 512) -> np.ndarray:
+    def run(self, seqs: list[np.ndarray], counts: Counts | None = None, block: int = 2048) -> np.ndarray:
         """Natural log-likelihoods of whole sequences by the scaled forward recursion; with counts, the expected starts, moves and emissions are added to them.
 
         A longer sequence than `block` is worked on in blocks, many at once, which changes no
@@ -154,10 +155,10 @@ class Hmm:
         place = np.arange(len(seq)) - np.repeat(np.cumsum(many) - many, many)
         n = np.minimum(size[seq] - place * block, block)
         pieces = [seqs[q][i * block : i * block + m] for q, i, m in zip(seq.tolist(), place.tolist(), n.tolist(), strict=True)]
-        before, after = np.repeat(self.start[None], len(seq), axis=0), np.ones((len(seq), len(self.start)))
+        before, after = np.repeat(self.start[None], len(seq), axis=0), np.ones((len(seq), len(self.start)), self.start.dtype)
         long = np.flatnonzero(many[seq] > 1)
         if len(long):
-            whole = np.empty((len(seq), *self.move.shape))
+            whole = np.empty((len(seq), *self.move.shape), self.move.dtype)
             for own in _portions(long[np.argsort(-n[long], kind="stable")], n * len(self.start)):
                 whole[own] = self._matrices([pieces[i] for i in own], place[own] == 0)
             for i in long[place[long] > 0].tolist():
@@ -175,7 +176,7 @@ class Hmm:
         """Each block's matrix, up to a factor; blocks come by falling length. A sequence's first symbol has no move before it."""
         n, k = np.array([len(x) for x in pieces]), len(self.start)
         flat, base = np.concatenate(pieces), np.cumsum(n) - n
-        out = np.repeat(np.eye(k)[None], len(n), axis=0)
+        out = np.repeat(np.eye(k, dtype=self.move.dtype)[None], len(n), axis=0)
         for t in range(int(n[0])):
             b = len(n) - int(np.searchsorted(n[::-1], t, side="right"))
             e = self.emit[flat[base[:b] + t]][:, None, :]
@@ -183,47 +184,58 @@ class Hmm:
             if t == 0:
                 moved[first] = out[first]
             out[:b] = moved * e
-            if t % 16 == 15:
+            if t % 2:  # before the product leaves the range of 32 bits
                 out[:b] /= out[:b].max(axis=(1, 2), keepdims=True)
         return out / out.max(axis=(1, 2), keepdims=True)
 
     def _blocks(self, pieces: list[np.ndarray], first: np.ndarray, before: np.ndarray, after: np.ndarray, counts: Counts | None) -> np.ndarray:
-        """Log-likelihood of each block after what is before it; blocks come by falling length."""
-        n, k = np.array([len(x) for x in pieces]), len(self.start)
-        flat, base = np.concatenate(pieces), np.cumsum(n) - n
-        active = len(n) - np.searchsorted(n[::-1], np.arange(n[0]), side="right")  # blocks longer than t
-        like, alphas, scales = np.zeros(len(n)), [], []  # log-likelihoods are added up in 64 bits
-        for t, b in enumerate(active):
-            e = self.emit[flat[base[:b] + t]]
-            a = alpha[:b] @ self.move if t else np.where(first[:, None], before, before @ self.move)
-            a = a * e
-            c = a.sum(axis=1)
-            alpha = a / c[:, None]
-            like[:b] += np.log(c)
-            if counts is not None:
-                alphas.append(alpha)
-                scales.append(c)
+        """Log-likelihood of each block after what is before it; blocks come by falling length.
+
+        Rows are laid out step by step: the first symbols of all blocks, then the second ones, ...
+        """
+        n = np.array([len(x) for x in pieces])
+        flat, rank = np.concatenate(pieces), np.repeat(np.arange(len(n)), n)
+        active = len(n) - np.searchsorted(n[::-1], np.arange(n[0]), side="right")  # blocks longer than each step
+        edge = np.concatenate([[0], np.cumsum(active)])
+        row = edge[np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)] + rank
+        symbol = np.empty_like(flat)
+        symbol[row] = flat
+        e = self.emit[symbol]
+        alpha, scale = np.empty_like(e), np.empty(len(e), e.dtype)
+        for t in range(len(active)):
+            lo, hi = edge[t], edge[t + 1]
+            own = alpha[lo:hi]
+            if t:
+                np.matmul(alpha[edge[t - 1] : edge[t - 1] + active[t]], self.move, out=own)
+            else:
+                own[:] = np.where(first[:, None], before, before @ self.move)
+            own *= e[lo:hi]
+            np.sum(own, axis=1, out=scale[lo:hi])
+            own /= scale[lo:hi, None]
+        like = np.bincount(rank, np.log(scale[row].astype(float)), len(n))
         if counts is None:
             return like
         start, move, emit = counts
-        beta, weights, moves = np.empty((len(n), k)), np.empty((len(flat), k)), np.zeros_like(move)
-        later = ~first
+        beta, back = np.empty_like(alpha), np.ascontiguousarray(self.move.T)
+        e /= scale[:, None]
         for t in range(len(active) - 1, -1, -1):
-            b, ended = active[t], active[t + 1] if t + 1 < len(active) else 0
-            if b > ended:
-                beta[ended:b] = after[ended:b] / (alphas[t][ended:] * after[ended:b]).sum(axis=1, keepdims=True)
-            at = base[:b] + t
-            weights[at] = alphas[t] * beta[:b]
-            eb = self.emit[flat[at]] * beta[:b] / scales[t][:, None]
-            if t:
-                moves += alphas[t - 1][:b].T @ eb
-                beta[:b] = eb @ self.move.T
-            elif later.any():
-                moves += before[later].T @ eb[later]
-        start += weights[base[first]].sum(axis=0)
+            lo, hi, on = edge[t], edge[t + 1], active[t + 1] if t + 1 < len(active) else 0
+            if on:
+                np.matmul(e[hi : hi + on], back, out=beta[lo : lo + on])
+            if on < active[t]:  # blocks that end here
+                own = after[on : active[t]]
+                beta[lo + on : hi] = own / (alpha[lo + on : hi] * own).sum(axis=1, keepdims=True)
+            e[lo:hi] *= beta[lo:hi]
+        head = int(active[0])
+        earlier = np.arange(head, len(e)) - np.repeat(active[:-1], active[1:])
+        moves = alpha[earlier].T @ e[head:]
+        if not first.all():
+            moves += before[~first].T @ e[:head][~first]
         move += moves * self.move
-        for s in range(k):
-            emit[:, s] += np.bincount(flat, weights[:, s], len(emit))
+        alpha *= beta
+        start += alpha[:head][first].sum(axis=0)
+        for k in range(alpha.shape[1]):
+            emit[:, k] += np.bincount(symbol, alpha[:, k], len(emit))
         return like
 
 
@@ -240,7 +252,7 @@ def train(encoded: DataFrame, totals: np.ndarray, p: HmmParams, dtype: np.dtype)
         sent = spark.sparkContext.broadcast((model.start, model.move, model.emit))  # symbols x states numbers
 
         def expect(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own, like, n = Hmm(*sent.value), 0.0, 0
+            own, like, n = Hmm(*(x.astype(np.float32 if p.narrow else np.float64) for x in sent.value)), 0.0, 0
             counts = np.zeros(p.states), np.zeros((p.states, p.states)), np.zeros((p.symbols, p.states))
             for b in batches:
                 for i, j in steps(b.column("symbols"), 1 << 21):

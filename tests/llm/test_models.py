@@ -1,5 +1,6 @@
 """Language-model scores and the quality ranking."""
 
+import dataclasses
 import itertools
 import math
 import tracemalloc
@@ -14,7 +15,7 @@ from cadenza.llm.queries import crc_of, op3_hmm_scores, op6_quality
 from pyspark.sql import functions as F
 from samples import by_id, corpus, frame, lower, prose, split, unique_ids
 
-SMALL = hmm.HmmParams(head=40, tail=8, states=3, rounds=2, gain=0.0, slices=4)
+SMALL = hmm.HmmParams(head=40, tail=8, states=3, rounds=2, gain=0.0, slices=4, narrow=False)
 
 
 def held(doc):
@@ -84,13 +85,14 @@ def test_scores_are_those_of_a_plainly_trained_model(spark):
         distinct[symbol[w]] += w not in head
     seqs = {d: [symbol[w] for w in [*split(lower(t)), None]] for d, t in rows}
     m = plainly_trained([s for d, s in seqs.items() if not held(d)], totals, SMALL)
-    got = {r.doc_id: r.score for r in hmm.hmm_scores(frame(spark, rows), crc_of("doc_id", 7) == 2, SMALL).collect()}
+    got, narrow = ({r.doc_id: r.score for r in hmm.hmm_scores(frame(spark, rows), crc_of("doc_id", 7) == 2, p).collect()} for p in (SMALL, dataclasses.replace(SMALL, narrow=True)))
     for d, t in rows:
         s, alpha = seqs[d], None
         for x in s:
             alpha = (m.start if alpha is None else alpha @ m.move) * m.emit[x]
         words = sum(math.log10((counts[w] + 1) / (totals[symbol[w]] + distinct[symbol[w]] + 1)) for w in [*split(lower(t)), None] if w not in head)
         assert got[d] == pytest.approx(math.log10(alpha.sum()) + words, abs=1e-6)
+        assert narrow[d] == pytest.approx(got[d], rel=1e-4)
 
 
 def model(seed=0, symbols=7, states=3):
