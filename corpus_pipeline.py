@@ -32,8 +32,8 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of sequences of 2048 tokens."""
-    return packing.pack(docs, TOKENIZER, 2048, 1, with_ids=False)
+    """The pieces of sequences of 2048 tokens, with their ids."""
+    return packing.pack(docs, TOKENIZER, 2048, 1)
 
 
 STAGES = [("quality classifier", keep_good), ("near duplicates", keep_first), ("decontamination", keep_unseen), ("secret scan", hide_secrets), ("packing", pack_tokens)]
