@@ -84,6 +84,7 @@ def test_all_ids_are_packed(stages):
     for r in after.collect():
         own = want[r.doc_id][r.start : r.start + r.length]
         assert len(own) == r.length and zlib.crc32(own.tobytes()) == r.ids_crc32
+        assert bytes(r.ids) == own.tobytes()
         place[r.sequence_id] += r.length
         count[r.doc_id] += r.length
     assert count == {d: len(w) for d, w in want.items()}
