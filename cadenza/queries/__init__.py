@@ -1,6 +1,6 @@
 """One query for each operator over the driver's tables or over literal fixtures, with DuckDB SQL for its rows where SQL can express it."""
 
-from . import dictionary, folds, joins, reports, signals, texts
+from . import composed, dictionary, folds, joins, reports, signals, texts
 
-QUERIES = texts.QUERIES | signals.QUERIES | dictionary.QUERIES | reports.QUERIES | joins.QUERIES | folds.QUERIES
-ORACLE_SQL = texts.ORACLE_SQL | signals.ORACLE_SQL | dictionary.ORACLE_SQL | reports.ORACLE_SQL | joins.ORACLE_SQL | folds.ORACLE_SQL
+QUERIES = texts.QUERIES | signals.QUERIES | dictionary.QUERIES | reports.QUERIES | joins.QUERIES | folds.QUERIES | composed.QUERIES
+ORACLE_SQL = texts.ORACLE_SQL | signals.ORACLE_SQL | dictionary.ORACLE_SQL | reports.ORACLE_SQL | joins.ORACLE_SQL | folds.ORACLE_SQL | composed.ORACLE_SQL
