@@ -138,8 +138,8 @@ def reconverted_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cycle_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("k")).distinct().select(F.concat(F.lit("u"), "k").alias("observed"), F.concat(F.lit("u"), (F.col("k") * F.col("k") + 3) % 40).alias("output"))
-    return dictionary.cycle_members(links)
+    links = table(spark, sf_dir, "events").select((F.col("user_id") % 12).alias("k")).distinct().select(F.concat(F.lit("u"), "k").alias("observed"), F.concat(F.lit("u"), (F.col("k") * F.col("k") + 3) % 12).alias("output"))
+    return dictionary.cycle_members(links, 12)
 
 
 def hallucination_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,6 +192,6 @@ select session, md5(body) as md5 from w where k = n""",
     "surface_lists": "with m as (select p_partkey, p_name, string_split(p_name, ' ')[1] as a, string_split(p_name, ' ')[2] as b from part) select p_partkey, array_to_string([p_name, a || b, a || b || 'y', upper(a) || b], '|') as surfaces from m",
     "preselected_parts": "with m as (select p_partkey, string_split(p_name, ' ') as w from part) select p_partkey, case when p_partkey % 3 = 0 then w[1] || '| ' else w[1] || '| |' || w[2] end as chosen from m",
     "reconverted_words": "with m as (select p_partkey, string_split(p_name, ' ') as w from part), k as (select w[2] as reading, string_agg(w[1], '|' order by p_partkey, w[1]) as c from m where p_partkey % 10 = 0 group by 1) select p_partkey as id, coalesce(c, w[1]) as candidates from m left join k on k.reading = m.w[1]",
-    "cycle_walks": "with recursive l as (select distinct user_id % 40 as a, (user_id % 40 * (user_id % 40) + 3) % 40 as b from events), w(origin, here, n) as (select a, b, 1 from l union all select w.origin, l.b, n + 1 from w join l on l.a = w.here where w.here <> w.origin and n < 41) select distinct 'u' || origin as observed from w where here = origin",
+    "cycle_walks": "with recursive l as (select distinct user_id % 12 as a, (user_id % 12 * (user_id % 12) + 3) % 12 as b from events), w(origin, here, n) as (select a, b, 1 from l union all select w.origin, l.b, n + 1 from w join l on l.a = w.here where w.here <> w.origin and n < 13) select distinct 'u' || origin as observed from w where here = origin",
     "hallucination_words": "select distinct string_split(p_name, ' ')[1] as word from part where p_partkey % 3 <> 0 and p_partkey % 4 < 3",
 }

@@ -35,7 +35,7 @@ def replayed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paragraph_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("ord"), F.concat(F.substring("text", 1, 150), F.when(F.col("turn") % 3 > 0, "。").otherwise("")).alias("text"), (F.col("turn") % 4 / 2.0).alias("pause"))
+    own = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("ord"), F.concat("text", F.when(F.col("turn") % 3 > 0, "。").otherwise("")).alias("text"), (F.col("turn") % 4 / 2.0).alias("pause"))
     return segments.paragraphs(own, Paragraphs(120, 0.7, 300)).select("session", "ord", "breaks")
 
 
@@ -62,7 +62,7 @@ def cursor_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (forced_cut, noise_floor, joined_chunks, replayed_chunks, paragraph_fold, refine_ranges, throttled_levels, edit_log, cursor_words)}
-_PARA = """with recursive c as (select conv_id::varchar as session, turn as ord, left(text, 150) || case when turn % 3 > 0 then '。' else '' end as text, turn % 4 / 2 as pause, row_number() over (partition by conv_id order by turn) as k from conversations),
+_PARA = """with recursive c as (select conv_id::varchar as session, turn as ord, text || case when turn % 3 > 0 then '。' else '' end as text, turn % 4 / 2 as pause, row_number() over (partition by conv_id order by turn) as k from conversations),
 w(session, k, ord, breaks, size, fin) as (
   select session, k, ord, false, length(text), right(rtrim(text), 1) in ('。', '！', '？', '!', '?', '」', '』', '）') from c where k = 1
   union all

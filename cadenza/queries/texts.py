@@ -54,7 +54,7 @@ def replace_in_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def markdown_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = F.concat(F.lit("# "), F.substring("text", 1, 60), F.lit(" **bold** [link](http://x) ![i](y) [[target|alias]] [[page]] `code` <!-- no -->"))
+    made = F.concat(F.lit("# "), "text", F.lit(" **bold** [link](http://x) ![i](y) [[target|alias]] [[page]] `code` <!-- no -->"))
     return table(spark, sf_dir, "documents").select("doc_id", text.note_text(made).alias("text")).select("doc_id", F.md5("text").alias("md5"))
 
 
@@ -72,7 +72,7 @@ def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def key_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.split_keys(F.substring("text", 1, 200)), "|").alias("keys"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.split_keys(F.col("text")), "|").alias("keys"))
 
 
 def conversion_needed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +174,7 @@ _J = r"[\x{3000}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{FF00}-\x{FFEF}]"
 _PASS = lambda x: f"regexp_replace(regexp_replace(regexp_replace({x}, '({_J}) +([A-Za-z0-9])', '\\1\\2', 'g'), '([A-Za-z0-9]) +({_J})', '\\1\\2', 'g'), '({_J}) +({_J})', '\\1\\2', 'g')"
 _KEYS = ["there", "the", "th", "e\\.", "in"]
 _MAP = "map {'there': '<there>', 'the': '<the>', 'th': 'T', 'e.': 'E!', 'in': 'th'}"
-_DOC_MD = "'# ' || left(text, 60) || ' **bold** [link](http://x) ![i](y) [[target|alias]] [[page]] `code` <!-- no -->'"
+_DOC_MD = "'# ' || text || ' **bold** [link](http://x) ![i](y) [[target|alias]] [[page]] `code` <!-- no -->'"
 _expected = lambda name, cols, rows: f"select * from (values {', '.join(str(r).replace('None', 'null') for r in rows)}) t({cols})"
 ORACLE_SQL = {
     "fullwidth": f"select id, translate(text, '{_FULL}', '{_HALF}') as text from {_JA}",
@@ -189,7 +189,7 @@ ORACLE_SQL = {
     "word_lists": "select conv_id, turn, len(list_filter(string_split_regex(lower(regexp_replace(text, '[^A-Za-z'' ]', ' ', 'g')), ' +'), lambda w: w <> '')) as n from conversations",
     "clocks": "select event_id, case when s < 0 then '--:--:--' else printf('%02d:%02d:%02d', s // 3600, (s % 3600) // 60, s % 60) end as clock, printf('%d:%04.1f', greatest(s, 0) // 60, (greatest(s, 0) % 60)::double) as minutes from (select event_id, event_id * 37 - 5 as s from events)",
     "numbers": _expected("numbers", "id, n, kana", [(1, 3, 3), (2, 12, 12), (3, 7, 7), (4, None, 3), (5, None, None), (6, None, None)]),
-    "key_lists": "select doc_id, coalesce(list_aggregate(list_filter(list_transform(string_split_regex(left(text, 200), '[、,，／/\\n]'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), 'string_agg', '|'), '') as keys from documents",
+    "key_lists": "select doc_id, coalesce(list_aggregate(list_filter(list_transform(string_split_regex(text, '[、,，／/\\n]'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), 'string_agg', '|'), '') as keys from documents",
     "conversion_needed": _expected("needed", "id, needed", [(1, True), (2, False), (3, False), (4, False), (5, False)]),
     "english_spaces": "select doc_id, md5(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '^ | $', '', 'g')) as md5 from documents",
     "line_breaks": "select doc_id, md5(replace(replace(text, chr(10), ''), chr(13), '')) as md5 from documents",
@@ -201,5 +201,5 @@ ORACLE_SQL = {
     "parsed_commands": _expected("commands", "id, kind, index, target, into", [(1, "cancelInput", None, None, None), (2, "replace", None, "参加", "惨禍"), (3, None, None, None, None), (4, "pick", 3, None, None), (5, "pick", 7, None, None), (6, "reconvertTarget", None, "スミシン", None), (7, "reconvertSelection", None, None, None), (8, "respeakExplicit", None, None, None), (9, "respeakTarget", None, "寄与", None), (10, "confirm", None, None, None), (11, "newline", None, None, None), (12, None, None, None, None), (13, None, None, None, None)]).replace("t(id, kind, index, target, into)", 't(id, kind, "index", target, "into")'),
     "fuzzy_commands": _expected("fuzzy", "id, kind, distance, confident, probe", [(1, "cancelInput", 3, True, "cancelInput"), (2, None, None, None, None), (3, "cancelInput", 1, True, "cancelInput"), (4, "reconvert", 0, True, "reconvert"), (5, None, None, None, None), (6, None, None, None, None)]),
     "symbol_choices": _expected("choices", "id, n", [(1, 13), (2, 0), (3, 12), (4, 0), (5, 13), (6, 0)]),
-    "edit_distances": "select p_partkey, levenshtein(left(p_name, 20), left(p_type, 20)) as distance from part",
+    "edit_distances": "select p_partkey, levenshtein(p_name, p_type) as distance from part",
 }
