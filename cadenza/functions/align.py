@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import difflib
 import re
-import unicodedata
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import UNCOMPARED_BY_CLIENT, comparable_text, stripped
+from .guards import bound
+from .text import comparable_by_client, comparable_text, stripped, without_line_breaks
 from .udf import arrow
 
 class Matcher(difflib.SequenceMatcher):
@@ -112,21 +112,29 @@ def match_ratio(live: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series([Matcher(comparable_text(x or "")[0], comparable_text(y or "")[0]).ratio() for x, y in zip(live, ref, strict=True)])
 
 
-@arrow("text string, matched int, status string")
-def aligned_prefix(live: pd.Series, ref: pd.Series) -> pd.DataFrame:
-    """live up to where ref's end lies in it, if live is over 1.3 times as long; status: whole, cut, lost or empty."""
+@arrow("size int, stop int, live_size int, ref_size int")
+def _end_in(live: pd.Series, ref: pd.Series) -> pd.DataFrame:
+    """The longest run that live and ref's last 160 comparable characters share: its size, where it stops in the raw live, and both comparable sizes."""
+    rows = []
+    for (a, at), (b, _) in zip((comparable_text(x or "") for x in live), (comparable_text(y or "") for y in ref), strict=True):
+        run = Matcher(a, b[-160:]).find_longest_match(0, len(a), 0, len(b[-160:]))
+        rows.append((run.size, at[run.a + run.size - 1] + 1 if run.size else 0, len(a), len(b)))
+    return pd.DataFrame(rows, columns=["size", "stop", "live_size", "ref_size"])
 
-    def one(live: str, ref: str, probe: int = 160, least: int = 12) -> tuple[str, int, str]:
-        (a, at), (b, _) = comparable_text(live), comparable_text(ref)
-        if not a or not b:
-            return live, 0, "empty"
-        if len(a) <= 1.3 * len(b):
-            return live, 0, "whole"
-        tail = b[-probe:]
-        m = difflib.SequenceMatcher(None, a, tail, autojunk=False).find_longest_match(0, len(a), 0, len(tail))
-        return (live, m.size, "lost") if m.size < least else (live[: at[m.a + m.size - 1] + 1], m.size, "cut")
 
-    return pd.DataFrame([one(x or "", y or "") for x, y in zip(live, ref, strict=True)], columns=["text", "matched", "status"])
+def aligned_prefix(live: Column, ref: Column) -> Column:
+    """struct(text, matched, status): live up to where ref's end lies in it, if live is over 1.3 times as long.
+
+    status: empty (nothing to compare), whole (of like length), lost (fewer than 12 characters of ref's end are found), cut.
+    """
+
+    def judged(found: Column) -> Column:
+        empty, whole = F.least(found["live_size"], found["ref_size"]) == 0, found["live_size"] <= 1.3 * found["ref_size"]
+        status = F.when(empty, "empty").when(whole, "whole").when(found["size"] < 12, "lost").otherwise("cut")
+        text = F.when(status == "cut", live.substr(F.lit(1), found["stop"])).otherwise(live)
+        return F.struct(text.alias("text"), F.when(empty | whole, 0).otherwise(found["size"]).alias("matched"), status.alias("status"))
+
+    return bound(_end_in(live, ref), judged)
 
 
 def repeats_in(least: int = 4, most: int = 40):
@@ -182,61 +190,72 @@ def common_length(a: str, b: str) -> int:
     return len(a) - v.bit_count()
 
 
-@arrow("safe boolean, reason string")
-def refinement_safety(before: pd.Series, after: pd.Series) -> pd.DataFrame:
-    """Whether a refined text keeps its provisional one: enough length, enough of both edges, enough of the whole. The whole texts count, where the client looks at 1200 characters."""
-    drop = re.compile(UNCOMPARED_BY_CLIENT)
+#: A refined text may have this share of the length; this share of an edge, and of the whole, must be left.
+LEAST_LENGTH, LEAST_EDGE, LEAST_WHOLE = 0.78, 0.4, 0.45
+
+
+@arrow("array<double>")
+def _kept(before: pd.Series, after: pd.Series, edge: pd.Series) -> pd.Series:
+    """Which shares of the first and last `edge` characters of a text, and of all of it, its later version still has in their order; an edge is looked for in twice its length."""
+    share = lambda a, b: common_length(a, b) / max(1, len(a))
+    return pd.Series([[share(x[:n], y[: 2 * n]), share(x[-n:], y[-2 * n :]), share(x, y)] for x, y, n in zip(before, after, edge, strict=True)])
+
+
+def refinement_safety(before: Column, after: Column) -> Column:
+    """struct(safe, reason): whether a refined text keeps its provisional one, by comparable characters: enough length, enough of both edges, enough of the whole; of a short or empty one only the length counts. The whole texts count, where the client looks at 1200 characters."""
+    x, y = (comparable_by_client(F.coalesce(c, F.lit(""))) for c in (before, after))
+    edge = F.least(F.lit(48), F.greatest(F.lit(16), F.floor(F.length(x) / 4))).cast("int")
+
+    def judged(v: Column) -> Column:
+        long = v["x"] >= 24
+        rules = {"too-short": v["y"] / v["x"] < LEAST_LENGTH}
+        rules |= {f"{side}-content-lost": long & (v["kept"][k] < LEAST_EDGE) for k, side in enumerate(("leading", "trailing"))}
+        rules["content-diverged"] = long & (v["kept"][2] < LEAST_WHOLE)
+        reason = F.when(v["x"] > 0, F.coalesce(*[F.when(broken, name) for name, broken in rules.items()]))
+        return F.struct(reason.isNull().alias("safe"), reason.alias("reason"))
+
+    return bound(F.struct(F.length(x).alias("x"), F.length(y).alias("y"), _kept(x, y, edge).alias("kept")), judged)
+
+
+#: Where a paragraph may end, and where it may if there is no such place.
+SENTENCE_ENDS, CLAUSE_ENDS = "[。！？!?」』）]", r"[、，,：:；;\s]"
+
 
-    def share(a: str, b: str) -> float:
-        return common_length(a, b) / len(a) if a else 1.0
+@arrow("array<int>")
+def _places(text: pd.Series, shares: pd.Series) -> pd.Series:
+    """For each share (of the length, rising) a place in the text: the edge's own at 0 and 1, else the nearest end of a sentence behind the place before, else of a clause; none if there is neither."""
 
-    def reason(x: str, y: str) -> str | None:
-        x, y = (drop.sub("", unicodedata.normalize("NFKC", t or "")) for t in (x, y))
-        if not x:
-            return None
-        if len(y) / len(x) < 0.78:
-            return "too-short"
-        if len(x) < 24:
-            return None
-        edge = min(48, max(16, len(x) // 4))
-        if share(x[:edge], y[: 2 * edge]) < 0.4:
-            return "leading-content-lost"
-        if share(x[-edge:], y[-2 * edge :]) < 0.4:
-            return "trailing-content-lost"
-        return "content-diverged" if share(x, y) < 0.45 else None
+    def one(t: str, shares: np.ndarray) -> list[int]:
+        ends = [np.array([m.end() for m in re.finditer(p, t) if m.end() < len(t)], int) for p in (SENTENCE_ENDS, CLAUSE_ENDS)]
+        out: list[int] = []
+        for share in shares:
+            if share in (0.0, 1.0):
+                out.append(int(share) * len(t))
+                continue
+            first = min(len(t), out[-1] + 1 if out else 0)
+            goal = max(first, int(share * len(t) + 0.5))  # half up, as the client rounds
+            free = next((own for e in ends if len(own := e[e >= first])), None)
+            if free is not None:
+                out.append(int(free[np.abs(free - goal).argmin()]))
+        return out
 
-    rows = [reason(x, y) for x, y in zip(before, after, strict=True)]
-    return pd.DataFrame({"safe": [r is None for r in rows], "reason": rows})
+    return pd.Series([one(t, s) for t, s in zip(text, shares, strict=True)])
 
 
-@arrow("string")
-def with_paragraphs_of(refined: pd.Series, provisional: pd.Series) -> pd.Series:
+def with_paragraphs_of(refined: Column, provisional: Column) -> Column:
     """The refined text with the provisional one's paragraph breaks, each at the nearest sentence end to its relative place, else at the nearest comma or blank, else left out."""
-    flat = lambda t: re.sub(r"[\r\n]+", "", t)
-
-    def near(text: str, target: int, least: int) -> int | None:
-        for pattern in (r"[。！？!?」』）]", r"[、，,：:；;\s]"):
-            ends = [m.end() for m in re.finditer(pattern, text) if least <= m.end() < len(text)]
-            if ends:
-                return min(ends, key=lambda e: (abs(e - max(least, min(len(text), target))), e))
-        return None
-
-    def one(new: str, old: str) -> str:
-        breaks = [len(flat(old[: m.start()])) for m in re.finditer(r"(?:\r?\n){2,}", old)]
-        text, size = flat(new), len(flat(old))
-        if not breaks or not text or not size:
-            return new
-        places: list[int] = []
-        for b in breaks:
-            # half up, as the client rounds
-            at = 0 if b == 0 else len(text) if b >= size else near(text, int(b / size * len(text) + 0.5), min(len(text), (places[-1] if places else -1) + 1))
-            if at is not None:
-                places.append(at)
-        for at in reversed(places):
-            text = f"{text[:at]}\n\n{text[at:]}"
-        return text
-
-    return pd.Series([one(x or "", y or "") for x, y in zip(refined, provisional, strict=True)])
+    new, old = F.coalesce(refined, F.lit("")), F.coalesce(provisional, F.lit(""))
+    flat, parts = without_line_breaks(new), F.split(old, r"(?:\r?\n){2,}", -1)
+    size = F.length(without_line_breaks(old))
+    before = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p, i: F.length(without_line_breaks(F.array_join(F.slice(parts, 1, i + 1), ""))) / size)
+
+    def broken(places: Column) -> Column:
+        edges = F.concat(F.array(F.lit(0)), places, F.array(F.length(flat)))
+        pieces = F.transform(F.sequence(F.lit(1), F.size(edges) - 1), lambda i: flat.substr(F.get(edges, i - 1) + 1, F.get(edges, i) - F.get(edges, i - 1)))
+        return F.array_join(pieces, "\n\n")
+
+    some = (F.size(parts) > 1) & (F.length(flat) > 0) & (size > 0)
+    return F.when(some, bound(_places(flat, F.when(some, before).otherwise(F.array().cast("array<double>"))), broken)).otherwise(new)
 
 
 def edit_distance(a: Column, b: Column) -> Column:

@@ -24,12 +24,12 @@ def clean_text(column: Column, values: dict[str, str] | None = None, symbols: bo
     if symbols:
         t = text.dictated_symbols(t, own_symbols)
     if inline and analyse:
-        t = guards.bound(t, lambda x: morphemes.with_inline_symbols(x, analyse(x)))
+        t = guards.bound(F.struct(t.alias("text"), analyse(t).alias("of")), lambda x: morphemes.with_inline_symbols(x["text"], x["of"]))
     t = replaced(t, values or {})
     if strip_space:
         t = text.without_japanese_spaces(t)
     if punctuate and analyse:
-        t = guards.bound(t, lambda x: morphemes.punctuated(x, analyse(x)))
+        t = guards.bound(F.struct(t.alias("text"), analyse(t).alias("of")), lambda x: morphemes.punctuated(x["text"], x["of"]))
     return F.when(column == "", column).otherwise(text.collapsed(t))
 
 
@@ -76,7 +76,7 @@ def compared(notes: DataFrame, segs: DataFrame, top: int = 40, merge: int = 8, c
     placed = reports.text_offsets(segs)
     refs = placed.groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "").alias("ref"))
     both = notes.select("session", text.note_text(F.col("text")).alias("note")).join(refs, "session")
-    cut = both.withColumn("a", align.aligned_prefix("note", "ref")).select("session", F.col("a.text").alias("live"), "ref", F.col("a.status").alias("status"))
+    cut = both.withColumn("a", align.aligned_prefix(F.col("note"), F.col("ref"))).select("session", F.col("a.text").alias("live"), "ref", F.col("a.status").alias("status"))
     found = cut.select("session", F.posexplode(align.differences(F.col("live"), F.col("ref"), merge, context, least)).alias("n", "h")).select("session", "n", "h.*")
     hunks = joins.as_of(found, placed.select("session", "raw_start", "start"), "session", "ref_pos", "raw_start", "start").withColumnRenamed("start", "at_sec")
     again = refs.select("session", F.explode(align.repeats_in()("ref")).alias("r")).select("session", "r.*")

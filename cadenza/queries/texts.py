@@ -158,7 +158,7 @@ def word_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def safe_refinements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _versions(spark, sf_dir).select("conv_id", "turn", align.refinement_safety("ref", "live").alias("s")).select("conv_id", "turn", "s.safe", "s.reason")
+    return _versions(spark, sf_dir).select("conv_id", "turn", align.refinement_safety(F.col("ref"), F.col("live")).alias("s")).select("conv_id", "turn", "s.safe", "s.reason")
 
 
 def edit_distances(spark: SparkSession, sf_dir: str) -> DataFrame:

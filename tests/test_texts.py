@@ -29,7 +29,7 @@ def test_clean_text(spark):
 
 
 def test_safety(spark):
-    f = lambda a, b: one(spark, align.refinement_safety("a", "b"), a=a, b=b)
+    f = lambda a, b: one(spark, align.refinement_safety(F.col("a"), F.col("b")), a=a, b=b)
     base = "本日はお忙しい中お集まりいただきありがとうございます。これより説明会を始めます。"
     assert f(base, base).safe
     assert f(base, base[:15]).reason == "too-short"
@@ -38,10 +38,14 @@ def test_safety(spark):
 
 
 def test_paragraph_transplant(spark):
-    f = lambda new, old: one(spark, align.with_paragraphs_of("new", "old"), new=new, old=old)
+    f = lambda new, old: one(spark, align.with_paragraphs_of(F.col("new"), F.col("old")), new=new, old=old)
     assert f("あいう。えおか。", "あいう。\n\nえおか。") == "あいう。\n\nえおか。"
     assert f("あいうえおか", "あいう\n\nえおか") == "あいうえおか"
     assert f("abc", "abc") == "abc"
+    assert f("ab、cd、ef", "xx\n\nyy") == "ab、\n\ncd、ef"
+    assert f("あ。い。う。え。お", "あああ\n\nいいい\r\n\r\nううう") == "あ。\n\nい。う。\n\nえ。お"
+    assert f("あい。うえ", "\n\nあい\n\n") == "\n\nあい。うえ\n\n"
+    assert f("a\nb", "abc") == "a\nb" and f("", "a\n\nb") == ""
 
 
 def test_differences(spark):
@@ -60,8 +64,10 @@ def test_differences(spark):
 
 
 def test_prefix_and_repeats(spark):
-    r = one(spark, align.aligned_prefix("a", "b"), a="あいうえおかきくけこさしすせそ" * 1 + "たちつてとなにぬねの" * 3, b="あいうえおかきくけこさしすせそ")
+    r = one(spark, align.aligned_prefix(F.col("a"), F.col("b")), a="あいうえおかきくけこさしすせそ" * 1 + "たちつてとなにぬねの" * 3, b="あいうえおかきくけこさしすせそ")
     assert r.status == "cut" and r.text == "あいうえおかきくけこさしすせそ"
+    status = lambda a, b: one(spark, align.aligned_prefix(F.col("a"), F.col("b")), a=a, b=b).status
+    assert (status("", "abc"), status("abc", "abd"), status("あいうえおかきくけこ" * 3, "x" * 12)) == ("empty", "whole", "lost")
     found = one(spark, align.repeats_in()(F.col("t")), t="比べると比べると良い")
     assert [(x.pos, x.unit) for x in found] == [(0, "比べると")]
 
@@ -180,7 +186,7 @@ def test_comparisons_see_what_lies_behind_character_600(spark, tmp_path):
     assert got["word_errors"][0].wer == 2 / 302
     assert got["safe_refinements"][0].safe
     lost = "".join(chr(0x4E00 + i) for i in range(1500))
-    r = spark.createDataFrame([(lost, lost[:1300] + "x" * 200)], "a string, b string").select(align.refinement_safety("a", "b").alias("s")).first().s
+    r = spark.createDataFrame([(lost, lost[:1300] + "x" * 200)], "a string, b string").select(align.refinement_safety(F.col("a"), F.col("b")).alias("s")).first().s
     assert r.reason == "trailing-content-lost"
 
 
