@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.guards import bound
 from ..functions.text import katakana_to_hiragana, number, reading_key, stripped
 from ..functions.udf import arrow
+from .joins import unconsumed
 
 #: Phrases, their readings and what they mean, in the order that breaks ties.
 PHRASES = (
@@ -122,6 +123,20 @@ def probed(text: Column, reading: Column) -> Column:
     return F.when(exact.isNotNull(), F.when(exact.isin(*ARGUMENT_FREE), exact)).otherwise(by)
 
 
+def cascaded(chunks: DataFrame, probes: DataFrame, mains: DataFrame, longest: float = 4.0, most: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(commands, texts) of a cheap first pass and a main one over the same chunks.
+
+    chunks: (session, seq, seconds, dictated, recovery); probes: (session, seq, text, reading);
+    mains: (session, seq, text). Only dictated chunks of at most `longest` seconds are probed,
+    no recovered ones. A probe that reads as a command is acted on, (session, seq, kind), and
+    its chunk's main result is dropped while it is among the session's last `most` consumed
+    numbers; all other main results are the texts.
+    """
+    own = chunks.where((F.col("seconds") <= longest) & F.col("dictated") & ~F.col("recovery")).select("session", "seq")
+    read = own.join(probes.where("text <> ''"), ["session", "seq"]).select("session", "seq", probed(F.col("text"), F.coalesce("reading", F.lit(""))).alias("kind")).where("kind is not null")
+    return read, unconsumed(mains, read.withColumn("consumed_at", F.col("seq")), most=most)
+
+
 def routed(rows: DataFrame) -> DataFrame:
     """rows (text, reading, consumed, in_dialog, has_selection, awaiting) with route: consumed, dialog, exact, loose, fuzzy, respeak or insert, the first that applies."""
     c = F.col

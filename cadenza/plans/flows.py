@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import align, guards, morphemes, text
@@ -66,6 +66,23 @@ def bodies(lines: DataFrame) -> DataFrame:
     return lines.groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "line"))), lambda x: x["line"]), "").alias("text"))
 
 
+def finished(stops: DataFrame, steps: dict[str, DataFrame]) -> DataFrame:
+    """(session, n, event, payload): what a session still gives once it is stopped, in the order of the steps, then `stopped` with the reason.
+
+    stops: (session, at, reason), of which the first counts, however often a session is stopped;
+    steps, in their order: name to (session, ord, payload), such as the last segment, the held
+    one, its text, a text that waited for its context and the rest that is gone over again. All
+    of a step comes before the next one; sessions that aren't stopped give nothing.
+    """
+    first = stops.groupBy("session").agg(F.min_by("reason", F.struct("at", "reason")).alias("payload"))
+    rows = first.select("session", F.lit(len(steps)).alias("step"), F.lit(0).cast("long").alias("ord"), F.lit("stopped").alias("event"), "payload")
+    for k, (name, step) in enumerate(steps.items()):
+        own = step.join(first.select("session"), "session", "left_semi")
+        rows = rows.union(own.select("session", F.lit(k), F.col("ord").cast("long"), F.lit(name), F.col("payload").cast("string")))
+    n = F.row_number().over(Window.partitionBy("session").orderBy("step", "ord", "payload"))
+    return rows.withColumn("n", n).select("session", "n", "event", "payload")
+
+
 def compared(notes: DataFrame, segs: DataFrame, top: int = 40, merge: int = 8, context: int = 24, least: int = 2) -> dict[str, DataFrame]:
     """What a note and a whole pass over its recording tell about each other.
 

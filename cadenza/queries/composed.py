@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import guards, text
 from ..operators import commands, dictionary, reconvert
+from ..plans import flows
 from .base import table
 
 
@@ -31,6 +32,7 @@ _KANA = f"{pick(['カタカナ', 'ひらがな', 'ヴァイオリン', 'abc', '
 _CLIENT = f"{pick(['a b', '「あ」', '東京。', ''], 1)} || {pick([' ', '、', '…', '!?'], 4)} || {pick(['x.y', '(z)', '[w]', '・'], 16)}"
 _ECHO = f"{pick(['これ', '', '候補を'], 1)} || {pick(['を再変換', 'を修正', 'を言い直し', 'を見る', 'は'], 3)}"
 _SESSION = f"{pick(['20260101', '2026010', 'x0260101', '20261231'], 1)} || {pick(['-', '_', ''], 4)} || {pick(['120000', '12000', '235959-2', '235959-', '120000-12'], 12)}"
+_MIXED = f"{pick(['今日は Python を', 'Ａトック　', 'a  b', ' '], 1)} || {pick([' 書く', '、、x', '。。', 'New York に', ''], 4)} || {pick([' まる', '', ' てん', 'てんき'], 20)}"
 _KIND, _LEFT, _RIGHT = pick(["reconverted", "added", "symbol", "other"], 1), "repeat('a', CAST(event_id % 140 AS INT))", "repeat('b', CAST(event_id * 7 % 270 AS INT))"
 
 
@@ -137,6 +139,33 @@ def reconverted_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconvert.reconverted(own.select(F.col("p_partkey").alias("id"), F.col("w")[0].alias("reading")), known).select("id", F.array_join("candidates", "|").alias("candidates"))
 
 
+_PROBE = pick(["入力キャンセル", "今日は晴れ", "確定", "", "改行", "参加を惨禍に修正"], 1)
+
+
+def _cascade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    own = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"), (F.col("event_id") % 9).cast("double").alias("seconds"), (F.col("event_id") % 5 > 0).alias("dictated"), (F.col("event_id") % 7 == 0).alias("recovery"), F.expr(_PROBE).alias("text"))
+    return commands.cascaded(own.drop("text"), own.select("session", "seq", "text", F.lit("").alias("reading")), own.select("session", "seq", "text"))
+
+
+def probe_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cascade(spark, sf_dir)[0]
+
+
+def probe_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cascade(spark, sf_dir)[1].select("session", "seq")
+
+
+def finish_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("ord"), "event_type")
+    steps = {name: own.where(F.col("ord") % 5 == k).withColumn("payload", F.concat(F.lit(name[0]), "ord")) for k, name in enumerate(("tail", "held", "context", "refined"))}
+    return flows.finished(own.where("ord % 5 = 4 and session % 3 > 0").select("session", F.col("ord").alias("at"), F.col("event_type").alias("reason")), steps)
+
+
+def language_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    language = F.when(F.col("event_id") % 3 == 0, "en").when(F.col("event_id") % 3 == 1, "ja")
+    return _made(spark, sf_dir, t=_MIXED).select("event_id", flows.clean_by_language(F.col("t"), language, {"Python": "パイソン"}, symbols=True).alias("text"))
+
+
 def cycle_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = table(spark, sf_dir, "events").select((F.col("user_id") % 12).alias("k")).distinct().select(F.concat(F.lit("u"), "k").alias("observed"), F.concat(F.lit("u"), (F.col("k") * F.col("k") + 3) % 12).alias("output"))
     return dictionary.cycle_members(links, 12)
@@ -148,7 +177,7 @@ def hallucination_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.hallucinations(words, sets, "s")
 
 
-_OWN = (dictated_words, number_tokens, spoken_conversions, boilerplate_lines, glued_lines, symbol_offers, reading_keys, client_keys, command_echoes, valid_sessions, registrable_pairs, turn_commas, edit_folds, occurrences, replaced_places, last_surfaces, surface_lists, preselected_parts, reconverted_words, cycle_walks, hallucination_words)
+_OWN = (dictated_words, number_tokens, spoken_conversions, boilerplate_lines, glued_lines, symbol_offers, reading_keys, client_keys, command_echoes, valid_sessions, registrable_pairs, turn_commas, edit_folds, occurrences, replaced_places, last_surfaces, surface_lists, preselected_parts, reconverted_words, cycle_walks, hallucination_words, probe_commands, probe_texts, finish_order, language_texts)
 QUERIES = {f.__name__: f for f in _OWN}
 
 _SYMBOL = "map {" + ", ".join(f"{_quoted(w)}: {_quoted(s)}" for words, s in text.SYMBOL_WORDS for w in words) + "}"
@@ -162,7 +191,16 @@ _last = lambda t, s: f"case when instr(reverse({t}), reverse({s})) > 0 then leng
 _near = "greatest(" + ", ".join(_last("n", _quoted(s)) for s in _OPTIONS[:4]) + ")"
 _far = "greatest(" + ", ".join(_last("text", _quoted(s)) for s in _OPTIONS[:4]) + ")"
 _which = lambda t, at: "case " + " ".join(f"when {_last(t, _quoted(s))} = {at} then {_quoted(s)}" for s in _OPTIONS[:4]) + " end"
+_PROBED = f"p as (select user_id as session, event_id as seq, map {{'入力キャンセル': 'cancelInput', '確定': 'confirm', '改行': 'newline'}}[{_PROBE}] as kind from events where event_id % 9 <= 4 and event_id % 5 > 0 and event_id % 7 > 0)"
+_J, _AN = r"[\x{3000}-\x{303F}\x{3040}-\x{309F}\x{30A0}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{FF00}-\x{FFEF}]", "[A-Za-z0-9]"
+_once = lambda x: f"regexp_replace(regexp_replace(regexp_replace({x}, '({_J}) +({_AN})', '\\1\\2', 'g'), '({_AN}) +({_J})', '\\1\\2', 'g'), '({_J}) +({_J})', '\\1\\2', 'g')"
+_FULL, _HALF = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　", ("".join(map(chr, range(0x21, 0x7F))) + " ").replace("'", "''")
+_fold = lambda x: f"regexp_replace(regexp_replace(regexp_replace({x}, '、{{2,}}', '、', 'g'), '。{{2,}}', '。', 'g'), '[ \\t]{{2,}}', ' ', 'g')"
 ORACLE_SQL = {
+    "probe_commands": f"with {_PROBED} select * from p where kind is not null",
+    "probe_texts": f"with {_PROBED}, c as (select session, seq from p where kind is not null qualify row_number() over (partition by session order by seq desc) <= 20) select user_id as session, event_id as seq from events where (user_id, event_id) not in (select session, seq from c)",
+    "finish_order": "with s as (select user_id, arg_min(event_type, event_id) as reason from events where event_id % 5 = 4 and user_id % 3 > 0 group by 1), r as (select user_id, event_id % 5 as step, event_id as ord, ['tail', 'held', 'context', 'refined'][event_id % 5 + 1] as event, ['t', 'h', 'c', 'r'][event_id % 5 + 1] || event_id as payload from events where event_id % 5 < 4 and user_id in (select user_id from s) union all select user_id, 4, 0, 'stopped', reason from s) select user_id as session, row_number() over (partition by user_id order by step, ord, payload)::int as n, event, payload from r",
+    "language_texts": f"with {_sql(t=_MIXED)}, h as (select event_id, t as raw, translate(regexp_replace(t, '^[\\s　]+|[\\s　]+$', '', 'g'), '{_FULL}', '{_HALF}') as t from m), s as (select *, trim(t) as u, regexp_replace(trim(t), '{_TAIL}', '') as bare, regexp_extract(trim(t), '{_END}', 1) as w from h), d as (select *, case when u = '' then u else coalesce({_SYMBOL}[bare], case when w <> '' then regexp_replace(left(u, length(u) - length(w)), '{_TAIL}', '') || {_SYMBOL}[w] end, u) end as x from s), r as (select *, replace(x, 'Python', 'パイソン') as x2 from d) select event_id, case when event_id % 3 = 0 then {_fold('t')} else {_fold(_once(_once('x2')))} end as text from r",
     "dictated_words": f"with {_sql(t=_DICTATED)}, s as (select event_id, regexp_replace(t, '^[\\s　]+|[\\s　]+$', '', 'g') as t from m), b as (select *, regexp_replace(t, '{_TAIL}', '') as bare, regexp_extract(t, '{_END}', 1) as w from s) select event_id, case when t = '' then t else coalesce(case when bare = '当点' then '、' end, {_SYMBOL}[bare], case when w <> '' then regexp_replace(left(t, length(t) - length(w)), '{_TAIL}', '') || {_SYMBOL}[w] end, t) end as text from b",
     "number_tokens": f"with {_sql(t=_NUMBER)}, d as (select *, translate(t, '０１２３４５６７８９', '0123456789') as d from m) select event_id, coalesce(case when regexp_matches(d, '^[0-9]{{1,9}}$') then d::int end, {_NUMBERS(False)}[t]) as n, coalesce(case when regexp_matches(d, '^[0-9]{{1,9}}$') then d::int end, {_NUMBERS(True)}[t]) as kana from d",
     "spoken_conversions": f"with {_sql(a=_ORIGINAL, b=_SPOKEN)} select event_id, length(b) between 1 and 8 and not regexp_matches(a, '{_ALL_KANA}') and regexp_matches(b, '{_ALL_KANA}') as needed from m",

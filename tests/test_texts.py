@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cadenza.functions import align, guards, signal, text
-from cadenza.operators import commands, reconvert
+from cadenza.operators import commands, dictionary, reconvert
 from cadenza.plans.flows import clean_text
 from cadenza.queries import texts
 from cadenza.sources import files, pcm, recordings
@@ -193,3 +193,33 @@ def test_comparisons_see_what_lies_behind_character_600(spark, tmp_path):
 def test_edit_distances_see_whole_names(spark, tmp_path):
     spark.createDataFrame([(1, "a" * 30, "a" * 20 + "b" * 10)], "p_partkey long, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
     assert texts.QUERIES["edit_distances"](spark, str(tmp_path)).first().distance == 10
+
+
+def test_reloading_keeps_the_last_good_state(spark, tmp_path):
+    file, loads = tmp_path / "p.json", []
+
+    def load():
+        loads.append(file.read_text())
+        if loads[-1] == "broken":
+            raise ValueError("broken")
+        return loads[-1]
+
+    kept = files.Reloading(spark, (str(tmp_path / "*.json"),), load, "default")
+    assert kept.get() == "default" and kept.error  # nothing there yet
+    file.write_text("one")
+    assert kept.get() == "one" and kept.get() == "one" and loads == ["one"] and kept.error is None
+    file.write_text("broken")
+    assert kept.get() == "one" and "broken" in kept.error and kept.get() == "one" and len(loads) == 2
+    file.write_text("other")
+    assert kept.get() == "other" and kept.error is None
+
+
+def test_symbols_are_appended_by_revision(spark):
+    symbols = spark.createDataFrame([("a", 0, "まる", "。"), ("a", 1, "てん", "、")], "profile string, ord int, symbol string, output string")
+    rows = [("a", "悪", "。", "r1"), ("a", " まる ", "。", "r1"), ("a", "まる", ".", None), ("a", "x", "y", "r0"), ("a", " ", "y", "r1"), ("b", "x", "y", None)]
+    requests = spark.createDataFrame(rows, "profile string, observed string, output string, revision string")
+    revisions = spark.createDataFrame([("a", "r1")], "profile string, revision string")
+    got = sorted((r.observed, r.status) for r in dictionary.appended_symbols(symbols, requests, revisions).collect())
+    assert got == sorted([("悪", "created"), ("まる", "exists"), ("まる", "conflict"), ("x", "conflict"), ("", "invalid"), ("x", "conflict")])
+    after = dictionary.with_symbols(symbols, requests, revisions).orderBy("ord").collect()
+    assert [(r.ord, r.symbol, r.output) for r in after] == [(0, "まる", "。"), (1, "てん", "、"), (2, "悪", "。")]
