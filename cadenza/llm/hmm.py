@@ -33,7 +33,7 @@ class HmmParams:
     head: int = 16_000
     tail: int = 256
     states: int = 8
-    rounds: int = 8
+    rounds: int = 7
     gain: float = 2e-4
     floor: float = 0.01
     slices: int = 32
