@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ..functions.signal import LEAST_FLOOR, NOISE_FALL, NOISE_RATIO, NOISE_RISE, fixed_floor
 from ..params import FRAME, Joining, Paragraphs, Segmenting
 
+#: Frames that are pushed at once: what stays open is copied at each close, so it is kept short.
+_PUSH = 4096
 SEGMENT = "session string, start long, end long, reason string, pause double"
 
 
@@ -132,8 +134,10 @@ def segments(frames: DataFrame, p: Segmenting = Segmenting()) -> DataFrame:
         sound = Noise().active(level, p.threshold) if p.adaptive else level >= fixed_floor(p.threshold)
         given = own["active"].to_numpy(object)
         sound = np.array([s if g is None or g is pd.NA or g != g else bool(g) for g, s in zip(given, sound, strict=True)], bool)
-        m = Segmenter(p)
-        rows = m.push(level, sound) + m.flush(tail)
+        m, rows = Segmenter(p), []
+        for i in range(0, len(level), _PUSH):
+            rows += m.push(level[i : i + _PUSH], sound[i : i + _PUSH])
+        rows += m.flush(tail)
         out = pd.DataFrame(rows, columns=["start", "end", "reason", "pause"])
         out.insert(0, "session", pdf["session"].iloc[0])
         return out
