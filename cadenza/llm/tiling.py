@@ -149,7 +149,8 @@ class Items:
         s = span_hashes(w.hashes, least)
         at = np.flatnonzero(self.sieve[(s & np.uint64((1 << _SIEVE) - 1)).astype(np.int64)])
         text = np.searchsorted(w.first, at, side="right") - 1
-        keep = (at + least <= w.first[text + 1]) & np.isin(s[at], self.seed)
+        near = np.minimum(np.searchsorted(self.seed, s[at]), max(len(self.seed) - 1, 0))
+        keep = (at + least <= w.first[text + 1]) & (self.seed[near] == s[at] if len(self.seed) else False)
         at, text = at[keep], text[keep]
         begin = np.searchsorted(text, np.arange(len(w.first)))
         order = np.lexsort((s[at], text))  # each seed of a text once

@@ -249,6 +249,8 @@ def test_odd_tables_of_labels(spark):
     assert len(scores) == len(rows)
     kept = quality.keep_quality(docs, ranker)
     assert kept.columns == docs.columns and kept.count() == sum(r.predicted for r in scores)
+    none = quality.fit_quality(docs, labels.limit(0))
+    assert {r.predicted for r in quality.quality_scores(docs, none).collect()} == {1}
     empty = quality.fit_quality(frame(spark, []), labels.limit(0))
     assert quality.quality_scores(frame(spark, []), empty).count() == 0
     same = by_id(quality.quality_scores(frame(spark, [(1, prose(__import__("random").Random(1), 30))] * 2), ranker), "score")

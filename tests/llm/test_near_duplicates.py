@@ -57,6 +57,14 @@ def test_groups_are_those_of_all_pairs(spark, seed):
     assert by_id(got, "n_shingles", "component_id", "kept") == brute(rows)
 
 
+def test_a_whole_table_loses_no_link(spark):
+    """Recall against all pairs of the 1,000 documents of the table: every component is theirs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = brute([tuple(r) for r in docs.collect()])
+    assert sum(d != c for d, _, c, _ in want) > 50
+    assert by_id(minmax.near_groups(docs), "n_shingles", "component_id", "kept") == want
+
+
 def test_a_link_at_exactly_three_quarters_counts(spark):
     w = [f"w{i}" for i in range(40)]
     a = " ".join(w[:25])  # 21 shingles
