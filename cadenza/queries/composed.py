@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import guards, text
+from ..functions import guards, morphemes, text
 from ..operators import commands, dictionary, reconvert
 from ..plans import flows
 from .base import table
@@ -166,6 +166,29 @@ def language_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _made(spark, sf_dir, t=_MIXED).select("event_id", flows.clean_by_language(F.col("t"), language, {"Python": "パイソン"}, symbols=True).alias("text"))
 
 
+#: Morphemes that rows are put together from: surface, reading, the pos's first fields.
+UNITS = [("鍵", "カギ", "名詞"), ("かっこ", "カッコ", "名詞"), ("括弧", "カッコ", "名詞"), ("と", "ト", "助詞"), ("じ", "ジ", "名詞"), ("バージョンカッコトジ", "バージョンカッコトジ", "名詞"), ("カギカッコー", "カギカッコー", "名詞"), ("です", "デス", "助動詞"), ("ね", "ネ", "助詞 終助詞"), ("から", "カラ", "助詞 接続助詞"), ("しかし", "シカシ", "接続詞"), ("つまり", "ツマリ", "副詞"), ("。", "。", "補助記号"), ("晴れる", "ハレル", "動詞 一般 - - - 終止形")]
+
+
+def unit(row, k: int):
+    """Which unit is the k-th of a row: of a column or of a number."""
+    return (row * (7 + 2 * k) + 3 * k * k + (row - row % 10**k) / 10**k) % len(UNITS)
+
+
+def _morphemes(spark: SparkSession, sf_dir: str, length: int = 6) -> DataFrame:
+    every = F.array(*[F.struct(F.lit(s).alias("surface"), F.lit(r).alias("reading"), F.split(F.lit(pos + " -" * (5 - pos.count(" "))), " ").alias("pos")) for s, r, pos in UNITS])
+    own = table(spark, sf_dir, "events").select("event_id", F.array(*[F.get(every, unit(F.col("event_id"), k).cast("int")) for k in range(length)]).alias("m"))
+    return own.withColumn("t", F.array_join(F.transform("m", lambda x: x["surface"]), ""))
+
+
+def symbols_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _morphemes(spark, sf_dir).select("event_id", morphemes.with_inline_symbols(F.col("t"), F.col("m")).alias("text"))
+
+
+def punctuated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _morphemes(spark, sf_dir).select("event_id", morphemes.punctuated(F.col("t"), F.col("m")).alias("text"))
+
+
 def cycle_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = table(spark, sf_dir, "events").select((F.col("user_id") % 12).alias("k")).distinct().select(F.concat(F.lit("u"), "k").alias("observed"), F.concat(F.lit("u"), (F.col("k") * F.col("k") + 3) % 12).alias("output"))
     return dictionary.cycle_members(links, 12)
@@ -177,7 +200,7 @@ def hallucination_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.hallucinations(words, sets, "s")
 
 
-_OWN = (dictated_words, number_tokens, spoken_conversions, boilerplate_lines, glued_lines, symbol_offers, reading_keys, client_keys, command_echoes, valid_sessions, registrable_pairs, turn_commas, edit_folds, occurrences, replaced_places, last_surfaces, surface_lists, preselected_parts, reconverted_words, cycle_walks, hallucination_words, probe_commands, probe_texts, finish_order, language_texts)
+_OWN = (dictated_words, number_tokens, spoken_conversions, boilerplate_lines, glued_lines, symbol_offers, reading_keys, client_keys, command_echoes, valid_sessions, registrable_pairs, turn_commas, edit_folds, occurrences, replaced_places, last_surfaces, surface_lists, preselected_parts, reconverted_words, cycle_walks, hallucination_words, probe_commands, probe_texts, finish_order, language_texts, symbols_within, punctuated_texts)
 QUERIES = {f.__name__: f for f in _OWN}
 
 _SYMBOL = "map {" + ", ".join(f"{_quoted(w)}: {_quoted(s)}" for words, s in text.SYMBOL_WORDS for w in words) + "}"

@@ -8,11 +8,13 @@ from collections import defaultdict
 from itertools import accumulate
 
 import pyarrow.parquet as pq
+from test_morphemes import inline, marked
 from test_segments import loop
 
 from cadenza.functions.text import UNCOMPARED, UNCOMPARED_BY_CLIENT
 from cadenza.operators.reconvert import VOICING
 from cadenza.params import FRAME, RATE, Segmenting
+from cadenza.queries.composed import UNITS, unit
 
 
 def _read(tables, name, *columns):
@@ -189,4 +191,17 @@ def reading_variants(tables):
     return out
 
 
-PLAIN = {f.__name__: f for f in (compressed_repetition, adjacent_repeats, text_differences, text_match_ratio, word_errors, safe_refinements, forced_cut, joined_chunks, replayed_chunks, reading_variants)}
+def _morphemes(tables):
+    for (i,) in _read(tables, "events", "event_id"):
+        yield i, [(s, r, (pos.split(" ") + ["-"] * 6)[:6]) for s, r, pos in (UNITS[int(unit(i, k))] for k in range(6))]
+
+
+def symbols_within(tables):
+    return [(i, inline(own)) for i, own in _morphemes(tables)]
+
+
+def punctuated_texts(tables):
+    return [(i, marked(own)) for i, own in _morphemes(tables)]
+
+
+PLAIN = {f.__name__: f for f in (compressed_repetition, adjacent_repeats, text_differences, text_match_ratio, word_errors, safe_refinements, forced_cut, joined_chunks, replayed_chunks, reading_variants, symbols_within, punctuated_texts)}
