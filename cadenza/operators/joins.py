@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a list of words or phrases that may become one array of the plan; they are counted before.
 SMALL = 1_000
+#: Rows of a list of words up to which it is broadcast; they are counted before.
+LARGE = 100_000
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, value: str) -> DataFrame:
@@ -67,11 +69,21 @@ def zipped(left: DataFrame, right: DataFrame, key: str, order: str) -> DataFrame
 
 
 def with_keyword(rows: DataFrame, keywords: DataFrame, text: str = "text") -> DataFrame:
-    """Rows that hold one of the keywords (lower case). keywords is a short list; a longer one than SMALL is refused."""
-    words = [r[0] for r in keywords.select(F.lower("word")).distinct().limit(SMALL + 1).collect()]
-    if len(words) > SMALL:
-        raise ValueError(f"more than {SMALL} keywords")
-    return rows.where(F.exists(F.array(*map(F.lit, words)).cast("array<string>"), lambda w: F.contains(F.lower(F.col(text)), w)))
+    """Rows that hold one of the keywords (lower case).
+
+    keywords is a list to search for: up to SMALL words are one array of the plan; up to LARGE,
+    they are held against all rows in broadcast blocks of SMALL; a longer list is refused. Null
+    words and texts match nothing, an empty word matches every text.
+    """
+    words = keywords.select(F.lower("word").alias("word")).dropna().distinct()
+    n = words.limit(LARGE + 1).count()
+    if n > LARGE:
+        raise ValueError(f"more than {LARGE} keywords")
+    held = lambda own: F.exists(own, lambda w: F.contains(F.lower(F.col(text)), w))
+    if n <= SMALL:
+        return rows.where(held(F.array(*[F.lit(r[0]) for r in words.collect()]).cast("array<string>")))
+    blocks = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(-(-n // SMALL)))).agg(F.collect_list("word").alias("_words")).select("_words")
+    return rows.join(F.broadcast(blocks), held(F.col("_words")), "left_semi")
 
 
 def nearest(rows: DataFrame, key: Column, table: DataFrame, tolerance: Column, order: str = "ord") -> DataFrame:

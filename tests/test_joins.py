@@ -34,3 +34,11 @@ def test_as_of_of_one_key_is_linear(spark):
     got = joins.as_of(rows, rows.select("k", (F.col("p") + 10).alias("at"), F.col("p").alias("v")), "k", "p", "at", "v")
     assert got.where(F.col("v") == F.greatest(F.col("p") - 10, F.lit(0))).count() == 300_000
     assert time.perf_counter() - began < 60
+
+
+def test_keywords_of_a_long_list(spark, monkeypatch):
+    monkeypatch.setattr(joins, "SMALL", 7)
+    words = spark.createDataFrame([(f"K{i}z",) for i in range(40)] + [(None,)], "word string")
+    rows = spark.createDataFrame([(i, f"x k{i}Z y") for i in range(60)] + [(99, None)], "id int, text string")
+    assert sorted(r.id for r in joins.with_keyword(rows, words).collect()) == list(range(40))
+    assert joins.with_keyword(rows, words.limit(0)).count() == 0
