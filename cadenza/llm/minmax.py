@@ -275,13 +275,14 @@ def near_groups(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text
 
     labelled = stored(members.drop("first").join(label.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
     shape = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("s"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("t")).where("low < high")
-    mixed = shape.groupBy("n", "s", "t").agg(F.min("bucket").alias("bucket")).select("bucket")
-    mixed = stored(labelled.join(mixed.hint("merge"), "bucket"), "mixed")
+    chosen = stored(shape.groupBy("n", "s", "t").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "chosen")
+    mixed = stored(spread_join(labelled, chosen.drop("n"), "bucket", chosen, labelled.count()), "mixed")
     sizes = mixed.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
     sizes = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label", "w")).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w"))
     blocks = lambda n, w: F.greatest(F.ceil(n / BLOCK), F.ceil(w / WEIGHT))
-    sizes = sizes.select("bucket", F.col("top.label").alias("main"), blocks(F.col("n"), F.col("w")).alias("bi"), blocks(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w")).alias("bj"))
-    rows = mixed.join(sizes.hint("merge"), "bucket").withColumn("core", F.col("label") == F.col("main"))
+    sizes = sizes.select("bucket", "n", F.col("top.label").alias("main"), blocks(F.col("n"), F.col("w")).alias("bi"), blocks(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w")).alias("bj"))
+    sizes = stored(sizes, "sizes")
+    rows = spread_join(mixed, sizes.drop("n"), "bucket", sizes, mixed.count()).withColumn("core", F.col("label") == F.col("main"))
     rows = rows.withColumn("hi", F.pmod(F.xxhash64("node"), "bi")).withColumn("hj", F.pmod(F.xxhash64("node"), "bj"))
     as_x = F.transform(F.sequence(F.lit(0).cast("long"), F.col("bj") - 1), lambda j: F.struct(F.col("hi").alias("i"), j.alias("j")))
     as_y = F.transform(F.sequence(F.lit(0).cast("long"), F.col("bi") - 1), lambda i: F.struct(i.alias("i"), F.col("hj").alias("j")))
