@@ -111,9 +111,10 @@ class Features:
 
 
 _STORED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
-_TENSORS = pa.schema([("doc_id", pa.int64()), ("span", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("frames", pa.int32()), ("sound", pa.float32()), ("marks", pa.binary()), ("tensor", pa.list_(pa.float32()))])
-_SPANS = pa.schema([("row", pa.int64()), ("span", pa.int32()), ("start_s", pa.float64()), ("marks", pa.binary()), ("sums", pa.binary()), ("units", pa.binary()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string())])
-_SPANS_SQL = "row long, span int, start_s double, marks binary, sums binary, units binary, doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+_TENSORS = pa.schema([("doc_id", pa.int64()), ("span", pa.int32()), ("spans", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("frames", pa.int32()), ("sound", pa.float32()), ("marks", pa.binary()), ("tensor", pa.list_(pa.float32()))])
+_CHECKS = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.binary()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.binary())]
+_SPANS = pa.schema([("row", pa.int64()), ("span", pa.int32()), ("start_s", pa.float64()), ("marks", pa.binary()), ("sums", pa.binary()), ("units", pa.binary()), ("feature", pa.string()), *_CHECKS])
+_SPANS_SQL = "row long, span int, start_s double, marks binary, sums binary, units binary, feature string, doc_id long, n_bytes long, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary"
 _DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
 
@@ -134,10 +135,10 @@ def audio_column(docs: DataFrame, params: AudioParams = AudioParams(), id_col: s
 
 
 def audio_tensors(media: DataFrame, params: AudioParams = AudioParams()) -> DataFrame:
-    """A row for each `span` frames of each signal: (doc_id, span, start_s, end_s, frames, sound, marks, tensor).
+    """A row for each `span` frames of each signal: (doc_id, span, spans, start_s, end_s, frames, sound, marks, tensor).
 
     tensor has the fixed shape (params.span, params.mels), row by row, the last one filled with
-    zeros; frames says how many of its rows are real; sound is the share of them that lie in a
+    zeros; spans says how many rows the signal has, frames how many of a tensor's are real; sound is the share of them that lie in a
     segment, marks a byte 1 or 0 for each. as_tensors() gives the column as Arrow's fixed-shape tensor type.
     """
 
@@ -160,9 +161,9 @@ def audio_tensors(media: DataFrame, params: AudioParams = AudioParams()) -> Data
                     marks = [on[a : a + k].tobytes() for a, k in zip(first, real, strict=True)]
                     sound = [on[a : a + k].mean() for a, k in zip(first, real, strict=True)]
                     tensor = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * (params.span * params.mels), pa.array(full.ravel()))
-                    yield batch(_TENSORS, [doc] * n, (first // params.span).astype(np.int32), first * seconds, (first + real) * seconds, real.astype(np.int32), np.array(sound, np.float32), marks, tensor)
+                    yield batch(_TENSORS, [doc] * n, (first // params.span).astype(np.int32), [-(-len(energy) // params.span)] * n, first * seconds, (first + real) * seconds, real.astype(np.int32), np.array(sound, np.float32), marks, tensor)
 
-    return media.select("doc_id", "media").mapInArrow(compute, "doc_id long, span int, start_s double, end_s double, frames int, sound float, marks binary, tensor array<float>")
+    return media.select("doc_id", "media").mapInArrow(compute, "doc_id long, span int, spans int, start_s double, end_s double, frames int, sound float, marks binary, tensor array<float>")
 
 
 def as_tensors(column: pa.ChunkedArray | pa.Array, params: AudioParams = AudioParams()) -> pa.ExtensionArray:
@@ -172,11 +173,36 @@ def as_tensors(column: pa.ChunkedArray | pa.Array, params: AudioParams = AudioPa
     return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), (params.span, params.mels)), pa.FixedSizeListArray.from_arrays(column.flatten(), size))
 
 
+class Summary:
+    """The feature of one signal, from its spans in their order."""
+
+    def __init__(self, p: AudioParams):
+        self.seconds = p.hop * p.down / (p.rate * p.up)
+        self.total, self.frames, self.segments, self.sound, self.crc, self.before = np.zeros(p.mels), 0, 0, 0, 0, 0
+        self.first = self.last = 0.0
+
+    def add(self, start: float, marks: bytes, sums: bytes, units: bytes) -> None:
+        on = np.frombuffer(marks, np.uint8)
+        at = np.flatnonzero(on)
+        if len(at):
+            self.first = self.first if self.segments else start + at[0] * self.seconds
+            self.last = start + (at[-1] + 1) * self.seconds
+        self.segments += int(np.count_nonzero(on > np.concatenate([[self.before], on[:-1]])))
+        self.total, self.frames, self.sound = self.total + np.frombuffer(sums), self.frames + len(on), self.sound + len(at)
+        self.crc, self.before = zlib.crc32(units, self.crc), on[-1]
+
+    def text(self) -> str:
+        mean = ",".join(map(str, np.rint(self.total / self.frames * 10).astype(int)))
+        return f"{self.frames};{self.segments};{self.sound};{f'{self.first:.3f}-{self.last:.3f}' if self.segments else '-'};{mean};{self.crc:08x}"
+
+
 def audio_digests(docs: DataFrame, params: AudioParams = AudioParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store every document as audio and its features as tensors in the shared folder, read both back, and give a row of checks and features for each.
 
     feature, from the tensors: frames, segments, frames of sound, the first and last sound in
     seconds, the mean log-mel row in tenths, and a CRC-32 of all log-mel values in whole units.
+    A signal whose tensors are read together is summed up where they are read; of others the
+    spans travel.
     """
 
     def checks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +211,7 @@ def audio_digests(docs: DataFrame, params: AudioParams = AudioParams(), id_col:
             for row, doc, n, m in zip(*(b.column(c).to_pylist() for c in ("row", "doc_id", "n_bytes")), b.column("media"), strict=True):
                 media = m.as_py()
                 payload = from_wav(media)
-                out.append((row, -1, None, None, None, None, doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest()))
+                out.append((row, -1, None, None, None, None, None, doc, n, len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).digest()))
             if out:
                 yield batch(_SPANS, *map(list, zip(*out, strict=True)))
 
@@ -196,31 +222,39 @@ def audio_digests(docs: DataFrame, params: AudioParams = AudioParams(), id_col:
             tensors = as_tensors(b.column("tensor"), params).to_numpy_ndarray()
             units = [np.rint(t[:k]).astype(np.int8).tobytes() for t, k in zip(tensors, b.column("frames").to_pylist(), strict=True)]
             sums = [x.tobytes() for x in tensors.sum(axis=1, dtype=np.float64)]
-            yield batch(_SPANS, *(b.column(c) for c in ("row", "span", "start_s", "marks")), sums, units, *(pa.nulls(len(b), f.type) for f in list(_SPANS)[6:]))
+            row, span, many, start, marks = (b.column(c).to_pylist() for c in ("row", "span", "spans", "start_s", "marks"))
+            out, i = [], 0
+            while i < len(row):
+                j = i + many[i]
+                if span[i] == 0 and row[i:j] == [row[i]] * many[i] and span[i:j] == list(range(many[i])):  # all of a signal
+                    own = Summary(params)
+                    for k in range(i, j):
+                        own.add(start[k], marks[k], sums[k], units[k])
+                    out.append((row[i], 0, None, None, None, None, own.text()))
+                    i = j
+                else:
+                    out.append((row[i], span[i], start[i], marks[i], sums[i], units[i], None))
+                    i += 1
+            yield batch(_SPANS, *map(list, zip(*out, strict=True)), *(pa.nulls(len(out), f.type) for f in list(_SPANS)[7:]))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come in the order of documents and spans, the checks first."""
-        seconds, row, done = params.hop * params.down / (params.rate * params.up), None, []
+        row, own, told, parts, done = None, None, None, Summary(params), []
 
         def close() -> None:
             if row is not None:
-                mean = ",".join(map(str, np.rint(total / frames * 10).astype(int)))
-                done.append((*own, f"{frames};{segments};{sound};{f'{first:.3f}-{last:.3f}' if segments else '-'};{mean};{crc:08x}"))
+                doc, n, size, payload, tail, stored_size, media = own
+                done.append((doc, n, size, payload.hex(), tail, stored_size, media.hex(), told or parts.text()))
 
         for b in batches:
-            for r, span, start, marks, sums, units, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for r, span, start, marks, sums, units, feature, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if r != row:
                     close()
-                    row, own, total, frames, segments, sound, first, last, crc, before = r, rest, np.zeros(params.mels), 0, 0, 0, 0.0, 0.0, 0, 0
-                if span < 0:
-                    continue
-                on = np.frombuffer(marks, np.uint8)
-                at = np.flatnonzero(on)
-                opened = int(np.count_nonzero(on > np.concatenate([[before], on[:-1]])))
-                if len(at):
-                    first = first if segments else start + at[0] * seconds
-                    last = start + (at[-1] + 1) * seconds
-                total, frames, segments, sound, crc, before = total + np.frombuffer(sums), frames + len(on), segments + opened, sound + len(at), zlib.crc32(units, crc), on[-1]
+                    row, own, told, parts = r, rest, None, Summary(params)
+                if feature is not None:
+                    told = feature
+                elif span >= 0:
+                    parts.add(start, marks, sums, units)
             if done:
                 yield batch(_DIGESTS, *map(list, zip(*done, strict=True)))
                 done.clear()
@@ -231,6 +265,6 @@ def audio_digests(docs: DataFrame, params: AudioParams = AudioParams(), id_col:
     # ids may repeat, so each row has a number of its own, which is stored with it
     media = stored(audio_column(docs, params, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "audio", "zstd")
     tensors = stored(audio_tensors(media.select(F.col("row").alias("doc_id"), "media"), params).withColumnRenamed("doc_id", "row"), "tensors", "zstd")
-    parts = media.mapInArrow(checks, _SPANS_SQL).unionAll(tensors.select("row", "span", "start_s", "frames", "marks", "tensor").mapInArrow(spans, _SPANS_SQL))
+    parts = media.mapInArrow(checks, _SPANS_SQL).unionAll(tensors.select("row", "span", "spans", "start_s", "frames", "marks", "tensor").mapInArrow(spans, _SPANS_SQL))
     ordered = parts.repartition(partitions(docs.sparkSession), "row").sortWithinPartitions("row", "span")
     return ordered.mapInArrow(features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -101,3 +101,15 @@ def test_features_come_from_stored_tensors(spark, monkeypatch):
         assert own[:4] == [str(len(energy)), str(len(seg)), str((seg[:, 1] - seg[:, 0]).sum()), ends]
         assert own[5] == f"{zlib.crc32(np.rint(mel).astype(np.int8).tobytes()):08x}"
         np.testing.assert_allclose(np.array(own[4].split(","), int), mel.mean(axis=0) * 10, atol=0.51)
+
+
+def test_signals_cut_by_batches_have_the_same_features(spark):
+    rows = [(i, "ab " * (900 * i) + "z" * 3000) for i in range(1, 9)] + [(1, "ab " * 900 + "z" * 3000), (20, None)]
+    get = lambda: sorted((r.doc_id, r.feature) for r in audio.audio_digests(frame(spark, rows)).collect())
+    whole, key = get(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "2")
+    try:
+        assert get() == whole
+    finally:
+        spark.conf.set(key, before)
