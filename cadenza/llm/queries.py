@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from . import suffixes, superkmers
 from .audio import audio_digests
+from .filter_audit import audit, audit_sql
 from .hmm import hmm_scores
 from .minmax import near_groups
+from .neighbours import nearest
 from .packing import pack
+from .prefix_trie import prefix_trie, trie_sql
 from .quality import fit_quality, quality_scores
 from .secrets import report_sql, secret_report
 from .shared import scratch
@@ -73,5 +76,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), TOKENIZER, 2048, 1, with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_hmm_scores, op4_audio, op5_near_duplicates, op6_quality, op7_substring_dedup, op8_decontamination, op9_secrets, op10_packing)}
-ORACLE_SQL: dict[str, str] = {"op9_secrets": report_sql()}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_hmm_scores, op4_audio, op5_near_duplicates, op6_quality, op7_substring_dedup, op8_decontamination, op9_secrets, op10_packing, op11_prefix_trie, op12_nearest_neighbours, op13_filter_audit)}
+ORACLE_SQL: dict[str, str] = {"op9_secrets": report_sql(), "op11_prefix_trie": trie_sql(), "op13_filter_audit": audit_sql()}
