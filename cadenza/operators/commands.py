@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.guards import bound
 from ..functions.text import katakana_to_hiragana, number, reading_key, stripped
 from ..functions.udf import arrow
+from .folding import folded
 from .joins import unconsumed
 
 #: Phrases, their readings and what they mean, in the order that breaks ties.
@@ -156,24 +157,33 @@ def edited(log: DataFrame, key: str = "session", order: str = "ord", most: int =
     remembered. The log of one session is folded in its order.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        body, done, undone = "", [], []
-        for op, text, into in pdf.sort_values(order, kind="stable")[["op", "text", "into"]].itertuples(index=False):
+    own = log.select(F.col(key).cast("string").alias("session"), F.col(order).alias("_at"), "op", "text", "into")
+    return folded(own, "session", ["_at"], lambda session: _Body(session, most), "session string, body string")
+
+
+class _Body:
+    """The text so far, and the inserts that can be taken back or put back."""
+
+    def __init__(self, session: str | None, most: int):
+        self.session, self.most, self.body, self.done, self.undone = session, most, "", [], []
+
+    def push(self, pdf: pd.DataFrame) -> None:
+        for op, text, into in pdf[["op", "text", "into"]].itertuples(index=False):
             if op == "insert":
-                done, undone, body = [*done, text][-most:], [], body + text
-            elif op == "cancel" and done and body.endswith(done[-1]):
-                body, undone = body[: len(body) - len(done[-1])], [*undone, done[-1]]
-                done = done[:-1]
-            elif op == "restore" and undone:
-                body, done, undone = body + undone[-1], [*done, undone[-1]], undone[:-1]
-            elif op == "replace" and text and text in body:
-                at = body.rindex(text)
-                body = body[:at] + (into or "") + body[at + len(text) :]
+                self.done, self.undone, self.body = [*self.done, text][-self.most :], [], self.body + text
+            elif op == "cancel" and self.done and self.body.endswith(self.done[-1]):
+                self.body, self.undone = self.body[: len(self.body) - len(self.done[-1])], [*self.undone, self.done[-1]]
+                self.done = self.done[:-1]
+            elif op == "restore" and self.undone:
+                self.body, self.done, self.undone = self.body + self.undone[-1], [*self.done, self.undone[-1]], self.undone[:-1]
+            elif op == "replace" and text and text in self.body:
+                at = self.body.rindex(text)
+                self.body = self.body[:at] + (into or "") + self.body[at + len(text) :]
             elif op == "trim":
-                body = body.rstrip()
-        return pd.DataFrame({"session": [str(pdf[key].iloc[0])], "body": [body]})
+                self.body = self.body.rstrip()
 
-    return log.groupBy(key).applyInPandas(run, "session string, body string")
+    def close(self) -> pd.DataFrame:
+        return pd.DataFrame({"session": [self.session], "body": [self.body]})
 
 
 def replaced_at(text: Column, start: Column, expected: Column, new: Column) -> Column:
@@ -231,9 +241,9 @@ def word_at(text: pd.Series, pos: pd.Series) -> pd.DataFrame:
 
 
 #: How the rest of a command that was cut off begins.
-COMMAND_REST = "^を(?:再変|修正|変換|言い直|訂正)"
+COMMAND_RESTS = ("を再変", "を修正", "を変換", "を言い直", "を訂正")
 
 
 def is_echo(text: Column, at: Column) -> Column:
     """Whether the rest of a command stands in text from `at` (from 0) on."""
-    return text.substr(at + 1, F.lit(5)).rlike(COMMAND_REST)
+    return text.substr(at + 1, F.lit(5)).rlike(f"^(?:{'|'.join(COMMAND_RESTS)})")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stripped
+from ..sources.scratch import stored
 
 #: Limits of a profile.
 MOST_ENTRIES, MOST_SYMBOLS, MOST_WORDS, MOST_OBSERVED, MOST_OUTPUT, MOST_NOTE, EXPLICIT = 20_000, 2_000, 2_000, 128, 256, 1_000, 10_000
@@ -70,13 +71,14 @@ def prompt(preferred: DataFrame, items: DataFrame, limit: int = 50, chars: int =
 
     preferred: (word, place); items: (observed, output, place).
     """
-    first = preferred.where("word <> ''").select(F.lit(0).alias("part"), F.col("place").alias("p"), F.lit(0).alias("k"), "word")
-    second = items.select(F.lit(1).alias("part"), F.col("place").alias("p"), F.posexplode(F.array("output", "observed")).alias("k", "word")).where(F.length("word") >= 2)
+    first = preferred.where("word <> ''").select(F.lit(0).alias("part"), F.col("place").alias("p"), F.lit(0).alias("k"), "word", F.lit(True).alias("always"))
+    second = items.select(F.lit(1).alias("part"), F.col("place").alias("p"), F.posexplode(F.array("output", "observed")).alias("k", "word"))
+    second = second.withColumn("always", (F.col("k") == 0) & (F.col("p") == F.min("p").over(Window.partitionBy()))).where(F.length("word") >= 2)
     order = ("part", "p", "k")
     once = first.union(second).withColumn("again", F.row_number().over(Window.partitionBy("word").orderBy(*order))).where("again = 1")
     all_ = Window.orderBy(*order)
-    numbered = once.withColumn("n", F.row_number().over(all_)).where((F.col("part") == 0) | (F.col("n") <= limit))
-    # ceil of the preferred count: they are never cut
+    # the limit is looked at after each word: preferred words are never cut, nor is the first item's output
+    numbered = once.withColumn("n", F.row_number().over(all_)).where(F.col("always") | (F.col("n") <= limit))
     sized = numbered.withColumn("total", F.sum(F.length("word") + 1).over(all_) - 1)
     kept = sized.withColumn("over", F.max(F.col("total") > chars).over(all_)).where(~F.col("over"))
     return kept.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda x: x["word"]), " ").alias("prompt"))
@@ -94,16 +96,25 @@ def symbol_map(symbols: DataFrame, sets: DataFrame, set_id: str, newline_words:
     return own.select("symbol", output.alias("output"))
 
 
-def cycle_members(table: DataFrame, longest: int = 64) -> DataFrame:
-    """(observed) of the keys that lie on a cycle of replacements, by following each key's chain in a recursive query."""
-    spark = table.sparkSession
-    table.select("observed", "output").createOrReplaceTempView("_links")
-    return spark.sql(f"""
-      with recursive walk(origin, at, n) as (
-        select observed, output, 1 from _links
-        union all
-        select w.origin, l.output, w.n + 1 from walk w join _links l on w.at = l.observed where w.at <> w.origin and w.n < {longest})
-      select distinct origin as observed from walk where at = origin""")
+def cycle_members(table: DataFrame) -> DataFrame:
+    """(observed) of the keys that lie on a cycle of replacements, of any length.
+
+    By pointer doubling: after k rounds each key knows the one 2**k steps on, or that its chain
+    ended. What is still reached once that set stays the same are the cycles; a ring of n keys
+    and chains of n keys into it take log2(n) joins. Null keys and outputs end a chain; of
+    equal keys the largest output counts.
+    """
+    links = table.where("observed is not null").groupBy("observed").agg(F.max("output").alias("to"))
+    links = stored(links.join(links.select(F.col("observed").alias("to")), "to", "left_semi").select("observed", "to"), "links")
+    before = -1
+    while True:
+        reached = links.select(F.col("to").alias("observed")).distinct()
+        n = reached.count()
+        if n == before:
+            return reached
+        before = n
+        on = links.select(F.col("observed").alias("to"), F.col("to").alias("next"))
+        links = stored(links.join(on, "to").select("observed", F.col("next").alias("to")), "links")
 
 
 def diagnostics(profiles: DataFrame, entries: DataFrame, symbols: DataFrame, words: DataFrame) -> DataFrame:

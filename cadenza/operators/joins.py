@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .keywords import with_any
+
 #: Rows of a list of words or phrases that may become one array of the plan; they are counted before.
 SMALL = 1_000
-#: Rows of a list of words up to which it is broadcast; they are counted before.
-LARGE = 100_000
+#: Tolerance up to which phrases are looked up by what deletions leave of them.
+INDEXED = 3
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, value: str) -> DataFrame:
@@ -30,13 +32,38 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: s
 
 
 def overlaps(left: DataFrame, right: DataFrame, key: str, start: str = "start", end: str = "end", r_start: str = "r_start", r_end: str = "r_end", cell: float = 30.0, slack: float = 0.0) -> DataFrame:
-    """Pairs of one key whose ranges overlap by more than `slack`: an equi-join on cells of time, each pair in the cell where it begins."""
-    cells = lambda a, z: F.explode(F.sequence(F.floor(a / cell), F.floor(z / cell)))
-    a = left.withColumn("_cell", cells(F.col(start), F.col(end)))
-    b = right.withColumn("_cell", cells(F.col(r_start), F.col(r_end)))
-    first = F.floor(F.greatest(start, r_start) / cell)
-    pairs = a.join(b, [key, "_cell"]).where(F.col("_cell") == first)
-    return pairs.where((F.least(end, r_end) - F.greatest(start, r_start)) > slack).drop("_cell")
+    """Pairs of one key whose ranges overlap by more than `slack` (0 or more): an equi-join on cells of time.
+
+    A range's level is that of the smallest cell, of `cell` times a power of two, that is as long
+    as it, so it lies in two cells of its level at most. Two ranges meet in cells of the higher
+    one of their levels, in the cell where their overlap begins. A range of any length thus gives
+    two rows for each level from its own on that the tables have, and these are as many as there
+    are powers of two between the shortest and the longest. Null, reversed and endless ranges
+    overlap nothing.
+    """
+
+    def levelled(t: DataFrame, a: str, z: str) -> DataFrame:
+        a, z = F.col(a).cast("double"), F.col(z).cast("double")
+        size = z - a
+        good = (size >= 0) & (size < float("inf")) & (F.abs(a) < float("inf"))
+        return t.where(good).withColumns({"_own": F.ceil(F.log2(F.greatest(size / cell, F.lit(1.0)))).cast("int"), "_a": a, "_z": z})
+
+    a, b = levelled(left, start, end), levelled(right, r_start, r_end)
+    # at most as many as a double has exponents
+    levels = sorted({r[0] for t in (a, b) for r in t.select("_own").distinct().collect()})
+    width = lambda level: F.lit(cell) * F.pow(F.lit(2.0), level)
+
+    def placed(t: DataFrame, side: str) -> DataFrame:
+        own = F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda v: v >= F.col("_own"))
+        t = t.withColumn("_level", F.explode(own))
+        first, last = (F.floor(F.col(c) / width(F.col("_level"))) for c in ("_a", "_z"))
+        t = t.withColumn("_cell", F.explode(F.array_distinct(F.array(first, last))))
+        return t.withColumnsRenamed({"_own": f"_own{side}", "_a": f"_a{side}", "_z": f"_z{side}"})
+
+    pairs = placed(a, "1").join(placed(b, "2"), [key, "_level", "_cell"]).where(F.col("_level") == F.greatest("_own1", "_own2"))
+    begin = F.greatest("_a1", "_a2")
+    found = pairs.where((F.col("_cell") == F.floor(begin / width(F.col("_level")))) & (F.least("_z1", "_z2") - begin > slack))
+    return found.drop("_level", "_cell", "_own1", "_own2", "_a1", "_a2", "_z1", "_z2")
 
 
 def spans_of(spans: DataFrame, needles: DataFrame, key: str = "session") -> DataFrame:
@@ -71,35 +98,74 @@ def zipped(left: DataFrame, right: DataFrame, key: str, order: str) -> DataFrame
 def with_keyword(rows: DataFrame, keywords: DataFrame, text: str = "text") -> DataFrame:
     """Rows that hold one of the keywords (lower case).
 
-    keywords is a list to search for: up to SMALL words are one array of the plan; up to LARGE,
-    they are held against all rows in broadcast blocks of SMALL; a longer list is refused. Null
-    words and texts match nothing, an empty word matches every text.
+    Up to SMALL words are one array of the plan; a longer list, of any length, is one automaton,
+    broadcast in blocks of bounded size. Null words and texts match nothing, an empty word
+    matches every text.
     """
     words = keywords.select(F.lower("word").alias("word")).dropna().distinct()
-    n = words.limit(LARGE + 1).count()
-    if n > LARGE:
-        raise ValueError(f"more than {LARGE} keywords")
-    held = lambda own: F.exists(own, lambda w: F.contains(F.lower(F.col(text)), w))
-    if n <= SMALL:
-        return rows.where(held(F.array(*[F.lit(r[0]) for r in words.collect()]).cast("array<string>")))
-    blocks = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(-(-n // SMALL)))).agg(F.collect_list("word").alias("_words")).select("_words")
-    return rows.join(F.broadcast(blocks), held(F.col("_words")), "left_semi")
+    few = words.limit(SMALL + 1).collect()
+    if any(r[0] == "" for r in few) or len(few) > SMALL and not words.where("word = ''").isEmpty():
+        return rows.where(F.col(text).isNotNull())
+    if len(few) <= SMALL:
+        own = F.array(*[F.lit(r[0]) for r in few]).cast("array<string>")
+        return rows.where(F.exists(own, lambda w: F.contains(F.lower(F.col(text)), w)))
+    return with_any(rows.withColumn("_lower", F.lower(F.col(text))), words, "_lower").drop("_lower")
+
+
+def _deletions(text: Column, most: int) -> list[Column]:
+    """[d0 .. d_most]: the strings that are left when up to so many characters go."""
+    rounds = [F.array(text)]
+    for _ in range(most):
+        drop = lambda s: F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(s.substr(F.lit(1), i - 1), s.substr(i + 1, F.length(s))))).otherwise(F.array(s))
+        rounds.append(F.array_distinct(F.concat(rounds[-1], F.flatten(F.transform(rounds[-1], drop)))))
+    return rounds
 
 
 def nearest(rows: DataFrame, key: Column, table: DataFrame, tolerance: Column, order: str = "ord") -> DataFrame:
     """rows with match: the row of table (ord, reading, ...) at the least edit distance within its tolerance, the first of equal ones; null if none.
 
-    table is a fixed list of phrases: it is taken into one array, so no rows are multiplied.
+    Up to SMALL phrases are one array of the plan. A longer list is looked up through an index:
+    strings within distance t have a string in common that is left when up to t characters of
+    each go. So distinct keys and phrases meet by equality, and only those pairs are measured.
+    Where a tolerance is over INDEXED, that index would be too wide: the phrases go over the
+    rows in blocks of SMALL. Null keys and readings match nothing.
     """
-    entries = [r.asDict() for r in table.orderBy(order).limit(SMALL + 1).collect()]
-    if len(entries) > SMALL:
-        raise ValueError(f"more than {SMALL} phrases")
     names = table.columns
-    literal = F.array(*[F.struct(*[F.lit(e[n]).alias(n) for n in names]) for e in entries])
+    n = table.limit(SMALL + 1).count()
+    if n <= SMALL:
+        return rows.withColumn("match", _of_few(key, table.orderBy(order).collect(), table, tolerance, order))
+    own = table.where(F.col("reading").isNotNull()).withColumn("_t", F.coalesce(tolerance_of(F.col("reading"), tolerance).cast("int"), F.lit(-1))).where("_t >= 0")
+    most = own.agg(F.max("_t")).first()[0] or 0
+    if most > INDEXED:
+        out = rows.withColumn("match", F.lit(None).cast(_match_type(table, order)))
+        parts = -(-table.count() // SMALL)
+        for k in range(parts):  # a stated list of phrases against all rows, in blocks
+            block = table.where(F.pmod(F.xxhash64(order, "reading"), F.lit(parts)) == k).collect()
+            out = out.withColumn("match", F.array_min(F.array_compact(F.array("match", _of_few(key, block, table, tolerance, order).cast(_match_type(table, order))))))
+        return out
+    left = _deletions(F.col("reading"), most)
+    index = own.select("_t", F.struct(F.col(order).alias("_o"), F.struct(*names).alias("e")).alias("_e"), F.explode(F.get(F.array(*left), F.col("_t"))).alias("_left"))
+    keyed = rows.withColumn("_key", key)
+    asked = keyed.select("_key").where(F.col("_key").isNotNull()).distinct()
+    met = asked.select("_key", F.explode(_deletions(F.col("_key"), most)[-1]).alias("_left")).join(index, "_left")
+    distance = F.levenshtein(F.col("_key"), F.col("_e.e.reading")).alias("distance")
+    best = met.select("_key", "_t", distance, "_e").where(F.col("distance") <= F.col("_t"))
+    best = best.groupBy("_key").agg(F.min(F.struct("distance", F.col("_e._o").alias("_o"), F.col("_e.e").alias("e"))).alias("match"))
+    return keyed.join(best, "_key", "left").drop("_key").select(*rows.columns, "match")
+
+
+def _match_type(table: DataFrame, order: str) -> str:
+    kinds = {f.name: f.dataType.simpleString() for f in table.schema}
+    return f"struct<distance:int,_o:{kinds[order]},e:struct<{','.join(f'{n}:{t}' for n, t in kinds.items())}>>"
+
+
+def _of_few(key: Column, entries: list, table: DataFrame, tolerance, order: str) -> Column:
+    """The nearest of a few phrases, as one array of the plan."""
+    kinds = {f.name: f.dataType for f in table.schema}
+    literal = F.array(*[F.struct(*[F.lit(e[n]).cast(kinds[n]).alias(n) for n in table.columns]) for e in entries])
     scored = F.transform(literal, lambda e: F.struct(F.levenshtein(key, e["reading"]).alias("distance"), e[order].alias("_o"), e.alias("e")))
-    near = F.filter(scored, lambda s: s["distance"] <= tolerance_of(s["e"]["reading"], tolerance))
-    return rows.withColumn("match", F.array_min(near))
+    return F.array_min(F.filter(scored, lambda s: s["distance"] <= tolerance_of(s["e"]["reading"], tolerance)))
 
 
 def tolerance_of(reading: Column, tolerance) -> Column:
-    return tolerance(F.length(reading)) if callable(tolerance) else tolerance
+    return tolerance(F.length(reading)) if callable(tolerance) else F.lit(tolerance)

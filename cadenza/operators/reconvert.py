@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions.guards import plausible_reading
 from ..functions.text import hiragana_to_katakana, stripped
+from .commands import COMMAND_RESTS
 
 #: Kana that differ by their marks only.
 VOICING = "かが きぎ くぐ けげ こご さざ しじ すず せぜ そぞ ただ ちぢ つづ てで とど はばぱ ひびぴ ふぶぷ へべぺ ほぼぽ".split()
 #: Symbols that may be meant by a short word, in their order.
 SYMBOLS = ("。", "、", "\n", "「", "」", "（", "）", "？", "！", "・", "…", "：", "／")
 
+#: What stands before a place in the reversed text where a command's rest follows it in reading order.
+ECHO_BEFORE = "|".join(r[::-1] for r in COMMAND_RESTS)
+
 
 def variants(readings: DataFrame, limit: int = 6) -> DataFrame:
     """(reading, variant, kind, place): readings one edit away, in turn from voicing, hatsuon (ん) and sokuon (っ, ー), each reading once, implausible ones left out.
@@ -81,20 +85,47 @@ def surfaces(target: Column, segments: Column, top: int = 5, most: int = 50) ->
     return F.filter(F.array_distinct(F.concat(F.array(target), made)), lambda s: s != "")
 
 
-def last_surface(text: Column, options: Column, window: int = 2000) -> Column:
-    """struct(at, surface): the surface that occurs last, looked for in the text's last `window` characters, then in all of it; of two at one place the first given. at from 0, null if none."""
+def _last_in(text: Column, options: Column, skip_echo: bool) -> Column:
+    """struct(at, i, surface): the option that begins last in text, with place -1 if none does; of two at one place the first given. An occurrence after which the rest of a command stands is passed over if skip_echo."""
+    back = F.reverse(text)
+
+    def one(s: Column, i: Column) -> Column:
+        n, size = F.length(s), F.length(text)
+        if skip_echo:
+            # in the reversed text, where s begins and no command's rest stands before it
+            spelt = F.replace(F.reverse(s), F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+            free = F.concat(F.lit(f"(?s)^(.*?)(?<!{ECHO_BEFORE})\\Q"), spelt, F.lit("\\E"))
+            at = F.when(F.regexp_like(back, free), size - F.length(F.call_function("regexp_extract", back, free, F.lit(1))) - n)
+        else:
+            at = F.when(F.instr(back, F.reverse(s)) > 0, size - F.instr(back, F.reverse(s)) + 1 - n)
+        return F.struct(F.when(n > 0, F.coalesce(at, F.lit(-1))).otherwise(-1).alias("at"), (-i).alias("i"), s.alias("surface"))
 
-    def place(t: Column) -> Column:
-        def one(s: Column, i: Column) -> Column:
-            back = F.instr(F.reverse(t), F.reverse(s))
-            return F.struct(F.when(back > 0, F.length(t) - back + 1 - F.length(s)).otherwise(-1).alias("at"), (-i).alias("i"), s.alias("surface"))
+    return F.array_max(F.transform(F.filter(options, lambda s: s.isNotNull()), one))
 
-        return F.array_max(F.transform(options, one))
 
-    skipped = F.greatest(F.length(text) - window, F.lit(0))
-    near, far = place(text.substr(skipped + 1, F.length(text))), place(text)
-    at = F.when(near["at"] >= 0, near["at"] + skipped).otherwise(F.when(far["at"] >= 0, far["at"]))
-    return F.struct(at.alias("at"), F.when(near["at"] >= 0, near["surface"]).otherwise(F.when(far["at"] >= 0, far["surface"])).alias("surface"))
+def last_surface(text: Column, options: Column, window: int | Column = 2000, before: Column | None = None, anchor: Column | None = None) -> Column:
+    """struct(at, surface): the surface that occurs last; at from 0, null if none does. Of two at one place the first given.
+
+    Looked for in the `window` characters up to `anchor` (the text's end if none is given), then
+    in all of the text, and both times without occurrences that are a command's own words (is_echo);
+    only then in all of the text with these. Nothing from `before` on is looked at, so that a walk
+    goes on from its last hit. A null text gives null.
+    """
+    size = F.length(text)
+    end = size if before is None else F.greatest(F.lit(0), F.least(before, size))
+    stop = size if anchor is None else F.least(anchor, size)
+    begin = F.greatest(F.lit(0), stop - window)
+    until = F.least(stop, end)
+    whole, part = text.substr(F.lit(1), end), text.substr(begin + 1, F.greatest(until - begin, F.lit(0)))
+    tries = [(_last_in(part, options, True), begin), (_last_in(whole, options, True), F.lit(0)), (_last_in(whole, options, False), F.lit(0))]
+    at = F.coalesce(*[F.when(x["at"] >= 0, x["at"] + skipped) for x, skipped in tries])
+    return F.struct(at.alias("at"), F.coalesce(*[F.when(x["at"] >= 0, x["surface"]) for x, _ in tries]).alias("surface"))
+
+
+def last_target(text: Column, target: Column, segments: Column, window: int | Column = 2000, top: int = 5, most: int = 50) -> Column:
+    """struct(at, surface): where what was said stands last as it was said, else where one of the surfaces of its segments does."""
+    said, meant = last_surface(text, F.array(target), window), last_surface(text, surfaces(target, segments, top, most), window)
+    return F.when(said["at"].isNotNull(), said).otherwise(meant)
 
 
 def preselected(text: Column, segments: Column) -> Column:

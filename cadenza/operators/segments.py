@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.signal import LEAST_FLOOR, NOISE_FALL, NOISE_RATIO, NOISE_RISE, fixed_floor
 from ..params import FRAME, Joining, Paragraphs, Segmenting
+from .folding import folded
 
 #: Frames that are pushed at once: what stays open is copied at each close, so it is kept short.
 _PUSH = 4096
@@ -126,23 +127,46 @@ def segments(frames: DataFrame, p: Segmenting = Segmenting()) -> DataFrame:
     cols.append(F.col("active") if "active" in frames.columns else F.lit(None).cast("boolean").alias("active"))
     cols.append(F.coalesce("n", F.lit(FRAME)).alias("n") if "n" in frames.columns else F.lit(FRAME).alias("n"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_no", kind="stable")
-        tail = int(pdf["n"].iloc[-1]) % FRAME
-        own = pdf.iloc[:-1] if tail else pdf
-        level = own["rms"].to_numpy(float)
-        sound = Noise().active(level, p.threshold) if p.adaptive else level >= fixed_floor(p.threshold)
+    return folded(frames.select(*cols), "session", ["frame_no"], lambda session: _Segments(session, p), SEGMENT)
+
+
+def _table(session: str | None, rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["start", "end", "reason", "pause"])
+    out.insert(0, "session", session)
+    return out
+
+
+class _Frames:
+    """Frames whose last one waits, as it may be incomplete."""
+
+    def __init__(self, session: str | None, p: Segmenting):
+        self.session, self.p, self.noise, self.seg, self.held = session, p, Noise(), Segmenter(p), None
+
+    def ready(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf if self.held is None else pd.concat([self.held, pdf], ignore_index=True)
+        self.held = pdf.iloc[-1:]
+        return pdf.iloc[:-1]
+
+    def sounds(self, level: np.ndarray) -> np.ndarray:
+        return self.noise.active(level, self.p.threshold) if self.p.adaptive else level >= fixed_floor(self.p.threshold)
+
+
+class _Segments(_Frames):
+    def take(self, own: pd.DataFrame) -> list[tuple]:
+        level, rows = own["rms"].to_numpy(float), []
         given = own["active"].to_numpy(object)
-        sound = np.array([s if g is None or g is pd.NA or g != g else bool(g) for g, s in zip(given, sound, strict=True)], bool)
-        m, rows = Segmenter(p), []
+        sound = np.array([s if g is None or g is pd.NA or g != g else bool(g) for g, s in zip(given, self.sounds(level), strict=True)], bool)
         for i in range(0, len(level), _PUSH):
-            rows += m.push(level[i : i + _PUSH], sound[i : i + _PUSH])
-        rows += m.flush(tail)
-        out = pd.DataFrame(rows, columns=["start", "end", "reason", "pause"])
-        out.insert(0, "session", pdf["session"].iloc[0])
-        return out
+            rows += self.seg.push(level[i : i + _PUSH], sound[i : i + _PUSH])
+        return rows
+
+    def push(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        return _table(self.session, self.take(self.ready(pdf)))
 
-    return frames.select(*cols).groupBy("session").applyInPandas(run, SEGMENT)
+    def close(self) -> pd.DataFrame:
+        tail = int(self.held["n"].iloc[0]) % FRAME
+        rows = [] if tail else self.take(self.held)
+        return _table(self.session, rows + self.seg.flush(tail))
 
 
 @dataclass
@@ -184,44 +208,67 @@ def joined(segs: DataFrame, p: Joining = Joining(), closed_at: str | None = None
     """
     at = F.col(closed_at) if closed_at else F.col("end") / p.rate
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["now", "start"], kind="stable")
-        m, rows = Joiner(p), []
+    own = segs.select("session", "start", "end", "reason", "pause", at.alias("now"))
+    return folded(own, "session", ["now", "start"], lambda session: _Joins(session, p), SEGMENT)
+
+
+class _Joins:
+    def __init__(self, session: str | None, p: Joining):
+        self.session, self.join = session, Joiner(p)
+
+    def push(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
         for start, end, reason, pause, now in pdf[["start", "end", "reason", "pause", "now"]].itertuples(index=False):
-            rows += m.tick(now)
-            rows += m.push((int(start), int(end), reason, None if pause is None or pause != pause else float(pause)), now)
-        rows += m.flush()
-        out = pd.DataFrame(rows, columns=["start", "end", "reason", "pause"])
-        out.insert(0, "session", pdf["session"].iloc[0])
-        return out
+            rows += self.join.tick(now)
+            rows += self.join.push((int(start), int(end), reason, None if pause is None or pause != pause else float(pause)), now)
+        return _table(self.session, rows)
 
-    return segs.select("session", "start", "end", "reason", "pause", at.alias("now")).groupBy("session").applyInPandas(run, SEGMENT)
+    def close(self) -> pd.DataFrame:
+        return _table(self.session, self.join.flush())
 
 
 def replayed(frames: DataFrame, p: Segmenting, j: Joining, block: float = 0.1) -> DataFrame:
     """Segments and joins as a live session would give them: frames come in blocks, and the held segment's clock is the position at each block's end."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_no", kind="stable")
-        level = pdf["rms"].to_numpy(float)
-        sound = Noise().active(level, p.threshold) if p.adaptive else level >= fixed_floor(p.threshold)
-        size = int(pdf["n"].sum()) if "n" in pdf else len(pdf) * FRAME
-        tail, step = size % FRAME, int(p.rate * block)
-        seg, join, rows, done = Segmenter(p), Joiner(j), [], 0
-        for i in range(0, size, step):
-            now, upto = (i + step) / p.rate, min(i + step, size) // FRAME
-            for own in seg.push(level[done:upto], sound[done:upto]):
-                rows += join.push(own, now)
-            rows += join.tick(now)
-            done = upto
-        for own in seg.flush(tail):
-            rows += join.push(own, size / p.rate)
-        rows += join.flush()
-        out = pd.DataFrame(rows, columns=["start", "end", "reason", "pause"])
-        out.insert(0, "session", pdf["session"].iloc[0])
-        return out
+    cols = ["session", "frame_no", "rms", F.coalesce("n", F.lit(FRAME)).alias("n") if "n" in frames.columns else F.lit(FRAME).alias("n")]
+    return folded(frames.select(*cols), "session", ["frame_no"], lambda session: _Replay(session, p, j, int(p.rate * block)), SEGMENT)
 
-    return frames.groupBy("session").applyInPandas(run, SEGMENT)
+
+class _Replay(_Frames):
+    """Levels that no block has taken yet, and samples: those that came, and where the next block begins."""
+
+    def __init__(self, session: str | None, p: Segmenting, j: Joining, step: int):
+        super().__init__(session, p)
+        self.join, self.step, self.size, self.at, self.done = Joiner(j), step, 0, 0, 0
+        self.level, self.sound = np.zeros(0), np.zeros(0, bool)
+
+    def take(self, own: pd.DataFrame) -> None:
+        level = own["rms"].to_numpy(float)
+        self.level, self.sound = np.r_[self.level, level], np.r_[self.sound, self.sounds(level)]
+        self.size += int(own["n"].sum())
+
+    def blocks(self, last: bool) -> list[tuple]:
+        rows, used = [], 0
+        while self.at < self.size and (last or self.at + self.step <= self.size):
+            now, upto = (self.at + self.step) / self.p.rate, min(self.at + self.step, self.size) // FRAME
+            n = upto - self.done
+            for own in self.seg.push(self.level[used : used + n], self.sound[used : used + n]):
+                rows += self.join.push(own, now)
+            rows += self.join.tick(now)
+            used, self.done, self.at = used + n, upto, self.at + self.step
+        self.level, self.sound = self.level[used:], self.sound[used:]
+        return rows
+
+    def push(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        self.take(self.ready(pdf))
+        return _table(self.session, self.blocks(False))
+
+    def close(self) -> pd.DataFrame:
+        self.take(self.held)
+        rows = self.blocks(True)
+        for own in self.seg.flush(self.size % FRAME):
+            rows += self.join.push(own, self.size / self.p.rate)
+        return _table(self.session, rows + self.join.flush())
 
 
 def paragraphs(texts: DataFrame, p: Paragraphs = Paragraphs(), key: str = "session", order: str = "ord") -> DataFrame:
@@ -230,68 +277,100 @@ def paragraphs(texts: DataFrame, p: Paragraphs = Paragraphs(), key: str = "sessi
     A paragraph ends after a finished sentence once it has `least` characters and a pause of
     `pause` comes, or once it has `most`; at `hardest` it ends anyway.
     """
-    hardest = p.hardest or 2 * p.most
-    schema = texts.schema
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema)
+    return folded(texts, key, [order], lambda _: _Breaks(p), f"{fields}, breaks boolean")
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        size, finished, out = 0, False, []
+class _Breaks:
+    def __init__(self, p: Paragraphs):
+        self.p, self.hardest, self.size, self.finished = p, p.hardest or 2 * p.most, 0, False
+
+    def push(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        p, out = self.p, []
         for text, pause in zip(pdf["text"], pdf["pause"], strict=True):
             own = text or ""
             if not own:
                 out.append(False)
                 continue
             wait = 0.0 if pause is None or pause != pause else pause
-            go = p.least > 0 and size > 0 and ((((size >= p.least and wait >= p.pause) or size >= p.most) and finished) or size >= hardest)
-            size = (0 if go else size) + len(own)
-            finished = own.rstrip()[-1:] in tuple("。！？!?」』）")
+            go = p.least > 0 and self.size > 0 and ((((self.size >= p.least and wait >= p.pause) or self.size >= p.most) and self.finished) or self.size >= self.hardest)
+            self.size = (0 if go else self.size) + len(own)
+            self.finished = own.rstrip()[-1:] in tuple("。！？!?」』）")
             out.append(go)
         return pdf.assign(breaks=out)
 
-    return texts.groupBy(key).applyInPandas(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema)}, breaks boolean")
+    def close(self) -> None:
+        return None
 
 
 def refinements(ends: DataFrame, window: int, least: int, key: str = "session", order: str = "ord") -> DataFrame:
     """(session, start, end, revision): ranges that are gone over again, each from the last one's end to the first delivered end at `window` or more; at the end of the stream a rest of `least` or more. ends: (session, ord, delivered_end)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at, rows, last = 0, [], 0
-        for end in pdf.sort_values(order, kind="stable")["delivered_end"]:
-            last = max(last, int(end))
-            if last - at >= window:
-                rows.append((at, last, len(rows) + 1))
-                at = last
-        if last - at >= least:
-            rows.append((at, last, len(rows) + 1))
+    own = ends.select(F.col(key).cast("string").alias("session"), order, "delivered_end")
+    return folded(own, "session", [order], lambda session: _Ranges(session, window, least), "session string, start long, end long, revision int")
+
+
+class _Ranges:
+    def __init__(self, session: str | None, window: int, least: int):
+        self.session, self.window, self.least, self.at, self.last, self.n = session, window, least, 0, 0, 0
+
+    def table(self, rows: list[tuple]) -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=["start", "end", "revision"])
-        out.insert(0, "session", pdf[key].iloc[0])
+        out.insert(0, "session", self.session)
         return out
 
-    return ends.select(F.col(key).cast("string").alias(key), order, "delivered_end").groupBy(key).applyInPandas(run, "session string, start long, end long, revision int")
+    def took(self) -> tuple[int, int, int]:
+        self.n, row = self.n + 1, (self.at, self.last, self.n + 1)
+        self.at = self.last
+        return row
+
+    def push(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for end in pdf["delivered_end"]:
+            self.last = max(self.last, int(end))
+            if self.last - self.at >= self.window:
+                rows.append(self.took())
+        return self.table(rows)
+
+    def close(self) -> pd.DataFrame:
+        return self.table([self.took()] if self.last - self.at >= self.least else [])
 
 
 def noise_floor(frames: DataFrame, threshold: float = 0.5) -> DataFrame:
     """frames (session, frame_no, rms) with the adaptive floor's verdict."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_no", kind="stable")
-        return pdf.assign(active=Noise().active(pdf["rms"].to_numpy(float), threshold))
+    return folded(frames.select("session", "frame_no", "rms"), "session", ["frame_no"], lambda _: _Floor(threshold), "session string, frame_no long, rms double, active boolean")
+
+
+class _Floor:
+    def __init__(self, threshold: float):
+        self.noise, self.threshold = Noise(), threshold
 
-    return frames.select("session", "frame_no", "rms").groupBy("session").applyInPandas(run, "session string, frame_no long, rms double, active boolean")
+    def push(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.assign(active=self.noise.active(pdf["rms"].to_numpy(float), self.threshold))
+
+    def close(self) -> None:
+        return None
 
 
 def throttled(blocks: DataFrame, key: str, at: str, apart: float = 0.1) -> DataFrame:
-    """The blocks that are shown: each at least `apart` seconds after the one shown before."""
-    schema = blocks.schema
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, last, keep = pdf.sort_values(at, kind="stable"), -np.inf, []
-        for t in pdf[at]:
-            keep.append(t - last >= apart)
-            last = t if keep[-1] else last
+    """The blocks that are shown: each at least `apart` seconds after the one shown before. Of blocks at one time any one is the first."""
+    return folded(blocks, key, [at], lambda _: _Shown(at, apart), blocks.schema)
+
+
+class _Shown:
+    def __init__(self, at: str, apart: float):
+        self.at, self.apart, self.last = at, apart, -np.inf
+
+    def push(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        keep = []
+        for t in pdf[self.at]:
+            keep.append(t - self.last >= self.apart)
+            self.last = t if keep[-1] else self.last
         return pdf[np.array(keep, bool)]
 
-    return blocks.groupBy(key).applyInPandas(run, schema)
+    def close(self) -> None:
+        return None
 
 
 def gap_segments(events: DataFrame, key: str, micros: str, order: str, idle: int) -> DataFrame:

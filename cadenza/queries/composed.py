@@ -191,7 +191,7 @@ def punctuated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cycle_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = table(spark, sf_dir, "events").select((F.col("user_id") % 12).alias("k")).distinct().select(F.concat(F.lit("u"), "k").alias("observed"), F.concat(F.lit("u"), (F.col("k") * F.col("k") + 3) % 12).alias("output"))
-    return dictionary.cycle_members(links, 12)
+    return dictionary.cycle_members(links)
 
 
 def hallucination_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,7 +232,7 @@ ORACLE_SQL = {
     "symbol_offers": f"with {_sql(t=_SHORT, n=_SEGMENTS)} select event_id, case when n = 1 and length(trim(t)) between 1 and 6 and trim(t) not in ({', '.join(map(_quoted, reconvert.SYMBOLS))}) then array_to_string(list_filter([{', '.join(map(_quoted, reconvert.SYMBOLS))}], lambda x: x not in ('、', 'x')), ' ') else '' end as offers from m",
     "reading_keys": f"with {_sql(t=_KANA)} select event_id, regexp_replace(translate(t, '{_KATA}', '{_HIRA}'), '[^ぁ-ゖ]', '', 'g') as key from m",
     "client_keys": f"with {_sql(t=_CLIENT)} select event_id, regexp_replace(replace(t, '…', '...'), '[\\s、。！？!?・：:；;,.「」『』（）()\\[\\]…]', '', 'g') as key from m",
-    "command_echoes": f"with {_sql(t=_ECHO, p='CAST(event_id % 5 AS INT)')} select event_id, regexp_matches(substr(t, p + 1, 5), '{commands.COMMAND_REST}') as echo from m",
+    "command_echoes": f"with {_sql(t=_ECHO, p='CAST(event_id % 5 AS INT)')} select event_id, regexp_matches(substr(t, p + 1, 5), '^(?:{"|".join(commands.COMMAND_RESTS)})') as echo from m",
     "valid_sessions": f"with {_sql(t=_SESSION)} select event_id, regexp_full_match(t, '[0-9]{{8}}-[0-9]{{6}}(-[0-9]+)?') as valid from m",
     "registrable_pairs": f"with {_sql(k=_KIND, a=_LEFT, b=_RIGHT)} select event_id, case k when 'reconverted' then length(a) between 2 and 64 and length(b) <= 128 when 'added' then length(a) between 2 and 128 and length(b) <= 256 when 'symbol' then length(a) between 1 and 16 else false end as ok from m",
     "turn_commas": f"with c as (select conv_id, turn, {pick(['', '。', '、', '（', 'x'], 1, 'turn')} || text || {pick(['', '。', '「', ' ', '）'], 2, 'turn')} as t, turn % 7 * 0.5 as pause from conversations), p as (select *, coalesce(lag(t) over (partition by conv_id order by turn), '') as before from c) select conv_id, turn, md5(case when pause > 0 and pause <= 2 and t <> '' and not regexp_matches(t, '^[、。！？!?…・：\\n）」』]') and before <> '' and not regexp_matches(before, '[、。！？!?…・：\\s　「『（(]$') then '、' || t else t end) as md5 from p",

@@ -1,6 +1,7 @@
 """Plain versions of the queries that have no SQL: what they give over the small tables, as sorted rows."""
 
 import difflib
+import hashlib
 import re
 import unicodedata
 import zlib
@@ -204,4 +205,18 @@ def punctuated_texts(tables):
     return [(i, marked(own)) for i, own in _morphemes(tables)]
 
 
-PLAIN = {f.__name__: f for f in (compressed_repetition, adjacent_repeats, text_differences, text_match_ratio, word_errors, safe_refinements, forced_cut, joined_chunks, replayed_chunks, reading_variants, symbols_within, punctuated_texts)}
+def replace_dictionary(tables):
+    keys = {w for (t,) in _read(tables, "conversations", "text") for w in re.findall("[a-z]{4,}", (t or "").lower())}
+    by_length = sorted({len(k) for k in keys}, reverse=True)
+    out = []
+    for d, t in _read(tables, "documents", "doc_id", "text"):
+        parts, i = [], 0
+        while i < len(t):
+            n = next((n for n in by_length if t[i : i + n] in keys and len(t) >= i + n), 0)
+            parts.append(f"<{t[i : i + n].upper()}>" if n else t[i])
+            i += n or 1
+        out.append((d, hashlib.md5("".join(parts).encode()).hexdigest()))
+    return out
+
+
+PLAIN = {f.__name__: f for f in (compressed_repetition, adjacent_repeats, text_differences, text_match_ratio, word_errors, safe_refinements, forced_cut, joined_chunks, replayed_chunks, reading_variants, symbols_within, punctuated_texts, replace_dictionary)}
