@@ -28,22 +28,28 @@ _POINT = 2.0**36
 
 @dataclass(frozen=True)
 class HmmParams:
-    """head: the most frequent words, each an emission symbol of its own; tail: symbols that all other words are dealt to by hash (both bound the model's size, not what is counted); states: latent states; rounds: Baum-Welch rounds at most; gain: training ends when a round raises the log-likelihood by a smaller share; floor: pseudo-count of an emission; slices: parts in which expected counts are summed; narrow: vectors of 32 bits in training."""
+    """head: the most frequent words, each an emission symbol of its own; tail: symbols that all other words are dealt to by hash (both bound the model's size, not what is counted); states: latent states; warm, warm_rounds: the first rounds run over one text in `warm`, until a round gains less than ten times `gain`, and warm_rounds at most, so that those over all texts start near their end; gain: training ends when a round over all training texts raises their log-likelihood by a smaller share; rounds: a bound of them that only guards against one that never settles; floor: pseudo-count of an emission; slices: parts in which expected counts are summed; narrow: vectors of 32 bits in training."""
 
     head: int = 16_000
     tail: int = 256
     states: int = 8
-    rounds: int = 7
+    warm: int = 8
+    warm_rounds: int = 12
+    rounds: int = 60
     gain: float = 2e-4
     floor: float = 0.01
     slices: int = 32
-    narrow: bool = True
+    narrow: bool = False
     seed: int = 11
 
     @property
     def symbols(self) -> int:
         return self.head + self.tail
 
+    @property
+    def dtype(self) -> np.dtype:
+        return np.dtype(np.uint16 if self.symbols <= 1 << 16 else np.uint32)
+
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of all texts (words with A-Z in lower case, then one end each), and where each text's begin (n + 1)."""
@@ -102,7 +108,7 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.word, h), max(len(self.word) - 1, 0))
         hit = self.word[at] == h if len(self.word) else np.zeros(len(h), bool)
         at = np.where(hit, at, -1)
-        return np.where(hit, at, p.head + h % p.tail).astype(np.uint16 if p.symbols <= 1 << 16 else np.uint32), at
+        return np.where(hit, at, p.head + h % p.tail).astype(p.dtype), at
 
 
 def _portions(order: np.ndarray, n: np.ndarray) -> Iterator[np.ndarray]:
@@ -243,12 +249,20 @@ def _sequences(column: pa.Array, dtype: np.dtype) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), dtype) for x in column]
 
 
-def train(encoded: DataFrame, totals: np.ndarray, p: HmmParams, dtype: np.dtype) -> Hmm:
-    """Baum-Welch over all training texts, whole: each task adds up its expected counts, which are summed slice by slice; the driver gets one table of symbols x states a round."""
-    model, before = Hmm.first(totals, p), None
+def train(encoded: DataFrame, totals: np.ndarray, p: HmmParams) -> Hmm:
+    """Baum-Welch over whole training texts until their likelihood settles: first over a part of them, which brings the start near its end, then over all."""
+    model, own = Hmm.first(totals, p), encoded.where("train")
+    if p.warm > 1:
+        model = _trained(own.where(F.crc32("symbols") % p.warm == 0), model, p, p.warm_rounds, 10 * p.gain)
+    return _trained(own, model, p, p.rounds, p.gain)
+
+
+def _trained(encoded: DataFrame, model: Hmm, p: HmmParams, rounds: int, gain: float) -> Hmm:
+    """Rounds over all texts of `encoded`: each task adds up its expected counts, which are summed slice by slice; the driver gets one table of symbols x states a round."""
+    before, dtype = None, p.dtype
     spark = encoded.sparkSession
     width = -(-p.symbols // p.slices)
-    for _ in range(p.rounds):
+    for _ in range(rounds):
         sent = spark.sparkContext.broadcast((model.start, model.move, model.emit))  # symbols x states numbers
 
         def expect(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -273,14 +287,14 @@ def train(encoded: DataFrame, totals: np.ndarray, p: HmmParams, dtype: np.dtype)
             yield batch(_SUMS, [16 * k for k in total], [x.tobytes() for x in total.values()])
 
         schema = "to long, sums binary"
-        lanes = encoded.where("train").select("symbols").mapInArrow(expect, schema).repartition(min(64, partitions(spark)), "to").mapInArrow(add, schema)
+        lanes = encoded.select("symbols").mapInArrow(expect, schema).repartition(min(64, partitions(spark)), "to").mapInArrow(add, schema)
         parts = {row.to // 16: np.frombuffer(bytes(row.sums)) for row in lanes.repartition(min(p.slices, partitions(spark)), (F.col("to") / 16).cast("long")).mapInArrow(add, schema).toLocalIterator()}
         sent.unpersist()
         if not parts:
             break
         head, k = parts[p.slices], p.states
         model = Hmm.of_counts(head[1 : k + 1], head[k + 1 :].reshape(k, k), np.concatenate([parts[i] for i in range(p.slices)]).reshape(-1, k), p)
-        if before is not None and head[0] - before < p.gain * abs(before):
+        if before is not None and head[0] - before < gain * abs(before):
             break
         before = head[0]
     return model
@@ -313,7 +327,7 @@ def hmm_scores(docs: DataFrame, held_out: Column, params: HmmParams = HmmParams(
     vocab = Vocabulary.of(counts, p)
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(vocab)  # p.head words
-    dtype = np.dtype(np.uint16 if p.symbols <= 1 << 16 else np.uint32)
+    dtype = p.dtype
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = known.value
@@ -334,7 +348,7 @@ def hmm_scores(docs: DataFrame, held_out: Column, params: HmmParams = HmmParams(
     tail = encoded.select("row", F.explode("tail").alias("word")).join(counts.hint("merge"), "word")
     fixed = F.round(F.log10(F.col("times") + 1.0) * _POINT).cast("long")
     tail = tail.groupBy("row").agg(F.sum(fixed).alias("tail_log"), F.count("*").alias("tail_known"))
-    model = train(encoded, vocab.totals(p), p, dtype)
+    model = train(encoded, vocab.totals(p), p)
     sent = spark.sparkContext.broadcast((model.start, model.move, model.emit))  # symbols x states numbers
     scored = pa.schema([f for f in _ENCODED if f.name not in ("train", "loss", "symbols", "tail")] + [pa.field("row", pa.int64()), pa.field("model", pa.float64())])
 
