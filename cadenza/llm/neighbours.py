@@ -111,7 +111,7 @@ def merged(rows: DataFrame, most: int, name: str) -> DataFrame:
             yield _lists(u[k], ids[k], ds[k], new[k], [own.get(x) for x in np.unique(u[k]).tolist()])
 
     # a row of u's neighbours has bounded size, and the proposals of one task for u come as one row
-    return stored(rows.repartition("u").sortWithinPartitions("u").mapInArrow(merge, ROW), name)
+    return stored(rows.repartition("u").sortWithinPartitions("u").mapInArrow(merge, ROW), name, "uncompressed")
 
 
 def _spread(node: pa.Array) -> np.ndarray:
@@ -169,7 +169,7 @@ def linked(graph: DataFrame, degree: int) -> tuple[DataFrame, DataFrame, DataFra
 
     edges = graph.mapInArrow(pairs, "a long, b long, new boolean").groupBy("a", "b").agg(F.max("new").alias("new"))
     ways = F.array(F.struct(F.col("a").alias("at"), F.col("b").alias("m"), "new"), F.struct(F.col("b").alias("at"), F.col("a").alias("m"), "new"))
-    both = stored(edges.select(F.explode(ways).alias("x")).select("x.*"), "links")
+    both = stored(edges.select(F.explode(ways).alias("x")).select("x.*"), "links", "uncompressed")
     return both, both.groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.max("new").alias("any")), graph.mapInArrow(limits, "m long, code binary, worst float")
 
 
