@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from .shared import unused
 
-#: Partitions that rows without an id are dealt over.
-_NULL_PARTS = 64
+#: Partitions that rows without an id, or of an id that very many rows have, are dealt over.
+_PARTS = 64
+#: Values that are folded at once, and code points of a text that are counted from one place.
+_STEP, _CHUNK = 256, 4096
 
 #: Strings that a part of a rule may expand to before the part counts as unknown.
 MOST_STRINGS = 64
@@ -152,20 +154,44 @@ def _literal(like: DataFrame, names: list[str], rows: list[tuple]) -> DataFrame:
     return like.sparkSession.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r, strict=True)]) for r in rows])))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), where value is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _before(values: Column, add) -> Column:
+    """For each of the values (0 or more) the fold of those before it, from 0: block by block, as an array that grows by one is copied each time."""
+    none = F.array().cast("array<int>")
+    grow = lambda b, start: F.aggregate(b, F.struct(start.alias("at"), none.alias("found")), lambda acc, x: F.struct(add(acc["at"], x).alias("at"), F.concat(acc["found"], F.array(acc["at"])).alias("found")), lambda acc: acc["found"])
+    count = F.size(values)
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.greatest(count, F.lit(1)) - 1) / _STEP).cast("int")), lambda k: F.slice(values, k * _STEP + 1, _STEP))
+
+    def whole(bs: Column) -> Column:
+        starts = grow(F.transform(bs, lambda b: F.aggregate(b, F.lit(0), add)), F.lit(0))
+        return F.flatten(F.zip_with(bs, starts, grow))
+
+    return _let(blocks, whole)
+
+
 def spans(text: Column, rule: Rule, rank: int) -> Column:
-    """Leftmost non-overlapping matches as (start, rank, kind, end), in code points: the pieces between matches and the matches, in turn, give the places."""
+    """Leftmost non-overlapping matches as (start, rank, kind, end), in code points: the pieces between matches and the matches, in turn, give the places. Work and memory follow the number of matches."""
     pattern = F.lit(rule.pattern)
     parts = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"), F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("value"))
+    sized = F.transform(parts, lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.coalesce(F.length(x["hit"]), F.lit(0)).alias("hit"), F.coalesce(F.length(x["value"]), F.lit(-1)).alias("value")))
     empty = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
-        own = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= rule.at_least, F.concat(acc["found"], own)).otherwise(acc["found"]).alias("found"))
+    def placed(xs: Column) -> Column:
+        def made(at: Column) -> Column:
+            def one(x: Column, i: Column) -> Column:
+                start = F.get(at, i) + x["gap"]
+                return F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), (start + x["hit"]).alias("end"), x["value"].alias("value"))
+
+            kept = F.filter(F.transform(xs, one), lambda x: x["value"] >= rule.at_least)
+            return F.transform(kept, lambda x: F.struct(*[x[c].alias(c) for c in ("start", "rank", "kind", "end")]))
 
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("found")), add, lambda acc: acc["found"])
-    return F.when(F.regexp_like(text, pattern), found).otherwise(empty)
+        return _let(_before(F.transform(xs, lambda x: x["gap"] + x["hit"]), lambda a, x: a + x), made)
+
+    return F.when(F.regexp_like(text, pattern), _let(sized, placed)).otherwise(empty)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", into: str = "spans") -> DataFrame:
@@ -178,16 +204,24 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     text = F.coalesce(F.col(text_col), F.lit(""))
     found_id, kinds, part, found_part = (unused(docs, c) for c in ("__id", "__kinds", "__part", "__found_part"))
     found = candidates(postings(docs, rules, id_col, text_col), rules).select(F.col("doc_id").alias(found_id), F.col("kinds").alias(kinds))
-    # rows without an id are dealt over several partitions, to each of which their kinds go
-    every = F.when(F.col(found_id).isNull(), F.sequence(F.lit(0), F.lit(_NULL_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    # rows without an id, or whose id very many have, are dealt over several partitions, to each of which their kinds go
+    often = lambda c: F.col(c).isNull() | (F.col(c).isin(hot) if hot else F.lit(False))
+    hot = _frequent(docs, id_col)
+    every = F.when(often(found_id), F.sequence(F.lit(0), F.lit(_PARTS - 1))).otherwise(F.array(F.lit(0)))
     found = found.withColumn(found_part, F.explode(every))
-    own = docs.withColumn(part, F.when(F.col(id_col).isNull(), F.pmod(F.xxhash64(text), F.lit(_NULL_PARTS)).cast("int")).otherwise(0))
+    own = docs.withColumn(part, F.when(often(id_col), F.pmod(F.xxhash64(text), F.lit(_PARTS)).cast("int")).otherwise(0))
     joined = own.join(found, F.col(id_col).eqNullSafe(F.col(found_id)) & (F.col(part) == F.col(found_part)), "left")
     empty = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
     hits = [F.when(F.array_contains(kinds, r.kind), spans(text, r, k)).otherwise(empty) if trigram_query(r.pattern) else spans(text, r, k) for k, r in enumerate(rules)]
     return joined.withColumn(into, F.array_sort(F.concat(*hits))).drop(found_id, kinds, part, found_part)
 
 
+def _frequent(docs: DataFrame, id_col: str) -> list:
+    """Ids that more than a thousand rows and a thousandth of all rows share: fewer than a thousand ids."""
+    share = max(1_000, docs.count() // 1_000)
+    return [r[0] for r in docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where(F.col("count") > share).select(id_col).collect()]
+
+
 def listed(found: Column) -> Column:
     """kind:start:end, comma-joined."""
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
@@ -195,17 +229,27 @@ def listed(found: Column) -> Column:
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[secret]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, with the same columns, and mask in place of each run of overlapping matches. Null texts stay null."""
-    text = F.col(text_col)
+    text, hits = F.col(text_col), unused(docs, "__spans")
+
+    def between(chunks: Column, a: Column, z: Column) -> Column:
+        """Code points a .. z - 1 of the text, from chunks of _CHUNK code points, so that no place is counted from the text's start."""
+        first, last = F.floor(a / _CHUNK).cast("int"), F.floor(z / _CHUNK).cast("int")
+        chunk = lambda i: F.coalesce(F.get(chunks, i), F.lit(""))
+        rest, begin = chunk(first).substr(a % _CHUNK + 1, F.lit(_CHUNK)), chunk(last).substr(F.lit(1), z % _CHUNK)
+        middle = F.array_join(F.slice(chunks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        return F.when(first == last, chunk(first).substr(a % _CHUNK + 1, z - a)).otherwise(F.concat(rest, middle, begin))
+
+    def masked(chunks: Column) -> Column:
+        ends = F.transform(hits, lambda x: x["end"])
+
+        def put(before: Column) -> Column:
+            new = F.filter(F.transform(hits, lambda x, i: F.struct(F.get(before, i).alias("a"), x["start"].alias("z"))), lambda x: x["z"] >= x["a"])
+            kept = F.transform(new, lambda x: between(chunks, x["a"], x["z"]))
+            return F.concat(F.array_join(kept, mask), F.lit(mask), between(chunks, F.array_max(ends), F.length(text)))
 
-    def add(acc: Column, x: Column) -> Column:
-        new = x["start"] >= acc["at"]
-        more = F.concat(acc["parts"], F.array(text.substr(acc["at"] + 1, x["start"] - acc["at"]), F.lit(mask)))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(new, more).otherwise(acc["parts"]).alias("parts"))
+        return _let(_before(ends, lambda a, x: F.greatest(a, x)), put)
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    rest = lambda acc: F.concat(F.array_join(acc["parts"], ""), text.substr(acc["at"] + 1, F.length(text)))
-    hits = unused(docs, "__spans")
-    clean = F.when(F.size(hits) > 0, F.aggregate(hits, start, add, rest)).otherwise(text)
+    clean = F.when(F.size(hits) > 0, _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0)), masked)).otherwise(text)
     return scan(docs, rules, id_col, text_col, hits).withColumn(text_col, clean).select(*docs.columns)
 
 
