@@ -79,7 +79,7 @@ def tsv_rows(df: DataFrame) -> DataFrame:
 
 
 def write_tsv(df: DataFrame, path: str) -> None:
-    tsv_rows(df).write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").csv(path)
+    tsv_rows(df).write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str = BILINGUAL) -> DataFrame:
