@@ -27,10 +27,10 @@ class Search:
 
     degree: int = 28
     trees: int = 4
-    settled: float = 0.04
+    settled: float = 0.1
     rounds: int = 16
     beam: int = 400
-    width: int = 64
+    width: int = 400
     again: int = 60
 
 
@@ -173,12 +173,12 @@ def linked(graph: DataFrame, degree: int) -> tuple[DataFrame, DataFrame, DataFra
     return both, both.groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.max("new").alias("any")), graph.mapInArrow(limits, "m long, code binary, worst float")
 
 
-def _with_codes(rows: DataFrame, codes: DataFrame, degrees: DataFrame, n: int) -> DataFrame:
-    """Rows (.., m) joined with m's code; a node with very many links is dealt over partitions."""
-    return spread_join(rows, codes, "m", degrees.select(F.col("at").alias("m"), "n"), n)
+def _with_codes(rows: DataFrame, codes: DataFrame) -> DataFrame:
+    """Rows (.., m) joined with m's code. A merge join of two plain exchanges: Spark splits the partition of a node with very many links."""
+    return rows.join(codes.hint("merge"), "m")
 
 
-def descended(graph: DataFrame, nodes: int, turn: int, s: Search) -> DataFrame:
+def descended(graph: DataFrame, turn: int, s: Search) -> DataFrame:
     """One round: the neighbours of each node, in either direction, meet there, and each pair with a new link may enter both lists.
 
     Where a node has very many links, they meet in blocks of BLOCK that are dealt by hash anew
@@ -212,7 +212,7 @@ def descended(graph: DataFrame, nodes: int, turn: int, s: Search) -> DataFrame:
     both, degrees, codes = linked(graph, s.degree)
     sizes = degrees.where("any").select("at", F.ceil(F.col("n") / BLOCK).alias("parts"))
     dealt = both.join(sizes, "at").select(F.xxhash64("at", F.pmod(F.xxhash64("m", F.lit(turn)), "parts")).alias("meet"), "m", "new")
-    met = _with_codes(dealt, codes, degrees, nodes * s.degree).repartition("meet").sortWithinPartitions("meet", "m")
+    met = _with_codes(dealt, codes).repartition("meet").sortWithinPartitions("meet", "m")
     return merged(_told(graph).unionByName(met.select("meet", "m", "new", "code", "worst").mapInArrow(local, ROW)), s.degree, "descended")
 
 
@@ -230,7 +230,7 @@ def graph_of(nodes: DataFrame, dim: int, s: Search) -> DataFrame:
     n = nodes.count()
     graph = started(nodes, dim, s)
     for turn in range(s.rounds):
-        graph = descended(graph, n, turn, s)
+        graph = descended(graph, turn, s)
         if _news(graph) <= s.settled * n * s.degree:
             break
     return graph
@@ -248,8 +248,8 @@ def adjacency(graph: DataFrame, s: Search) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"at": pa.array(at[cuts[:-1]]), "ids": pa.array([m[i:j].tobytes() for i, j in own], pa.binary()), "codes": pa.array([b"".join(codes[i:j]) for i, j in own], pa.binary())})
 
     spark = graph.sparkSession
-    both, degrees, codes = linked(graph, s.degree)
-    rows = _with_codes(both.select("at", "m"), codes.drop("worst"), degrees, graph.count() * s.degree)
+    both, _, codes = linked(graph, s.degree)
+    rows = _with_codes(both.select("at", "m"), codes.drop("worst"))
     path, n = scratch(spark, "adjacency"), partitions(spark)
     name = path.rpartition("/")[2].replace("-", "_")
     packed = rows.repartition(n, "at").sortWithinPartitions("at").select("at", "m", "code").mapInArrow(pack, "at long, ids binary, codes binary")
