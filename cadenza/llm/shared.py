@@ -189,9 +189,3 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def batch(schema: str | pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-
-def binaries(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    """Slices of data between consecutive offsets, as a binary array (no copy)."""
-    offsets = np.ascontiguousarray(offsets, np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
