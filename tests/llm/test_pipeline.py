@@ -98,5 +98,5 @@ def test_run_is_all_stages(spark, stages):
 
 
 def test_each_operator_has_a_query():
-    assert [k.split("_")[0] for k in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [k.split("_")[0] for k in QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert set(ORACLE_SQL) <= set(QUERIES)
