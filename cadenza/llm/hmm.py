@@ -253,7 +253,9 @@ def train(encoded: DataFrame, totals: np.ndarray, p: HmmParams) -> Hmm:
     """Baum-Welch over whole training texts until their likelihood settles: first over a part of them, which brings the start near its end, then over all."""
     model, own = Hmm.first(totals, p), encoded.where("train")
     if p.warm > 1:
-        model = _trained(own.where(F.crc32("symbols") % p.warm == 0), model, p, p.warm_rounds, 10 * p.gain)
+        # stored, so that these rounds neither read the other texts nor send sums from more tasks than they need
+        part = own.where(F.crc32("symbols") % p.warm == 0).select("symbols").coalesce(max(1, partitions(encoded.sparkSession) // p.warm))
+        model = _trained(stored(part, "symbols-part"), model, p, p.warm_rounds, 10 * p.gain)
     return _trained(own, model, p, p.rounds, p.gain)
 
 
