@@ -141,9 +141,18 @@ def clock(seconds: Column) -> Column:
 
 
 def minute_clock(seconds: Column) -> Column:
-    """m:ss.s"""
+    """m:ss.s, rounded by the exact value of the double, halves to even, as C and Python do; Java rounds its shortest decimal form, halves up."""
+    seconds = seconds.cast("double")
     minutes = F.floor(seconds / 60)
-    return F.format_string("%d:%04.1f", minutes, seconds - minutes * 60)
+    rest = seconds - minutes * 60
+    tenths, high = rest * 10, F.floor(rest * (1 << 20)) / (1 << 20)
+    whole = F.floor(tenths)
+    # what the product lost by rounding: both parts of rest times 10 are exact
+    lost = (high * 10 - tenths) + (rest - high) * 10
+    half = tenths - whole == 0.5
+    up = (tenths - whole > 0.5) | half & ((lost > 0) | (lost == 0) & (whole % 2 == 1))
+    n = whole + up.cast("int")
+    return F.format_string("%d:%02d.%d", minutes, F.floor(n / 10), n % 10)
 
 
 def size_label(n: Column) -> Column:

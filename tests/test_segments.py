@@ -1,11 +1,17 @@
 """Golden cases of the ordered steps, and batch against stream."""
 
+from datetime import datetime, timedelta
+
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from cadenza.functions import text
 from cadenza.operators.segments import Joiner, Noise, Segmenter, joined, paragraphs, refinements, segments
 from cadenza.params import FRAME, JOINING, RATE, Joining, Paragraphs, Segmenting
+from cadenza.queries import signals
 from cadenza.streaming.segmenting import live_paragraphs, live_segments
 
 
@@ -181,3 +187,18 @@ def test_stream_paragraphs(spark, tmp_path):
     q.awaitTermination(120)
     want = paragraphs(df).select("ord", "breaks").collect()
     assert sorted((r.ord, r.breaks) for r in spark.table("paras").collect()) == sorted((r.ord, r.breaks) for r in want)
+
+
+def test_markers_round_by_the_exact_value(spark, tmp_path):
+    """Tenths whose shortest decimal form ends in 5 lie above or below the half, or on it."""
+    places = [timedelta(minutes=m, milliseconds=50 + 100 * k) for m in (1, 400, 20_000) for k in range(600)]
+    rows = [(i, i, datetime(2024, 1, 1) + at + timedelta(hours=3 * part), "click", 1.0) for i, at in enumerate(places) for part in (0, 1)]
+    frame = pd.DataFrame([(n, *r[1:]) for n, r in enumerate(rows)], columns=["event_id", "user_id", "ts", "event_type", "value"])
+    frame.astype({"ts": "datetime64[us]"}).to_parquet(f"{tmp_path}/events.parquet", index=False)
+    got = {tuple(r) for r in signals.missing_markers(spark, str(tmp_path)).collect()}
+    duck = duckdb.connect()
+    duck.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    assert got == set(duck.execute(signals.ORACLE_SQL["missing_markers"]).fetchall())
+    starts = [n / 20 for n in range(1, 1200, 2)] + [60 * m + n / 20 for m in (7, 59_999) for n in range(1, 1200, 2)] + [0.0, 59.96, 119.999999]
+    told = spark.createDataFrame([(s,) for s in starts], "s double").select("s", text.minute_clock(F.col("s")).alias("m")).collect()
+    assert {r.s: r.m for r in told} == {s: f"{int(s // 60)}:{s - s // 60 * 60:04.1f}" for s in starts}
