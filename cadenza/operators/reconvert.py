@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.guards import plausible_reading
+from ..functions.guards import bound, plausible_reading
 from ..functions.text import hiragana_to_katakana, stripped
-from .commands import COMMAND_RESTS
+from .commands import COMMAND_RESTS, is_echo
 
 #: Kana that differ by their marks only.
 VOICING = "かが きぎ くぐ けげ こご さざ しじ すず せぜ そぞ ただ ちぢ つづ てで とど はばぱ ひびぴ ふぶぷ へべぺ ほぼぽ".split()
@@ -85,47 +87,72 @@ def surfaces(target: Column, segments: Column, top: int = 5, most: int = 50) ->
     return F.filter(F.array_distinct(F.concat(F.array(target), made)), lambda s: s != "")
 
 
-def _last_in(text: Column, options: Column, skip_echo: bool) -> Column:
-    """struct(at, i, surface): the option that begins last in text, with place -1 if none does; of two at one place the first given. An occurrence after which the rest of a command stands is passed over if skip_echo."""
-    back = F.reverse(text)
+def _last_in(options: Column, skip_echo: bool, text: Column) -> Column:
+    """struct(at, i, surface): the option that begins last in text, with place -1 if none does; of two at one place the first given. An occurrence after which the rest of a command stands is passed over if skip_echo.
+
+    A search from the end stops at the first hit. Only where that is an echo is the text reversed
+    and searched by a pattern.
+    """
 
     def one(s: Column, i: Column) -> Column:
         n, size = F.length(s), F.length(text)
-        if skip_echo:
+
+        def place(after: Column) -> Column:
+            at = F.when(F.length(after) < size, size - F.length(after) - n)
+            if not skip_echo:
+                return at
+            back = F.reverse(text)
             # in the reversed text, where s begins and no command's rest stands before it
             spelt = F.replace(F.reverse(s), F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
             free = F.concat(F.lit(f"(?s)^(.*?)(?<!{ECHO_BEFORE})\\Q"), spelt, F.lit("\\E"))
-            at = F.when(F.regexp_like(back, free), size - F.length(F.call_function("regexp_extract", back, free, F.lit(1))) - n)
-        else:
-            at = F.when(F.instr(back, F.reverse(s)) > 0, size - F.instr(back, F.reverse(s)) + 1 - n)
-        return F.struct(F.when(n > 0, F.coalesce(at, F.lit(-1))).otherwise(-1).alias("at"), (-i).alias("i"), s.alias("surface"))
+            earlier = bound(F.struct(back.alias("back"), free.alias("free")), lambda v: F.when(F.regexp_like(v["back"], v["free"]), size - F.length(F.call_function("regexp_extract", v["back"], v["free"], F.lit(1))) - n))
+            return F.when(is_echo(after, F.lit(0)), earlier).otherwise(at)
+
+        # what follows the last occurrence; the whole text if there is none
+        found = bound(F.call_function("substring_index", text, s, F.lit(-1)), place)
+        return F.struct(F.when(n > 0, F.coalesce(found, F.lit(-1))).otherwise(-1).alias("at"), (-i).alias("i"), s.alias("surface"))
 
     return F.array_max(F.transform(F.filter(options, lambda s: s.isNotNull()), one))
 
 
+def _or_else(rest: Column, near: bool, x: Column) -> Column:
+    """struct(at, surface, near) of a hit x, else rest."""
+    return F.when(x["at"] >= 0, F.struct(x["at"].alias("at"), x["surface"].alias("surface"), F.lit(near).alias("near"))).otherwise(rest)
+
+
 def last_surface(text: Column, options: Column, window: int | Column = 2000, before: Column | None = None, anchor: Column | None = None) -> Column:
     """struct(at, surface): the surface that occurs last; at from 0, null if none does. Of two at one place the first given.
 
     Looked for in the `window` characters up to `anchor` (the text's end if none is given), then
     in all of the text, and both times without occurrences that are a command's own words (is_echo);
     only then in all of the text with these. Nothing from `before` on is looked at, so that a walk
-    goes on from its last hit. A null text gives null.
+    goes on from its last hit. A null text gives null. A search runs only where those before it
+    found nothing.
     """
     size = F.length(text)
     end = size if before is None else F.greatest(F.lit(0), F.least(before, size))
     stop = size if anchor is None else F.least(anchor, size)
     begin = F.greatest(F.lit(0), stop - window)
     until = F.least(stop, end)
-    whole, part = text.substr(F.lit(1), end), text.substr(begin + 1, F.greatest(until - begin, F.lit(0)))
-    tries = [(_last_in(part, options, True), begin), (_last_in(whole, options, True), F.lit(0)), (_last_in(whole, options, False), F.lit(0))]
-    at = F.coalesce(*[F.when(x["at"] >= 0, x["at"] + skipped) for x, skipped in tries])
-    return F.struct(at.alias("at"), F.coalesce(*[F.when(x["at"] >= 0, x["surface"]) for x, _ in tries]).alias("surface"))
+
+    def searched(v: Column) -> Column:
+        whole, part = v["text"].substr(F.lit(1), v["end"]), v["text"].substr(v["begin"] + 1, F.greatest(v["until"] - v["begin"], F.lit(0)))
+        out = F.struct(F.lit(None).cast("int").alias("at"), F.lit(None).cast("string").alias("surface"), F.lit(False).alias("near"))
+        for own, skip_echo, near in ((whole, False, False), (whole, True, False), (part, True, True)):
+            out = bound(bound(own, partial(_last_in, v["options"], skip_echo)), partial(_or_else, out, near))
+        return bound(out, lambda x: F.struct((x["at"] + F.when(x["near"], v["begin"]).otherwise(0)).alias("at"), x["surface"].alias("surface")))
+
+    return bound(F.struct(text.alias("text"), options.alias("options"), end.alias("end"), begin.alias("begin"), until.alias("until")), searched)
 
 
 def last_target(text: Column, target: Column, segments: Column, window: int | Column = 2000, top: int = 5, most: int = 50) -> Column:
     """struct(at, surface): where what was said stands last as it was said, else where one of the surfaces of its segments does."""
-    said, meant = last_surface(text, F.array(target), window), last_surface(text, surfaces(target, segments, top, most), window)
-    return F.when(said["at"].isNotNull(), said).otherwise(meant)
+
+    def sought(t: Column) -> Column:
+        meant = last_surface(t, surfaces(target, segments, top, most), window)
+        return bound(last_surface(t, F.array(target), window), lambda said: F.when(said["at"].isNotNull(), said).otherwise(meant))
+
+    return bound(text, sought)
 
 
 def preselected(text: Column, segments: Column) -> Column:

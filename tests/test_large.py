@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,3 +153,13 @@ def test_a_target_is_sought_as_said_then_by_its_surfaces(spark):
     parts = F.array(F.array(F.lit("墨"), F.lit("隅")), F.array(F.lit("信"), F.lit("新")))
     got = {r.id: (r.r["at"], r.r.surface) for r in df.select("id", reconvert.last_target(F.col("t"), F.col("said"), parts).alias("r")).collect()}
     assert got == {1: (6, "住信"), 2: (3, "墨信"), 3: (None, None), 4: (0, "住信")}
+
+
+def test_a_search_without_hits_reads_a_long_text_a_few_times_only(spark):
+    """Eight surfaces that occur nowhere, over 60 million characters: before, reversed texts were searched by patterns, several times each."""
+    rows = spark.range(2000).select("id", F.expr("concat(repeat('ab ', 10000), 'abを修正')").alias("t"))
+    began = time.time()
+    found = rows.select(reconvert.last_surface(F.col("t"), F.array(*map(F.lit, ("zq", "qz", "za", "bz", "bb", "ba", "aa", "b  ")))).alias("r")).select("r.at", "r.surface").where("at is not null").count()
+    last = rows.where("id < 5").select(reconvert.last_surface(F.col("t"), F.array(F.lit("ab"))).alias("r")).first().r
+    assert found == 0 and last["at"] == 29_997
+    assert time.time() - began < 12
