@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .guards import bound
-from .text import comparable_by_client, comparable_text, stripped, without_line_breaks
+from .text import comparable_by_client, comparable_codes, comparable_text, stripped, without_line_breaks
 from .udf import arrow
 
 class Matcher(difflib.SequenceMatcher):
@@ -137,17 +137,54 @@ def aligned_prefix(live: Column, ref: Column) -> Column:
     return bound(_end_in(live, ref), judged)
 
 
+#: Comparable characters that are searched for repeats at once.
+_STRETCH = 1 << 18
+
+
+def doubled(codes: np.ndarray, least: int, most: int) -> list[tuple[int, int]]:
+    """(start, size) of the stretches of least .. most codes that come twice in a row, from left to right, the longest at each place, none within another or its repeat.
+
+    Hashes of short runs are compared at each distance; what they propose is compared itself.
+    """
+    width = min(least, 4)
+    grams = np.zeros(max(len(codes) - width + 1, 0), np.uint32)
+    for k in range(width):
+        grams = grams * np.uint32(0x9E3779B1) + codes[k : k + len(grams)]
+    best = np.zeros(len(grams), np.min_scalar_type(most))
+    for n in range(least, min(most, len(codes) // 2) + 1):
+        same, more = np.flatnonzero(grams[:-n] == grams[n:]), n - width
+        starts = same[: max(len(same) - more, 0)]
+        best[starts[same[more:] - starts == more]] = n
+    out, done = [], 0
+    for i in np.flatnonzero(best).tolist():
+        if i >= done and (n := next((n for n in range(int(best[i]), least - 1, -1) if np.array_equal(codes[i : i + n], codes[i + n : i + 2 * n])), 0)):
+            out.append((i, n))
+            done = i + 2 * n
+    return out
+
+
 def repeats_in(least: int = 4, most: int = 40):
     """array<struct<pos, unit>>: stretches of a comparable text that come twice in a row, the longest at each place; pos is in the raw text."""
-    twice = re.compile(rf"(?s)(.{{{least},{most}}})\1")
+
+    def found(texts: list[tuple[np.ndarray, np.ndarray]]) -> list[list[dict]]:
+        # one code after each text that no other is equal to
+        codes = np.concatenate([x for k, (own, _) in enumerate(texts) for x in (own, np.array([0x110000 + k], np.uint32))])
+        begin = np.cumsum([0, *(len(own) + 1 for own, _ in texts)])
+        out: list[list[dict]] = [[] for _ in texts]
+        hits = doubled(codes, least, most)
+        for (i, n), k in zip(hits, (np.searchsorted(begin, [i for i, _ in hits], side="right") - 1).tolist(), strict=True):
+            out[k].append({"pos": int(texts[k][1][i - begin[k]]), "unit": codes[i : i + n].tobytes().decode("utf-32-le", "surrogatepass")})
+        return out
 
     @arrow("array<struct<pos:int,unit:string>>")
     def find(text: pd.Series) -> pd.Series:
-        out = []
+        out, held, size = [], [], 0
         for t in text:
-            norm, at = comparable_text(t or "")
-            out.append([{"pos": at[m.start()], "unit": m[1]} for m in twice.finditer(norm)])
-        return pd.Series(out)
+            held.append(comparable_codes(t or ""))
+            size += len(held[-1][0])
+            if size >= _STRETCH:
+                out, held, size = out + found(held), [], 0
+        return pd.Series(out + found(held) if held else out)
 
     return find
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
-from functools import reduce
+from functools import cache, reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -108,10 +109,42 @@ UNCOMPARED = "。、，．,.!?！？「」『』〈〉《》【】〔〕（）()
 UNCOMPARED_BY_CLIENT = r"[\s、。！？!?・：:；;,.「」『』（）()\[\]…]"
 
 
+class _Forms:
+    """What each code point becomes in a comparable text; worked out when it is first met."""
+
+    def __init__(self):
+        self.known, self.size, self.first, self.more = np.zeros(0x110000, bool), np.zeros(0x110000, np.uint8), np.zeros(0x110000, np.uint32), {}
+
+    def meet(self, codes: np.ndarray) -> None:
+        for code in np.unique(codes[~self.known[codes]]).tolist():
+            own = [ord(x) for c in unicodedata.normalize("NFKC", chr(code)) if not c.isspace() and c not in UNCOMPARED for x in c.lower()]
+            self.known[code], self.size[code], self.first[code] = True, len(own), own[0] if own else 0
+            if len(own) > 1:
+                self.more[code] = own
+
+
+@cache
+def _forms() -> _Forms:
+    return _Forms()
+
+
+def comparable_codes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """NFKC, lower case, without white space and UNCOMPARED, character by character: the code points, and each one's place in text."""
+    codes, forms = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), _forms()
+    forms.meet(codes)
+    size = forms.size[codes]
+    at = np.repeat(np.arange(len(codes)), size)
+    out = forms.first[codes[at]]
+    for i in np.flatnonzero(size > 1).tolist():
+        begin = int(np.searchsorted(at, i))
+        out[begin : begin + int(size[i])] = forms.more[int(codes[i])]
+    return out, at
+
+
 def comparable_text(text: str) -> tuple[str, list[int]]:
-    """NFKC, lower case, without white space and UNCOMPARED, and each character's place in text."""
-    pairs = [(c.lower(), i) for i, ch in enumerate(text) for c in unicodedata.normalize("NFKC", ch) if not c.isspace() and c not in UNCOMPARED]
-    return "".join(c for c, _ in pairs), [i for c, i in pairs for _ in c]
+    """The comparable characters as a text, and each one's place."""
+    codes, at = comparable_codes(text)
+    return codes.tobytes().decode("utf-32-le", "surrogatepass"), at.tolist()
 
 
 @arrow("norm string, idx array<int>")

@@ -1,6 +1,9 @@
 """Golden cases of the text, alignment and source functions."""
 
 import difflib
+import re
+import time
+import unicodedata
 import wave
 from io import BytesIO
 
@@ -223,3 +226,29 @@ def test_symbols_are_appended_by_revision(spark):
     assert got == sorted([("悪", "created"), ("まる", "exists"), ("まる", "conflict"), ("x", "conflict"), ("", "invalid"), ("x", "conflict")])
     after = dictionary.with_symbols(symbols, requests, revisions).orderBy("ord").collect()
     assert [(r.ord, r.symbol, r.output) for r in after] == [(0, "まる", "。"), (1, "てん", "、"), (2, "悪", "。")]
+
+
+def test_repeats_are_those_of_a_pattern():
+    rng = np.random.default_rng(5)
+    for least, most in ((4, 40), (2, 7), (1, 300)):
+        for letters in ("ab", "abc𠮷", "a"):
+            for size in (0, 1, 5, 40, 900):
+                t = "".join(rng.choice(list(letters), size))
+                want = [(m.start(), len(m[1])) for m in re.compile(rf"(?s)(.{{{least},{most}}})\1").finditer(t)]
+                assert align.doubled(np.array([ord(c) for c in t], np.uint32), least, most) == want
+
+
+def test_comparable_texts_are_those_of_single_characters():
+    t = "".join(map(chr, [*range(0x3000), *range(0xD7FF, 0xE001), *range(0xF900, 0x10400)])) + "㍿½İ…ﷺ。 Ａ"
+    pairs = [(c.lower(), i) for i, ch in enumerate(t) for c in unicodedata.normalize("NFKC", ch) if not c.isspace() and c not in text.UNCOMPARED]
+    assert text.comparable_text(t) == ("".join(c for c, _ in pairs), [i for c, i in pairs for _ in c])
+    assert text.comparable_text("") == ("", [])
+
+
+def test_repeats_take_a_small_time_for_each_character(spark):
+    words = np.random.default_rng(2).choice(["the", "an", "tion", "er", "Ing", "é", " ", ". "], (150, 10_000))
+    rows = spark.createDataFrame([(i, "".join(w)) for i, w in enumerate(words)], "id int, t string").repartition(4).cache()
+    assert rows.count() == 150
+    began = time.time()
+    assert rows.select(F.explode(align.repeats_in()(F.col("t")))).count() > 0
+    assert time.time() - began < 3
