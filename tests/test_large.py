@@ -163,3 +163,18 @@ def test_a_search_without_hits_reads_a_long_text_a_few_times_only(spark):
     last = rows.where("id < 5").select(reconvert.last_surface(F.col("t"), F.array(F.lit("ab"))).alias("r")).first().r
     assert found == 0 and last["at"] == 29_997
     assert time.time() - began < 12
+
+
+def test_a_worker_holds_one_bounded_part_of_the_keys(spark, monkeypatch):
+    monkeypatch.setattr(keywords, "PART_BYTES", 300)
+    rng = random.Random(9)
+    table = {"".join(rng.choice("abc東") for _ in range(rng.randint(1, 6))): f"<{i}>" for i in range(150)}
+    texts = ["".join(rng.choice("abcd東 ") for _ in range(rng.randint(0, 200))) for _ in range(40)]
+    sent = [b for b, _ in keywords._blocks(spark.createDataFrame([*table.items()], "key string, value string"), 1 << 20)]
+    assert len(sent) == 1 and len(sent[0].value) > 3 and sum(len(keywords._rows(p)) for p in sent[0].value) == len(table)
+    assert max(keywords._rows(p).num_rows for p in sent[0].value) < len(table) / 2
+    rows = spark.createDataFrame([*enumerate(texts)], "id int, text string")
+    out = keywords.with_replaced(rows, spark.createDataFrame([*table.items()], "observed string, output string"))
+    assert {r.id: r.text for r in out.collect()} == {i: plain_replace(t, table) for i, t in enumerate(texts)}
+    words = spark.createDataFrame([(k,) for k in table if len(k) > 3], "word string")
+    assert {r.id for r in keywords.with_any(rows, words, "text").collect()} == {i for i, t in enumerate(texts) if any(k in t for k in table if len(k) > 3)}
