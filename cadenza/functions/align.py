@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .guards import bound
-from .text import comparable_by_client, comparable_codes, comparable_text, stripped, without_line_breaks
+from .text import client_text, comparable_codes, comparable_text, stripped, without_line_breaks
 from .udf import arrow
 
 class Matcher(difflib.SequenceMatcher):
@@ -231,27 +231,31 @@ def common_length(a: str, b: str) -> int:
 LEAST_LENGTH, LEAST_EDGE, LEAST_WHOLE = 0.78, 0.4, 0.45
 
 
-@arrow("array<double>")
-def _kept(before: pd.Series, after: pd.Series, edge: pd.Series) -> pd.Series:
-    """Which shares of the first and last `edge` characters of a text, and of all of it, its later version still has in their order; an edge is looked for in twice its length."""
+@arrow("x int, y int, leading double, trailing double, whole double")
+def _kept(before: pd.Series, after: pd.Series) -> pd.DataFrame:
+    """Sizes of both comparable texts; which shares of the first and last characters of a text, and of all of it, its later version still has in their order; an edge is looked for in twice its length."""
     share = lambda a, b: common_length(a, b) / max(1, len(a))
-    return pd.Series([[share(x[:n], y[: 2 * n]), share(x[-n:], y[-2 * n :]), share(x, y)] for x, y, n in zip(before, after, edge, strict=True)])
+
+    def one(x: str, y: str) -> tuple:
+        n = min(48, max(16, len(x) // 4))
+        return len(x), len(y), share(x[:n], y[: 2 * n]), share(x[-n:], y[-2 * n :]), share(x, y)
+
+    rows = [one(client_text(x or ""), client_text(y or "")) for x, y in zip(before, after, strict=True)]
+    return pd.DataFrame(rows, columns=["x", "y", "leading", "trailing", "whole"]).astype({"x": "int32", "y": "int32"})
 
 
 def refinement_safety(before: Column, after: Column) -> Column:
     """struct(safe, reason): whether a refined text keeps its provisional one, by comparable characters: enough length, enough of both edges, enough of the whole; of a short or empty one only the length counts. The whole texts count, where the client looks at 1200 characters."""
-    x, y = (comparable_by_client(F.coalesce(c, F.lit(""))) for c in (before, after))
-    edge = F.least(F.lit(48), F.greatest(F.lit(16), F.floor(F.length(x) / 4))).cast("int")
 
     def judged(v: Column) -> Column:
         long = v["x"] >= 24
         rules = {"too-short": v["y"] / v["x"] < LEAST_LENGTH}
-        rules |= {f"{side}-content-lost": long & (v["kept"][k] < LEAST_EDGE) for k, side in enumerate(("leading", "trailing"))}
-        rules["content-diverged"] = long & (v["kept"][2] < LEAST_WHOLE)
+        rules |= {f"{side}-content-lost": long & (v[side] < LEAST_EDGE) for side in ("leading", "trailing")}
+        rules["content-diverged"] = long & (v["whole"] < LEAST_WHOLE)
         reason = F.when(v["x"] > 0, F.coalesce(*[F.when(broken, name) for name, broken in rules.items()]))
         return F.struct(reason.isNull().alias("safe"), reason.alias("reason"))
 
-    return bound(F.struct(F.length(x).alias("x"), F.length(y).alias("y"), _kept(x, y, edge).alias("kept")), judged)
+    return bound(_kept(before, after), judged)
 
 
 #: Where a paragraph may end, and where it may if there is no such place.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from functools import cache, reduce
@@ -152,6 +153,11 @@ def comparable(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([comparable_text(t or "") for t in text], columns=["norm", "idx"])
 
 
+def client_text(text: str) -> str:
+    """What comparable_by_client gives, of one text; white space is that of ASCII, as in Spark's patterns."""
+    return re.sub(UNCOMPARED_BY_CLIENT, "", unicodedata.normalize("NFKC", text), flags=re.ASCII)
+
+
 def comparable_by_client(text: Column) -> Column:
     return F.regexp_replace(nfkc(text), UNCOMPARED_BY_CLIENT, "")
 

@@ -252,3 +252,11 @@ def test_repeats_take_a_small_time_for_each_character(spark):
     began = time.time()
     assert rows.select(F.explode(align.repeats_in()(F.col("t")))).count() > 0
     assert time.time() - began < 3
+
+
+def test_a_refinement_is_judged_in_one_python_function(spark):
+    df = spark.createDataFrame([("Ａb c。　ｶﾞd\u2003\x1c\x85 x" * 9, "x"), (None, ""), ("short one", None)], "a string, b string")
+    judged = df.select(align.refinement_safety(F.col("a"), F.col("b")).alias("s"))
+    assert judged._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [tuple(r.s) for r in judged.collect()] == [(False, "too-short"), (True, None), (False, "too-short")]
+    assert [text.client_text(r.a or "") for r in df.collect()] == [r.x or "" for r in df.select(text.comparable_by_client(F.col("a")).alias("x")).collect()]
