@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +20,9 @@ _COUNTS = pa.schema([("word", pa.int64()), ("times", pa.int64())])
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("head_log", pa.float64()), ("head_known", pa.int64()), ("loss", pa.float64()), ("symbols", pa.binary()), ("tail", pa.list_(pa.int64()))])
 ENCODED = "doc_id long, held_out boolean, train boolean, n_tokens long, head_log double, head_known long, loss double, symbols binary, tail array<long>"
 #: Tokens whose forward vectors are kept at once.
-_PORTION = 1 << 19
+_PORTION = 1 << 20
+#: Tokens whose counts are added up at once.
+_TURNED = 1 << 17
 #: Fixed point of sums of logarithms, so that they don't depend on the order of addition.
 _POINT = 2.0**36
 
@@ -121,6 +122,37 @@ def _portions(order: np.ndarray, n: np.ndarray) -> Iterator[np.ndarray]:
         i = j
 
 
+class _Steps:
+    """Blocks that are run together, by falling length. symbol: the first symbols of all blocks, then the second ones, ...; active: blocks longer than each step; edge: where each step begins."""
+
+    def __init__(self, pieces: list[np.ndarray]):
+        n = np.array([len(x) for x in pieces])
+        self.flat, self.begin = np.concatenate(pieces).astype(np.intp), np.cumsum(n) - n
+        active = len(n) - np.searchsorted(n[::-1], np.arange(n[0]), side="right")
+        edge = np.concatenate([[0], np.cumsum(active)])
+        self.active, self.edge = active.tolist(), edge.tolist()
+        place = np.arange(len(self.flat)) - np.repeat(self.begin, n)
+        self.symbol = np.empty_like(self.flat)
+        self.symbol[edge[place] + np.repeat(np.arange(len(n)), n)] = self.flat
+
+    def summed(self, of_symbol: np.ndarray) -> np.ndarray:
+        """Each block's sum of a number that each symbol has."""
+        return np.add.reduceat(of_symbol[self.flat], self.begin)
+
+
+def _block(size: np.ndarray) -> int:
+    """The length of blocks that costs least: a step takes as long as 100 tokens, and the matrices of longer sequences as long as their tokens run once or twice more."""
+    ordered = np.sort(size)
+    behind = np.concatenate([np.cumsum(ordered[::-1])[::-1], [0]])
+
+    def cost(block: int) -> int:
+        longer = int(behind[np.searchsorted(ordered, block, side="right")])
+        return 100 * block * (2 if longer else 1) + 3 * longer // 2
+
+    most = int(ordered[-1]) if len(ordered) else 1
+    return min([1 << i for i in range(8, 15)] + [most] * (most < 1 << 15), key=cost)
+
+
 Counts = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
@@ -129,6 +161,12 @@ class Hmm:
 
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.move, self.emit = start, move, np.ascontiguousarray(emit)
+        # A symbol's emissions by their largest one: a step then leaves a vector at least the smallest move's share, so that vectors are scaled only every few steps.
+        most = self.emit.max(axis=1)
+        self.shape, self.log = self.emit / most[:, None], np.log(most.astype(float))
+        with np.errstate(divide="ignore"):
+            lost = max(1.0, -np.log10(move.min()))
+        self.every = int(np.clip((100 if move.dtype == np.float64 else 20) // lost, 1, 8))
 
     @staticmethod
     def first(totals: np.ndarray, p: HmmParams) -> Hmm:
@@ -147,7 +185,7 @@ class Hmm:
         start, move, emit = start + 1e-3, move + 1e-3, emit + p.floor
         return Hmm(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
-    def run(self, seqs: list[np.ndarray], counts: Counts | None = None, block: int = 2048) -> np.ndarray:
+    def run(self, seqs: list[np.ndarray], counts: Counts | None = None, block: int | None = None) -> np.ndarray:
         """Natural log-likelihoods of whole sequences by the scaled forward recursion; with counts, the expected starts, moves and emissions are added to them.
 
         A longer sequence than `block` is worked on in blocks, many at once, which changes no
@@ -156,6 +194,7 @@ class Hmm:
         from them. Memory follows what is run together, not a sequence's length.
         """
         size = np.array([len(s) for s in seqs], np.int64)
+        block = block or _block(size)
         many = np.maximum(-(-size // block), 1)
         seq = np.repeat(np.arange(len(seqs)), many)
         place = np.arange(len(seq)) - np.repeat(np.cumsum(many) - many, many)
@@ -165,8 +204,8 @@ class Hmm:
         long = np.flatnonzero(many[seq] > 1)
         if len(long):
             whole = np.empty((len(seq), *self.move.shape), self.move.dtype)
-            for own in _portions(long[np.argsort(-n[long], kind="stable")], n * len(self.start)):
-                whole[own] = self._matrices([pieces[i] for i in own], place[own] == 0)
+            for own in _portions(long[np.argsort(-n[long], kind="stable")], n):
+                whole[own] = self._matrices(_Steps([pieces[i] for i in own]), place[own] == 0)
             for i in long[place[long] > 0].tolist():
                 before[i] = before[i - 1] @ whole[i - 1]
                 before[i] /= before[i].sum()
@@ -175,73 +214,78 @@ class Hmm:
                 after[i] /= after[i].sum()
         like = np.zeros(len(seqs))
         for own in _portions(np.argsort(-n, kind="stable"), n):
-            np.add.at(like, seq[own], self._blocks([pieces[i] for i in own], place[own] == 0, before[own], after[own], counts))
+            np.add.at(like, seq[own], self._blocks(_Steps([pieces[i] for i in own]), place[own] == 0, before[own], after[own], counts))
         return like
 
-    def _matrices(self, pieces: list[np.ndarray], first: np.ndarray) -> np.ndarray:
-        """Each block's matrix, up to a factor; blocks come by falling length. A sequence's first symbol has no move before it."""
-        n, k = np.array([len(x) for x in pieces]), len(self.start)
-        flat, base = np.concatenate(pieces), np.cumsum(n) - n
-        out = np.repeat(np.eye(k, dtype=self.move.dtype)[None], len(n), axis=0)
-        for t in range(int(n[0])):
-            b = len(n) - int(np.searchsorted(n[::-1], t, side="right"))
-            e = self.emit[flat[base[:b] + t]][:, None, :]
-            moved = (out[:b].reshape(-1, k) @ self.move).reshape(b, k, k)
+    def _matrices(self, x: _Steps, first: np.ndarray) -> np.ndarray:
+        """Each block's matrix, up to a factor: forward runs from each state. A sequence's first symbol has no move before it."""
+        k, dtype = len(self.start), self.move.dtype
+        out = np.repeat(np.eye(k, dtype=dtype)[:, None], x.active[0], axis=1)
+        moved, e = np.empty_like(out), np.empty((x.active[0], k), dtype)
+        for t, b in enumerate(x.active):
+            self.shape.take(x.symbol[x.edge[t] : x.edge[t + 1]], axis=0, out=e[:b], mode="clip")
+            for i in range(k):
+                np.dot(out[i, :b], self.move, out=moved[i, :b])
             if t == 0:
-                moved[first] = out[first]
-            out[:b] = moved * e
-            if t % 2:  # before the product leaves the range of 32 bits
-                out[:b] /= out[:b].max(axis=(1, 2), keepdims=True)
-        return out / out.max(axis=(1, 2), keepdims=True)
-
-    def _blocks(self, pieces: list[np.ndarray], first: np.ndarray, before: np.ndarray, after: np.ndarray, counts: Counts | None) -> np.ndarray:
-        """Log-likelihood of each block after what is before it; blocks come by falling length.
-
-        Rows are laid out step by step: the first symbols of all blocks, then the second ones, ...
-        """
-        n = np.array([len(x) for x in pieces])
-        flat, rank = np.concatenate(pieces), np.repeat(np.arange(len(n)), n)
-        active = len(n) - np.searchsorted(n[::-1], np.arange(n[0]), side="right")  # blocks longer than each step
-        edge = np.concatenate([[0], np.cumsum(active)])
-        row = edge[np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)] + rank
-        symbol = np.empty_like(flat)
-        symbol[row] = flat
-        e = self.emit[symbol]
-        alpha, scale = np.empty_like(e), np.empty(len(e), e.dtype)
-        for t in range(len(active)):
-            lo, hi = edge[t], edge[t + 1]
-            own = alpha[lo:hi]
-            if t:
-                np.matmul(alpha[edge[t - 1] : edge[t - 1] + active[t]], self.move, out=own)
-            else:
-                own[:] = np.where(first[:, None], before, before @ self.move)
-            own *= e[lo:hi]
-            np.sum(own, axis=1, out=scale[lo:hi])
-            own /= scale[lo:hi, None]
-        like = np.bincount(rank, np.log(scale[row].astype(float)), len(n))
+                moved[:, first] = out[:, first]
+            np.multiply(moved[:, :b], e[:b], out=out[:, :b])
+            if t % self.every == 0:
+                out[:, :b] /= out[:, :b].max(axis=(0, 2))[:, None]
+        return (out / out.max(axis=(0, 2))[:, None]).transpose(1, 0, 2)
+
+    def _blocks(self, x: _Steps, first: np.ndarray, before: np.ndarray, after: np.ndarray, counts: Counts | None) -> np.ndarray:
+        """Log-likelihood of each block after what is before it. A step's vectors stay in the processor's cache; only the forward vectors are kept for the way back."""
+        k, dtype, edge, active = len(self.start), self.move.dtype, x.edge, x.active
+        alpha, e = np.empty((edge[-1] if counts else 2 * active[0], k), dtype), np.empty((active[0], k), dtype)
+        ones, like, scale = np.ones(k, dtype), x.summed(self.log), {}
+        own = before
+        for t, b in enumerate(active):
+            lo = edge[t] if counts else t % 2 * active[0]
+            last, own = own, alpha[lo : lo + b]
+            np.dot(last[:b], self.move, out=own)
+            if t == 0:
+                own[first] = before[first]
+            self.shape.take(x.symbol[edge[t] : edge[t + 1]], axis=0, out=e[:b], mode="clip")
+            own *= e[:b]
+            if t % self.every == 0:
+                scale[t] = own @ ones
+                own /= scale[t][:, None]
+                like[:b] += np.log(scale[t].astype(float))
+            on = active[t + 1] if t + 1 < len(active) else 0
+            if on < b:  # blocks that end here
+                like[on:b] += np.log((own[on:] @ ones).astype(float))
         if counts is None:
             return like
         start, move, emit = counts
-        beta, back = np.empty_like(alpha), np.ascontiguousarray(self.move.T)
-        e /= scale[:, None]
+        beta, back, moves, step = np.empty_like(e), np.ascontiguousarray(self.move.T), np.zeros((k, k)), np.empty((k, k), dtype)
+        on = 0
         for t in range(len(active) - 1, -1, -1):
-            lo, hi, on = edge[t], edge[t + 1], active[t + 1] if t + 1 < len(active) else 0
-            if on:
-                np.matmul(e[hi : hi + on], back, out=beta[lo : lo + on])
-            if on < active[t]:  # blocks that end here
-                own = after[on : active[t]]
-                beta[lo + on : hi] = own / (alpha[lo + on : hi] * own).sum(axis=1, keepdims=True)
-            e[lo:hi] *= beta[lo:hi]
-        head = int(active[0])
-        earlier = np.arange(head, len(e)) - np.repeat(active[:-1], active[1:])
-        moves = alpha[earlier].T @ e[head:]
+            lo, b = edge[t], active[t]
+            own = alpha[lo : lo + b]
+            if on:  # e: emissions of the next step, times their backward vectors
+                np.dot(own[:on].T, e[:on], out=step)
+                moves += step
+                np.dot(e[:on], back, out=beta[:on])
+            if on < b:
+                beta[on:b] = after[on:b] / (own[on:] * after[on:b]).sum(axis=1, keepdims=True)
+            own *= beta[:b]
+            self.shape.take(x.symbol[lo : lo + b], axis=0, out=e[:b], mode="clip")
+            e[:b] *= beta[:b]
+            if t in scale:
+                e[:b] /= scale[t][:, None]
+            on = b
         if not first.all():
-            moves += before[~first].T @ e[:head][~first]
+            moves += before[~first].T @ e[~first]
         move += moves * self.move
-        alpha *= beta
-        start += alpha[:head][first].sum(axis=0)
-        for k in range(alpha.shape[1]):
-            emit[:, k] += np.bincount(symbol, alpha[:, k], len(emit))
+        start += alpha[: active[0]][first].sum(axis=0)
+        # a state's own run of numbers, of which a part is turned at a time
+        turned = np.empty((k, min(len(alpha), _TURNED)), dtype)
+        for i in range(0, len(alpha), _TURNED):
+            n = min(_TURNED, len(alpha) - i)
+            for j in range(i, i + n, 4096):
+                turned[:, j - i : min(j + 4096 - i, n)] = alpha[j : min(j + 4096, i + n)].T
+            for j in range(k):
+                emit[:, j] += np.bincount(x.symbol[i : i + n], turned[j, :n], len(emit))
         return like
 
 
@@ -253,14 +297,14 @@ def train(encoded: DataFrame, totals: np.ndarray, p: HmmParams) -> Hmm:
     """Baum-Welch over whole training texts until their likelihood settles: first over a part of them, which brings the start near its end, then over all."""
     model, own = Hmm.first(totals, p), encoded.where("train")
     if p.warm > 1:
-        # stored, so that these rounds neither read the other texts nor send sums from more tasks than they need
+        # stored, so that these rounds don't read the other texts
         part = own.where(F.crc32("symbols") % p.warm == 0).select("symbols").coalesce(max(1, partitions(encoded.sparkSession) // p.warm))
         model = _trained(stored(part, "symbols-part"), model, p, p.warm_rounds, 10 * p.gain)
     return _trained(own, model, p, p.rounds, p.gain)
 
 
 def _trained(encoded: DataFrame, model: Hmm, p: HmmParams, rounds: int, gain: float) -> Hmm:
-    """Rounds over all texts of `encoded`: each task adds up its expected counts, which are summed slice by slice; the driver gets one table of symbols x states a round."""
+    """Rounds over all texts of `encoded`: each task adds up its expected counts, which are summed slice by slice; the driver gets one table of symbols x states a round. A task sends one such table however much it reads, so their number follows the cores and not the texts."""
     before, dtype = None, p.dtype
     spark = encoded.sparkSession
     width = -(-p.symbols // p.slices)
@@ -271,26 +315,28 @@ def _trained(encoded: DataFrame, model: Hmm, p: HmmParams, rounds: int, gain: fl
             own, like, n = Hmm(*(x.astype(np.float32 if p.narrow else np.float64) for x in sent.value)), 0.0, 0
             counts = np.zeros(p.states), np.zeros((p.states, p.states)), np.zeros((p.symbols, p.states))
             for b in batches:
-                for i, j in steps(b.column("symbols"), 1 << 21):
+                for i, j in steps(b.column("symbols"), 1 << 23):
                     like += own.run(_sequences(b.column("symbols")[i:j], dtype), counts).sum()
                     n += j - i
             if n:
                 rows = [(k, counts[2][k * width : (k + 1) * width].ravel()) for k in range(p.slices)]
                 rows.append((p.slices, np.concatenate([[like], counts[0], counts[1].ravel()])))
-                lane = TaskContext.get().partitionId() % 16
-                yield batch(_SUMS, [16 * k + lane for k, _ in rows], [x.tobytes() for _, x in rows])
+                yield batch(_SUMS, [k for k, _ in rows], [x.tobytes() for _, x in rows])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[int, np.ndarray] = {}
             for b in batches:
                 for to, x in zip(b.column("to").to_pylist(), b.column("sums"), strict=True):
                     own = np.frombuffer(x.as_buffer(), float)
-                    total[to // 16] = total[to // 16] + own if to // 16 in total else own.copy()
-            yield batch(_SUMS, [16 * k for k in total], [x.tobytes() for x in total.values()])
+                    total[to] = total[to] + own if to in total else own.copy()
+            yield batch(_SUMS, list(total), [x.tobytes() for x in total.values()])
 
         schema = "to long, sums binary"
-        lanes = encoded.select("symbols").mapInArrow(expect, schema).repartition(min(64, partitions(spark)), "to").mapInArrow(add, schema)
-        parts = {row.to // 16: np.frombuffer(bytes(row.sums)) for row in lanes.repartition(min(p.slices, partitions(spark)), (F.col("to") / 16).cast("long")).mapInArrow(add, schema).toLocalIterator()}
+        tasks = 2 * spark.sparkContext.defaultParallelism
+        sums = encoded.select("symbols").coalesce(tasks).mapInArrow(expect, schema)
+        # a slice is whole in one partition, and stays so where a task takes several partitions
+        sums = sums.repartition(min(p.slices, partitions(spark)), "to").coalesce(tasks).mapInArrow(add, schema)
+        parts = {row.to: np.frombuffer(bytes(row.sums)) for row in sums.toLocalIterator()}
         sent.unpersist()
         if not parts:
             break
@@ -357,7 +403,7 @@ def hmm_scores(docs: DataFrame, held_out: Column, params: HmmParams = HmmParams(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hmm = Hmm(*sent.value)
         for b in batches:
-            for i, j in steps(b.column("symbols"), 4 << 20):
+            for i, j in steps(b.column("symbols"), 1 << 23):
                 like = hmm.run(_sequences(b.column("symbols")[i:j], dtype))
                 yield batch(scored, *(b.column(c)[i:j] for c in scored.names[:-1]), like / np.log(10) - np.asarray(b.column("loss")[i:j]))
 

@@ -161,6 +161,33 @@ def test_a_very_long_sequence_stays_small():
     assert np.isfinite(like).all() and most < 250 << 20
 
 
+@pytest.mark.parametrize("least", [1e-3, 1e-12, 1e-90])
+def test_small_probabilities_do_not_vanish_between_two_scalings(least):
+    """Moves and emissions that are hardly possible, again in logarithms."""
+    start, move, emit = np.full(2, 0.5), np.array([[1 - least, least], [least, 1 - least]]), np.array([[1.0, least], [least, 1.0], [1e-80, 1e-90]])
+    m, s = hmm.Hmm(start, move, emit), np.array([0, 1, 1, 2, 0, 1, 2, 2, 1, 0] * 30, np.uint16)
+    alpha = np.log(start) + np.log(emit[s[0]])
+    for x in s[1:]:
+        alpha = np.logaddexp.reduce(alpha[:, None] + np.log(move), axis=0) + np.log(emit[x])
+    counts = np.zeros(2), np.zeros((2, 2)), np.zeros((3, 2))
+    for block in (7, None):
+        assert m.run([s], counts, block)[0] == pytest.approx(np.logaddexp.reduce(alpha))
+    np.testing.assert_allclose(counts[2].sum(axis=1), 2 * np.bincount(s), rtol=1e-9)
+    assert counts[1].sum() == pytest.approx(2 * (len(s) - 1))
+
+
+def test_tasks_that_send_sums_follow_the_cores_and_not_the_files(spark):
+    """A task's sums are one table of symbols x states however few texts it reads."""
+    rng = np.random.default_rng(3)
+    rows = [(bytearray(rng.integers(0, SMALL.symbols, 20).astype(SMALL.dtype).tobytes()),) for _ in range(200)]
+    encoded, ran = spark.createDataFrame(rows, "symbols binary").repartition(64), spark.sparkContext.statusTracker()
+    earlier = set(ran.getJobIdsForGroup())
+    hmm._trained(encoded, hmm.Hmm.first(np.ones(SMALL.symbols), SMALL), SMALL, 1, -1.0)
+    jobs = [ran.getJobInfo(j) for j in set(ran.getJobIdsForGroup()) - earlier]
+    tasks = [ran.getStageInfo(i).numTasks for j in jobs for i in j.stageIds if ran.getStageInfo(i)]
+    assert tasks and max(tasks) <= 2 * spark.sparkContext.defaultParallelism
+
+
 def likelier(spark, rows, **params):
     got = hmm.hmm_scores(frame(spark, rows), crc_of("doc_id", 7) == 2, hmm.HmmParams(slices=4, **params)).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     return got.s / got.b
